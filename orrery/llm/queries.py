@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import mixing, sharding
+from orrery.llm import mixing, quality, secrets, sharding, tokens
 from orrery.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +16,24 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(documents(spark, sf_dir))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.query(spark, documents(spark, sf_dir))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(documents(spark, sf_dir))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.query(documents(spark, sf_dir))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op9_shard)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op4_quality_rules, op5_secret_scan, op9_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
