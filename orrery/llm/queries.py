@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import mixing, quality, secrets, sharding, tokens
+from orrery.llm import language, mixing, neardup, quality, secrets, sharding, tokens
 from orrery.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,13 +28,23 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.query(documents(spark, sf_dir))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.query(documents(spark, sf_dir))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.query(spark, documents(spark, sf_dir))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op4_quality_rules, op5_secret_scan, op9_shard)}
+    return {f.__name__: f for f in (
+        op1_mix_sources, op2_token_counts, op4_quality_rules, op5_secret_scan, op7_near_duplicates, op8_language, op9_shard,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_near_duplicates": neardup.SQL}
