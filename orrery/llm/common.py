@@ -28,9 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_small(large: DataFrame, small: DataFrame, on: list[str], how: str, rows: int) -> DataFrame:
+def join_small(
+    large: DataFrame, small: DataFrame, on: list[str], how: str, rows: int, bound: int = BROADCAST_ROWS
+) -> DataFrame:
     """Join with a side of ``rows`` known rows: broadcast up to the bound, shuffled beyond it."""
-    return large.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
+    return large.join(F.broadcast(small) if rows <= bound else small, on, how)
 
 
 def n_words(text: Column) -> Column:

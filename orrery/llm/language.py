@@ -183,8 +183,8 @@ def predict_language(spark: SparkSession, docs: DataFrame, per_lang: int = DOCS_
 
     The automata come from a sample bounded by ``DOCS_PER_LANG`` and ``CHARS_PER_LANG``;
     every text is parsed whole. ``und``: null, no letter, or nothing could be learned.
-    Ties go to the language that sorts first. Null ids count as outside the held-out
-    fold's rest and are predicted like others.
+    Ties go to the language that sorts first. Rows with a null id are never learned from,
+    count as not held out, and are predicted like others.
     """
     model = spark.sparkContext.broadcast(learn(labelled_sample(docs, per_lang)))
 
@@ -203,5 +203,22 @@ def predict_language(spark: SparkSession, docs: DataFrame, per_lang: int = DOCS_
     return docs.select("doc_id", held, "text").mapInPandas(run, SCHEMA)
 
 
+def keep_identified(spark: SparkSession, docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> DataFrame:
+    """The rows of ``docs``, in the same columns, whose language is not ``und``."""
+    model = spark.sparkContext.broadcast(learn(labelled_sample(docs, per_lang)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        parser = Parser(model.value)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                rows = parser.predict(part.column("text").to_pylist())
+                yield part.filter(pa.array([r[0] != "und" for r in rows]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return predict_language(spark, docs)

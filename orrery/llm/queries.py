@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import language, mixing, neardup, quality, secrets, sharding, tokens
+from orrery.llm import decontam, language, mixing, neardup, quality, secrets, sharding, tokens
 from orrery.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.query(documents(spark, sf_dir))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.query(documents(spark, sf_dir))
 
@@ -40,11 +44,17 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_mix_sources, op2_token_counts, op4_quality_rules, op5_secret_scan, op7_near_duplicates, op8_language, op9_shard,
+        op1_mix_sources, op2_token_counts, op4_quality_rules, op5_secret_scan, op6_decontaminate, op7_near_duplicates, op8_language, op9_shard, pipeline,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_near_duplicates": neardup.SQL}
+    return {"op6_decontaminate": decontam.SQL, "op7_near_duplicates": neardup.SQL}
