@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import decontam, language, mixing, neardup, quality, secrets, sharding, tokens
+from orrery.llm import decontam, language, mixing, neardup, quality, secrets, sharding, substrings, tokens
 from orrery.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(documents(spark, sf_dir))
 
 
+def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.query(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -52,7 +56,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_mix_sources, op2_token_counts, op4_quality_rules, op5_secret_scan, op6_decontaminate, op7_near_duplicates, op8_language, op9_shard, pipeline,
+        op1_mix_sources, op2_token_counts, op4_quality_rules, op5_secret_scan, op6_decontaminate, op7_near_duplicates, op8_language, op9_shard,
+        op10_repeated_substrings, pipeline,
     )}
 
 
