@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import decontam, language, mixing, neardup, quality, secrets, sharding, substrings, tokens
+from orrery.llm import decontam, language, mixing, neardup, pii, quality, secrets, sharding, substrings, tokens
 from orrery.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.query(spark, documents(spark, sf_dir))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.query(spark, documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(documents(spark, sf_dir))
 
@@ -56,7 +60,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_mix_sources, op2_token_counts, op4_quality_rules, op5_secret_scan, op6_decontaminate, op7_near_duplicates, op8_language, op9_shard,
+        op1_mix_sources, op2_token_counts, op3_personal_data, op4_quality_rules, op5_secret_scan, op6_decontaminate, op7_near_duplicates, op8_language, op9_shard,
         op10_repeated_substrings, pipeline,
     )}
 
