@@ -69,16 +69,20 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 def table(codes: list[int], width: int) -> np.ndarray:
-    """Dense transitions; where the automaton cannot follow, a new phrase starts (RESTART is set)."""
+    """Dense transitions; where the automaton cannot follow, a new phrase starts (RESTART is set).
+
+    The last state is where texts begin and where characters lead that were never
+    learned: whatever comes next starts a phrase.
+    """
     states = suffix_automaton(codes)
-    start = np.zeros(width, np.int32)
+    start = np.full(width, len(states), np.int32)
     for c, to in states[0].items():
         start[c] = to
-    out = np.tile(start | RESTART, (len(states), 1))
+    out = np.tile(start | RESTART, (len(states) + 1, 1))
     for i, row in enumerate(states):
         for c, to in row.items():
             out[i, c] = to
-    return out.ravel() * 1
+    return out.ravel()
 
 
 def learn(samples: dict[str, list[str]], chars: int = CHARS_PER_LANG, alphabet: int = ALPHABET) -> dict:
@@ -120,10 +124,10 @@ class Parser:
         order = np.argsort(-sizes, kind="stable")
         starts, sizes, owner = starts[order], sizes[order], owner[order]
         out = np.zeros((len(ends), len(self.langs)), np.int64)
-        if not len(owner):
+        if not len(owner) or not self.langs:
             return out
         active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # blocks longer than each step
-        state = np.zeros((len(self.langs), len(owner)), np.int32)
+        state = np.repeat([[len(t) // self.width - 1] for t in self.tables], len(owner), axis=1).astype(np.int32)
         count = np.zeros((len(self.langs), len(owner)), np.int32)
         mask = RESTART - np.int32(1)
         for t, n in enumerate(active):
@@ -133,7 +137,7 @@ class Parser:
                 count[k, :n] += to >= RESTART
                 state[k, :n] = to & mask
         for k in range(len(self.langs)):
-            np.add.at(out[:, k], owner, count[k] + 1)
+            np.add.at(out[:, k], owner, count[k])
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple]:
