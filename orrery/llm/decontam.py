@@ -6,7 +6,8 @@ benchmark terms say which terms of a window are rarest; the index stores the pos
 posting of a term at place p of an item, found at position x, lies on the diagonal
 x - p; lists are intersected on (item, document, diagonal), so that a window is a
 candidate where its rarest terms meet on one diagonal. Candidates are confirmed word by
-word against the document, which makes the phrase matches exact.
+word against the words that the index keeps about the rarest term, which makes the phrase
+matches exact; texts are read to count terms and to build the index, and never shuffled.
 """
 
 from __future__ import annotations
@@ -21,9 +22,7 @@ from orrery.llm.common import LOWER, UPPER, cut, join_small
 
 WINDOW = 10
 #: A window's second list is intersected only where it is at most so many times as long as the first.
-SECOND_LIST = 8
-#: Documents with candidates (each about a kilobyte) up to which they are broadcast.
-FOUND_ROWS = 40_000
+SECOND_LIST = 64
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -42,7 +41,11 @@ def row_key(id_: str = "doc_id", text: str = "text") -> Column:
 
 @dataclass
 class Phrases:
-    """Windows to look for. ``items``: item_id, terms, anchors (pairs of places); ``needed``: term, item_id, place."""
+    """Windows to look for.
+
+    ``items``: key, item_id, terms, windows (start, place of the rarest term, place of
+    the second or null). ``needed``: term, key, place, lead (the rarest of some window).
+    """
 
     items: DataFrame
     needed: DataFrame
@@ -83,50 +86,57 @@ def plan_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     )
     firsts = firsts.filter("least > 0")  # a term that the corpus lacks rules its windows out
     both = F.col("second") <= SECOND_LIST * F.col("least")
-    firsts = cut(firsts.select("key", "p", "pt", F.when(both, F.col("q")).alias("q"), F.when(both, F.col("qt")).alias("qt")).distinct())
-    needed = firsts.select("key", F.col("p").alias("place"), F.col("pt").alias("term"))
-    needed = needed.union(firsts.filter("q is not null").select("key", "q", "qt")).distinct()
-    pairs = firsts.select("key", "p", "q").distinct().groupBy("key").agg(F.collect_set(F.struct("p", "q")).alias("anchors"))
-    items = cut(items.join(pairs, "key"))
-    needed = cut(needed)
+    q, qt = F.when(both, F.col("q")).alias("q"), F.when(both, F.col("qt")).alias("qt")
+    firsts = cut(firsts.select("key", "start", "p", "pt", q, qt))
+    needed = firsts.select("key", F.col("p").alias("place"), F.col("pt").alias("term"), F.lit(True).alias("lead"))
+    needed = needed.union(firsts.filter("q is not null").select("key", "q", "qt", F.lit(False)))
+    needed = cut(needed.groupBy("key", "place", "term").agg(F.max("lead").alias("lead")))
+    listed = firsts.groupBy("key").agg(F.collect_list(F.struct("start", "p", "q")).alias("windows"))
+    items = cut(items.join(listed, "key"))
     return Phrases(items, needed, items.count(), needed.count())
 
 
-def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """The index: ``term, doc, pos`` for each place where one of ``terms`` stands."""
-    stream = docs.select(row_key().alias("doc"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return cut(join_small(stream, terms, ["term"], "left_semi", n_terms).select("term", "doc", "pos"))
+def postings(docs: DataFrame, terms: DataFrame, n_terms: int, window: int = WINDOW) -> DataFrame:
+    """The index: ``term, doc, pos, left, around`` for each place where one of ``terms`` stands.
 
+    ``terms``: term, lead. A lead term's postings carry the words about them, ``left`` of
+    them before it, so that a match can be confirmed without going back to the texts.
+    """
+    own = docs.select(row_key().alias("doc"), words(F.col("text")).alias("own"))
+    stream = own.select("doc", "own", F.posexplode("own").alias("pos", "term"))
+    found = join_small(stream, terms, ["term"], "inner", n_terms)
+    left = F.least(F.col("pos"), F.lit(window - 1))
+    around = F.when(F.col("lead"), F.slice("own", F.col("pos") - left + 1, left + window))
+    return cut(found.select("term", "doc", "pos", left.alias("left"), around.alias("around")))
 
-def candidates(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """``doc, key, shift``: diagonals on which some window's rarest terms meet."""
-    lists = join_small(index, phrases.needed, ["term"], "inner", phrases.n_needed)
-    met = lists.groupBy("doc", "key", (F.col("pos") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("met"))
-    found = join_small(met, phrases.items, ["key"], "inner", phrases.n_items)
-    full = F.exists(
-        "anchors",
-        lambda x: F.array_contains("met", x["p"]) & (x["q"].isNull() | F.coalesce(F.array_contains("met", x["q"]), F.lit(False))),
-    )
-    return found.filter(full).select("doc", "key", "item_id", "shift", "terms")
 
+def matches(index: DataFrame, phrases: Phrases, window: int = WINDOW) -> DataFrame:
+    """``doc, item_id, at, size``: the windows that documents hold, by place.
 
-def confirmed(own: Column, found: Column, window: int) -> Column:
-    """(item, start, size) of each window of the candidates that the words ``own`` do hold."""
+    Lists are laid on diagonals; a window needs its two rarest terms on one, and all of
+    its words in the words about the rarest.
+    """
+    lists = join_small(index, phrases.needed, ["term"], "inner", phrases.n_needed)
+    shift = (F.col("pos") - F.col("place")).alias("shift")
+    seen = F.collect_list(F.when(F.col("lead"), F.struct("place", "left", "around")))
+    met = lists.groupBy("doc", "key", shift).agg(F.collect_set("place").alias("met"), seen.alias("seen"))
+    met = met.filter(F.size("seen") > 0)
+    found = join_small(met, phrases.items, ["key"], "inner", phrases.n_items)
+    size = F.least(F.size("terms"), F.lit(window))
 
-    def windows(c: Column) -> Column:
-        size = F.least(F.size(c["terms"]), F.lit(window))
-        starts = F.sequence(F.lit(0), F.greatest(F.size(c["terms"]) - window, F.lit(0)))
+    def holds(w: Column) -> Column:
+        meet = F.array_contains("met", w["p"]) & (w["q"].isNull() | F.coalesce(F.array_contains("met", w["q"]), F.lit(False)))
 
-        def holds(o: Column) -> Column:
-            at = c["shift"] + o
-            inside = (at >= 0) & (at + size <= F.size(own))
-            return inside & (F.slice(own, F.greatest(at, F.lit(0)) + 1, size) == F.slice(c["terms"], o + 1, size))
+        def equal(c: Column) -> Column:
+            first = c["left"] - (w["p"] - w["start"])
+            same = F.slice(c["around"], F.greatest(first, F.lit(0)) + 1, size) == F.slice("terms", w["start"] + 1, size)
+            return (c["place"] == w["p"]) & (first >= 0) & same
 
-        return F.transform(
-            F.filter(starts, holds), lambda o: F.struct(c["item_id"].alias("item"), (c["shift"] + o).alias("at"), size.alias("size"))
-        )
+        return meet & F.exists("seen", equal)
 
-    return F.flatten(F.transform(found, windows))
+    kept = F.transform(F.filter("windows", holds), lambda w: w["start"] + F.col("shift"))
+    hits = found.select("doc", "item_id", kept.alias("at"), size.alias("size")).filter(F.size("at") > 0)
+    return hits
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -136,25 +146,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     rows are judged alike; items may repeat an id. Without any items nothing is hit.
     """
     phrases = plan_phrases(docs, benchmark, window)
-    index = postings(docs, phrases.needed.select("term").distinct(), phrases.n_needed)
-    c = F.struct("item_id", "shift", "terms")
-    by_doc = cut(candidates(index, phrases).groupBy("doc").agg(F.collect_set(c).alias("found")))
-    own = docs.select("doc_id", words(F.col("text")).alias("own"), row_key().alias("doc"))
-    joined = join_small(own, by_doc, ["doc"], "left", by_doc.count(), FOUND_ROWS)
-    none = joined["found"].isNull()
-    hits = F.when(~none, confirmed(F.col("own"), F.col("found"), window))
-    marked = joined.select("doc_id", F.size("own").cast("long").alias("n_words"), hits.alias("hits"))
-    places = F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1)))
-    items = F.array_sort(F.transform(F.array_distinct(F.transform("hits", lambda h: h["item"])), lambda i: i.cast("string")))
-    n_hit = F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("long")
-    n_hit = F.when(F.col("hits").isNull(), F.lit(0)).otherwise(n_hit).cast("long")
-    names = F.when(F.col("hits").isNull(), F.array().cast("array<string>")).otherwise(items)
-    return marked.select(
+    terms = phrases.needed.groupBy("term").agg(F.max("lead").alias("lead"))
+    hits = matches(postings(docs, terms, phrases.n_needed, window), phrases, window)
+    covered = F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("size") - 1)))
+    by_doc = hits.select("doc", "item_id", F.array_distinct(covered).alias("places")).groupBy("doc").agg(
+        F.collect_set(F.col("item_id").cast("string")).alias("names"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")
+    )
+    digests = by_doc.select(
+        "doc", F.size("places").alias("hit"), F.size("names").alias("items"), F.array_join(F.array_sort("names"), ",").alias("joined")
+    )
+    n_words = F.size(words(F.col("text"))).cast("long").alias("n_words")
+    out = docs.select("doc_id", n_words, row_key().alias("doc")).join(digests, "doc", "left")
+    n_hit = F.coalesce("hit", F.lit(0)).cast("long")
+    return out.select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
+        F.coalesce("items", F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce("joined", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
 
@@ -173,7 +182,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int, terms_ea
     chosen = cut(cells.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= terms_each).drop("n"))
     wanted = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("wanted"))
     n = chosen.count()
-    index = postings(docs, chosen.select("term").distinct(), n)
+    index = postings(docs, chosen.select("term", F.lit(False).alias("lead")).distinct(), n)
     lists = join_small(index, chosen, ["term"], "inner", n)
     along = Window.partitionBy("doc", "key").orderBy("pos").rangeBetween(0, span - 1)
     near = lists.withColumn("here", F.size(F.collect_set("rank").over(along)))
