@@ -1,0 +1,642 @@
+"""The corpus operators against brute force, exact round trips and held-out accuracy."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from orrery.llm import decontam, language, mixing, neardup, pii, quality, secrets, sharding, substrings, tokens
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+FOLDER = "/root/testdata/sf0.001"
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def corpus(n=120, seed=1):
+    """Invented documents with copies, edited copies, shared passages, nulls, empty and long texts."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeéöñ") for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    passage = " ".join(rng.choice(words) for _ in range(40))
+    rows, texts = [], []
+    for i in range(n):
+        kind = rng.random()
+        if kind < 0.2 and texts:
+            text = rng.choice(texts)
+        elif kind < 0.45 and texts:
+            w = rng.choice(texts).split(" ")
+            for _ in range(rng.randint(1, 6)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            text = " ".join(w)
+        else:
+            text = " ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 5, 30, 80, 200])))
+            if rng.random() < 0.3:
+                text += "\n" + passage
+        texts.append(text)
+        rows.append((i, text, rng.choice(["en", "fr", None]), rng.choice(["b", "a", "é", None]), len(text)))
+    rows += [(n, None, "en", "a", 0), (n + 1, "", None, None, 0), (n + 2, "\n \t ", "en", "b", 3), (n + 3, passage.upper() * 40, "en", "a", 1)]
+    rows += [(n + 4, "x" * 200_000, None, "a", 200_000), (None, passage, "en", None, 1)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def table(df, *names):
+    return sorted(map(tuple, df.select(*names).collect()), key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
+
+
+# 1 ---------------------------------------------------------------------------------------
+
+
+def brute_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, target, capped = sum(sizes.values()), {}, set()
+    while True:
+        left, share = total - sum(3 * sizes[s] for s in capped), sum(w[s] for s in names if s not in capped)
+        target = {s: 3 * sizes[s] if s in capped else left * w[s] / share for s in names}
+        more = {s for s in names if s not in capped and target[s] > 3 * sizes[s]}
+        if not more:
+            return target
+        capped |= more
+
+
+def test_mixing_meets_targets_and_repeats(spark, docs):
+    out = mixing.query(docs)
+    rows = out.collect()
+    size = {r.doc_id: len(SPACE.findall(r.text or "")) for r in docs.collect()}
+    sources = {r.doc_id: r.source for r in docs.collect()}
+    sizes = defaultdict(int)
+    for d, s in sources.items():
+        sizes[s] += size[d]
+    want = brute_targets(sizes)
+    taken = defaultdict(int)
+    for r in rows:
+        assert r.size == size[r.doc_id] and r.source_size == sizes[sources[r.doc_id]]
+        assert r.target == pytest.approx(want[sources[r.doc_id]])
+        assert r.taken in {r.size * k for k in range(4)}
+        taken[sources[r.doc_id]] += r.taken
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= max(size[d] for d in size if sources[d] == s) + 1e-6
+    assert table(out, "doc_id", "taken") == table(mixing.query(docs.repartition(7)), "doc_id", "taken")
+
+
+def test_mixing_reduces_residuals_over_levels(monkeypatch, docs):
+    monkeypatch.setattr(mixing, "LEAF_ROWS", 2)
+    monkeypatch.setattr(mixing, "FAN_IN", 4)
+    rows = mixing.mix_decisions(docs).collect()
+    assert len(rows) == docs.count()
+    off = defaultdict(float)
+    for r in rows:
+        off[r.source_size, r.target] += r.taken
+    assert all(abs(v - t) <= 3200 for (_, t), v in off.items())
+
+
+def test_rounding_keeps_weighted_mass_and_marginals():
+    sizes = [3, 5, 2, 9, 4, 7]
+    seen = np.zeros(6)
+    for seed in range(4000):
+        done, held = mixing.round_masses([0.3] * 6, sizes, random.Random(seed).random)
+        assert sum(d * s for d, s in zip(done, sizes)) == pytest.approx(0.3 * sum(sizes))
+        assert sum(0 < d < 1 for d in done) <= 1 and (held < 0 or 0 < done[held] < 1)
+        seen += done
+    assert np.allclose(seen / 4000, 0.3, atol=0.04)
+
+
+def test_mix_repeats_rows_and_keeps_columns(docs, empty):
+    out = mixing.mix(docs.withColumn("taken", F.lit(1)).withColumn("size", F.lit("x")))
+    assert out.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "taken", "size"]
+    copies = Counter(r.doc_id for r in out.collect())
+    want = {(r.doc_id): r.copies for r in mixing.mix_decisions(docs).collect() if r.copies}
+    assert copies == want
+    assert mixing.query(empty).count() == 0 and mixing.mix(empty).count() == 0
+
+
+# 2 ---------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return Tokenizer.from_file(path), tokens.Counter(tokens.compile_model(path))
+
+
+def test_tokens_agree_with_the_library_on_odd_texts(tokenizer):
+    library, counter = tokenizer
+    rng = random.Random(3)
+    letters = "aabcdeéÉÀßüñÑçIİΣσς'’ \t\n \u0085\x1c\x1f 　​123٣４<>!?.#😀中文字한글̧́가ﬁǅ"
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(50)))
+        text += rng.choice(["", "<|endoftext|>", "don't WE'LL it's", "x<|startoftext|>y", "KELVIN K"])
+        assert counter.count(text.encode(), rng.choice([3, 7, 64])) == len(library.encode(text, add_special_tokens=False).ids), text
+
+
+def test_state_maps_compose_in_any_order(tokenizer):
+    _, counter = tokenizer
+    data = ("the quick brown fox\njumps over " * 9 + "nowhitespaceatall" * 5).encode()
+    cuts = [data[i : i + 11] for i in range(0, len(data), 11)]
+    left = counter.chunk(cuts[0])
+    for c in cuts[1:]:
+        left = counter.compose(left, counter.chunk(c))
+    assert left == counter.scan([counter.chunk(c) for c in cuts])
+
+
+def test_token_query(spark, docs, empty, tokenizer):
+    library, _ = tokenizer
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.query(spark, docs).collect()}
+    for r in docs.collect():
+        n = len(library.encode(r.text or "", add_special_tokens=False).ids)
+        assert got[r.doc_id] == (len((r.text or "").encode()), n, n > 2048)
+    assert tokens.query(spark, empty).count() == 0
+
+
+# 3 ---------------------------------------------------------------------------------------
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_pii(text):
+    digits = lambda s: "".join(re.findall("[0-9]", s))
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= len(digits(m[0])) <= 15]
+    return sorted(out)
+
+
+def test_base_patterns_agree_with_plain_matching():
+    rng = random.Random(9)
+    parts = ["a.b@c.de", "@", "x@y", "..@a.b", "+1 (234) 555-1234", "+", "4539 1488 0343 6467", "4539148803436467", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "007.0.00.255", " ", "-", ".", "9", "12", "é", "\n", "a@b@c.d-e.f", "%+@q.r"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(9)))
+        assert pii.base_spans(text) == brute_pii(text), text
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.train(pii.labelled_table())
+
+
+def test_field_on_held_out_lines_and_planted_data(field):
+    right = total = 0
+    for text, labels in pii.labelled_table(200, 99):
+        _, _, code = pii.tokens(np.array([*map(ord, text)], np.uint32))
+        right += (field.viterbi(code, np.zeros(len(code), int)) == np.array(labels)).sum()
+        total += len(labels)
+    assert right / total > 0.97
+    text = "von 7536784127813050 4845168114407329 und (017) 555-7713 fin\nnichts hier, 12 mal."
+    *counts, _, spans, added = pii.scan([text], field)[0]
+    assert counts == [0, 0, 0, 0] and "crf_card:4:20" in spans and "crf_card:21:37" in spans and "crf_phone:42:56" in spans
+
+
+def test_viterbi_agrees_with_enumeration(field):
+    import itertools
+
+    rng = np.random.default_rng(1)
+    code = rng.integers(0, pii.CODES, 8)
+    line = np.array([0, 0, 0, 1, 1, 1, 1, 2])
+    got = field.viterbi(code, line)
+    for n in range(3):
+        at = np.flatnonzero(line == n)
+        first, last = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        first[0], last[-1] = True, True
+        e = field.emissions(code[at], first, last)
+        score = lambda y: sum(e[i, c] for i, c in enumerate(y)) + sum(field.pair[a, b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        best = max(itertools.product(range(5), repeat=len(at)), key=score)
+        assert score(tuple(got[at])) == pytest.approx(score(best), abs=1e-4)
+
+
+def test_pii_query_keeps_base_digest(spark, docs, empty):
+    rows = [(1, "mail a.b@c.de and 4539148803436467", None, None, 0), (2, None, None, None, 0)]
+    got = {r.doc_id: r for r in pii.query(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1].base_sha256 == hashlib.sha256(b"email:5:13,card:18:34").hexdigest() and got[1].spans.startswith("email:5:13,card:18:34")
+    assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.query(spark, docs).count() == docs.count() and pii.query(spark, empty).count() == 0
+
+
+# 4 ---------------------------------------------------------------------------------------
+
+
+def brute_quality(text):
+    text = text or ""
+    words = SPACE.findall(text)
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    hit = set()
+    for i in range(len(words) - 7):
+        if windows[tuple(words[i : i + 8])] > 1:
+            hit |= set(range(i, i + 8))
+    lines = text.split("\n")
+    dup = sum(bool(SPACE.search(x)) and x in lines[:i] for i, x in enumerate(lines))
+    failed = len(words) < 20 or 100 * len(hit) > 30 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(hit), failed
+
+
+def test_quality_counts_and_bands(docs, empty):
+    rows = {r.doc_id: r for r in quality.query(docs).collect()}
+    for d in docs.collect():
+        r = rows[d.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(d.text)
+        assert not (r.base_failed and r.kept)
+    assert quality.query(empty).count() == 0
+
+
+def test_bands_reject_noise_and_keep_prose():
+    import base64
+    import os
+
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 8))) for _ in range(900)]
+    prose = " ".join(rng.choice(words) for _ in range(700))
+    assert quality.measure(prose, quality.Bands(), press)[6]
+    noise = base64.b64encode(os.urandom(6000)).decode()
+    noise = " ".join(noise[i : i + 9] for i in range(0, len(noise), 9))
+    assert not quality.measure(noise, quality.Bands(), press)[6]
+    half = prose + " " + " ".join(f"{w} x" for w in ["lorem"] * 3000)
+    assert not quality.measure(half, quality.Bands(), press)[6]
+
+
+# 5 ---------------------------------------------------------------------------------------
+
+ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+
+
+def brute_secrets(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+def test_secret_patterns_agree_with_plain_matching():
+    rng = random.Random(5)
+    parts = ["token", "SECRET", "api_key", "apikey", "PassWord", "=", ":", " ", '"', "'", "abc", "abcdef123456", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "\n", "é", "toKen", "-", "ſecret", "K"]
+    for _ in range(6000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(10)))
+        assert sorted(secrets.base_spans(text)) == brute_secrets(text), text
+
+
+def test_lexer_follows_names_to_literals():
+    text = 'x = "Zk3J9qLw82mN"\nurl = "hello world"\nclient_passphrase = x\nplain = "Zk3J9qLw82mQ"\n'
+    spans = [text[a:b] for a, b in secrets.lexed_spans(text)]
+    assert spans == ["Zk3J9qLw82mN"]
+    assert [t[a:b] for t in ["db_pwd := 'Ab3' + 'x9Qz7'"] for a, b in secrets.lexed_spans(t)] == ["Ab3", "x9Qz7"]
+    assert not secrets.lexed_spans('passphrase = "changeme"') and not secrets.lexed_spans("The key: be kind to people.")
+    counts = secrets.scan('token = "abcdef123456"')
+    assert counts[:3] == (1, 0, 0) and counts[4] == "assign:0:21" and counts[5] == 0
+
+
+def test_secret_query(docs, empty):
+    assert secrets.query(docs).count() == docs.count() and secrets.query(empty).count() == 0
+    assert secrets.query(docs).filter("n_lexed > 0").count() == 0
+
+
+# 6 ---------------------------------------------------------------------------------------
+
+ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def item_words(text):
+    return ITEM_WORD.findall((text or "").translate(ASCII_LOWER))
+
+
+def brute_decontam(rows, items):
+    out = []
+    for d, text in rows:
+        w = item_words(text)
+        hit, names = set(), set()
+        for i, t in items:
+            v = item_words(t)
+            size = min(10, len(v))
+            wins = {tuple(v[k : k + size]) for k in range(len(v) - size + 1)} if v else set()
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in wins:
+                    hit |= set(range(k, k + size))
+                    names.add(str(i))
+        out.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=lambda r: (r[0] is None, r[0] or 0))
+
+
+NAMES6 = "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+
+
+@pytest.mark.parametrize("second", [0, 64])
+def test_decontamination_agrees_with_brute_force(spark, docs, monkeypatch, second):
+    monkeypatch.setattr(decontam, "SECOND_LIST", second)
+    texts = [r.text for r in docs.collect() if r.text and len(r.text) < 3000]
+    rng = random.Random(6)
+    items = [(1, None), (2, ""), (3, "zzz qqq"), (10, texts[3]), (11, texts[3]), (4, " ".join(item_words(texts[5])[:3])), (5, "bb " * 30)]
+    for i in range(12, 30):
+        w = item_words(rng.choice(texts))
+        items.append((i, " ".join(w[2:40]).upper()))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, decontam.query(docs, bench).select(*NAMES6).collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    assert got == brute_decontam([(r.doc_id, r.text) for r in docs.collect()], items)
+
+
+def test_decontamination_of_empty_sides(spark, docs, empty):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.query(docs, none).filter("contaminated or n_items > 0").count() == 0
+    assert decontam.query(empty, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
+def test_proximity_finds_scattered_terms(spark):
+    rows = [(1, "alpha x x beta x gamma"), (2, "alpha " + "x " * 30 + "beta gamma"), (3, "gamma beta alpha")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(7, "Alpha beta gamma")], "item_id long, text string")
+    near = decontam.proximity_matches(d, b, 6)
+    keys = {r.k: r.doc_id for r in d.select("doc_id", decontam.row_key().alias("k")).collect()}
+    assert {keys[r.doc] for r in near.collect()} == {1, 3}
+
+
+# 7 ---------------------------------------------------------------------------------------
+
+
+def shingle_set(text):
+    w = SPACE.findall((text or "").translate(ASCII_LOWER))
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
+
+
+def brute_near(rows):
+    sets = {d: shingle_set(t) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return [(d, len(sets[d]), find(d), find(d) == d) for d in ids]
+
+
+def test_near_duplicates_agree_with_all_pairs(docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
+    out = neardup.query(docs)
+    got = table(out.filter("doc_id is not null"), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute_near(rows)
+    assert out.filter("doc_id is null").first().kept
+
+
+def test_near_duplicates_of_a_large_group_and_of_nothing(spark, empty):
+    rng = random.Random(8)
+    base = ["w%d" % rng.randrange(5000) for _ in range(150)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 7)):
+            w[rng.randrange(150)] = "e%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = table(neardup.query(df), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute_near(rows)
+    assert neardup.query(empty).count() == 0
+
+
+def test_sketch_fills_and_estimates_similarity():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 7, 50, 3000):
+        s = neardup.sketch(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+        assert (s != np.iinfo(np.uint64).max).all()
+    errors = []
+    for _ in range(60):
+        x = rng.integers(0, 2**63, 400, dtype=np.int64).astype(np.uint64)
+        a, b = x[:320], x[80:]
+        errors.append((neardup.sketch(a) == neardup.sketch(b)).mean() - 240 / 400)
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.label for r in neardup.components(df).collect()}
+    assert all(got[i] == (0 if i < 100 else 100) for i in got)
+
+
+# 8 ---------------------------------------------------------------------------------------
+
+
+def longest_matches(text, training):
+    """Phrases of a plain cross-parsing, without an automaton."""
+    count = at = 0
+    while at < len(text):
+        end = at + 1
+        while end <= len(text) and text[at:end] in training:
+            end += 1
+        at, count = max(at + 1, end - 1), count + 1
+    return count
+
+
+def test_phrases_agree_with_substring_search(monkeypatch):
+    rng = random.Random(2)
+    samples = {k: ["".join(rng.choice(a) for _ in range(300))] for k, a in (("x", "abc "), ("y", "bcd "))}
+    model = language.learn(samples, chars=250)
+    parser = language.Parser(model)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 200))) for _ in range(30)]
+    codes = [parser.lut[np.array([*map(ord, t)])] for t in texts]
+    ends = np.cumsum([*map(len, codes)])
+    got = parser.phrases(np.concatenate(codes), ends)
+    code = {c: i + 2 for i, c in enumerate(model["letters"])} | {" ": 0}
+    plain = {k: "".join(chr(65 + code.get(c, 1)) for c in language.reduce(v[0])[: model["size"]]) for k, v in samples.items()}
+    for i, t in enumerate(texts):
+        coded = "".join(chr(65 + int(c)) for c in codes[i])
+        assert got[i].tolist() == [longest_matches(coded, plain[k]) for k in sorted(samples)], t
+
+
+def test_language_on_held_out_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language.query(spark, d).join(d.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert {r.doc_id for r in held} == {r.doc_id for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    assert np.mean([r.lang == r.lang_pred for r in held]) > 0.98 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_of_texts_without_letters(spark, docs, empty):
+    rows = [(1, "12 34 !", "en", None, 0), (2, None, "en", None, 0), (3, "", None, None, 0)]
+    assert {r.lang_pred for r in language.query(spark, spark.createDataFrame(rows, SCHEMA)).collect()} == {"und"}
+    assert language.query(spark, docs).count() == docs.count() and language.query(spark, empty).count() == 0
+    kept = language.keep_identified(spark, docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {120, 121, 122}
+
+
+# 9 ---------------------------------------------------------------------------------------
+
+
+def test_shards_are_even_gapless_and_repeatable(docs, empty, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 16)
+    out = sharding.query(docs)
+    rows = out.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect())
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert set(by) == set(range(24)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert all(r.size == len(text[r.doc_id]) + 8 and r.text_crc32 == zlib.crc32(text[r.doc_id]) for r in rows)
+    again = sharding.query(docs.repartition(5))
+    assert table(out, "doc_id", "shard", "slot") == table(again, "doc_id", "shard", "slot")
+    assert sharding.query(empty).count() == 0
+
+
+def test_shuffle_keeps_clashing_columns_apart_and_small_buckets(docs):
+    d = docs.withColumn("slot", F.lit("mine")).withColumn("bucket", F.lit(3)).withColumn("row", F.lit(1.5))
+    out = sharding.external_shuffle(d, 3, bucket_rows=5)
+    assert out.columns == [*docs.columns, "bucket", "row", "shard", "slot"] and out.count() == docs.count()
+
+
+def test_permutations_are_uniform(spark):
+    p = spark.range(3000).select(sharding.fisher_yates(F.lit(3), F.col("id")).alias("p"))
+    counts = Counter(tuple(r.p) for r in p.collect())
+    assert len(counts) == 6 and min(counts.values()) > 400
+    one = spark.range(1).select(sharding.fisher_yates(F.lit(1), F.col("id")).alias("p")).first().p
+    assert one == [0]
+
+
+def test_written_shards_hold_every_row(docs, tmp_path, spark):
+    sharding.write_shards(docs, str(tmp_path / "s"), 4)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+
+
+# 10 --------------------------------------------------------------------------------------
+
+
+def brute_repeats(rows, length=50):
+    data = [(d if d is not None else substrings.LAST_ID, (t or "").encode()) for d, t in rows]
+    first = {}
+    for d, b in data:
+        for i in range(len(b) - length + 1):
+            w = b[i : i + length]
+            first[w] = min(first.get(w, d), d)
+    out = []
+    for d, b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if first[b[i : i + length]] < d:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        runs = len(re.findall(rb"\x01+", bytes(gone)))
+        out.append((len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+NAMES10 = "n_bytes", "n_removed", "n_spans", "kept_sha256"
+
+
+def test_repeats_agree_with_brute_force(docs):
+    want = brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(map(tuple, substrings.query(docs).select(*NAMES10).collect())) == want
+
+
+def test_repeats_in_low_entropy_and_beyond_a_buffer(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "_BUFFER", 256)
+    monkeypatch.setattr(substrings, "_POS", np.uint64(255))
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(rng.choice([40, 60, 300, 900])))) for i in range(20)]
+    rows += [(20, "ab" * 300), (21, "ba" * 400), (21, "ab" * 100), (22, rows[3][1][5:200] + rows[4][1]), (23, rows[3][1])]
+    run = list(substrings.find_anchors(4, 50)(substrings.pack(2)(iter([pd.DataFrame({"id": [r[0] for r in rows], "row": np.arange(len(rows)), "text": [r[1] for r in rows]})]))))
+    assert run and run[0]["known"].any()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, substrings.query(df).select(*NAMES10).collect()))
+    assert got == brute_repeats(rows)
+
+
+def test_kept_bytes_round_trip(docs):
+    for r in substrings.remove_repeats(docs).join(docs.select("doc_id", "text"), "doc_id").limit(60).collect():
+        data = (r.text or "").encode()
+        edges = [0, *r.spans, len(data)]
+        assert bytes(r.kept) == b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+        assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
+
+
+def test_deep_shallow_sort_orders_like_sorted():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab") for _ in range(8)).encode() for _ in range(200)]
+    trie = substrings.BlindTrie()
+    for i, t in enumerate(texts):
+        trie.add(t, i)
+    assert [t for t, _ in trie.ordered()] == sorted(set(texts))
+    assert sorted(i for _, v in trie.ordered() for i in v) == list(range(200))
+    data = np.frombuffer(b"abcabcabxabcabcaby" + b"\0" * 10, np.uint8)
+    groups = substrings.shallow_groups(data, np.arange(18), 8)
+    assert [sorted(g.tolist()) for g in groups] == [[0, 9]]
+
+
+def test_repeats_of_nothing(empty):
+    assert substrings.query(empty).count() == 0
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(empty, 8)
+
+
+# pipeline ----------------------------------------------------------------------------------
+
+
+def test_pipeline_against_its_stages_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = corpus(80, 5)[:-1]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    item = " ".join(item_words(rows[7][1] or "")[:30]) or "a b c"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = Counter(r.doc_id for r in out.collect())
+    left = [(r[0], r[1]) for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    kept = {d for d, _, _, k in brute_near(left) if k}
+    left = [r for r in left if r[0] in kept]
+    clean = {r[0] for r in brute_decontam(left, [(1, item)]) if not r[5]}
+    assert set(got) <= clean and max(got.values()) <= 3
+    source = {r[0]: r[3] for r in rows}
+    sizes, size = defaultdict(int), {d: len(SPACE.findall(t)) for d, t in left if d in clean}
+    for d, n in size.items():
+        sizes[source[d]] += n
+    want = brute_targets(sizes)
+    for s in sizes:
+        taken = sum(size[d] * n for d, n in got.items() if source[d] == s)
+        assert abs(taken - want[s]) <= max(n for d, n in size.items() if source[d] == s)
+    assert [c for c in out.columns] == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "shard", "slot"]
+
+
+@pytest.mark.parametrize("name", ["op6_decontaminate", "op7_near_duplicates"])
+def test_queries_give_the_rows_of_their_sql(spark, name):
+    from orrery.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, FOLDER)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
