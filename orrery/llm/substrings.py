@@ -14,7 +14,8 @@ with a smaller id.
   shallow depth, then a blind trie for each group that still agrees. Neighbours that
   agree over all ``length`` bytes are the repeats, and the smallest id among them stays.
 
-Texts are dealt out by row once; that exchange serves all three passes over them.
+Texts are dealt out once, in memory-sized deals; that exchange serves all three passes over
+them, and what buckets answer goes back to the deals in bundles.
 """
 
 from __future__ import annotations
@@ -24,15 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import n_bytes
 
 LENGTH, GRAM, SHALLOW = 50, 16, 24
-#: Anchors that one bucket sorts, on average.
-BUCKET_ANCHORS = 1_000_000
-_BUFFER = 1 << 20
+#: Anchors that one bucket sorts, and bytes of text that one deal holds, on average.
+BUCKET_ANCHORS, DEAL_BYTES = 500_000, 8 << 20
+_BUFFER = 1 << 17
 _POS = np.uint64(_BUFFER - 1)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
@@ -107,15 +108,46 @@ def pieces(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[list[int]
         yield flush()
 
 
+PACKED_SCHEMA = "deal long, id long, row long, packed binary"
+
+
+def pack(deals: int):
+    """Texts as compressed UTF-8, which is what the one exchange of texts moves, and their deal."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = [press((t or "").encode("utf-8", "replace")) for t in batch["text"]]
+            yield pd.DataFrame({"deal": batch["row"] % deals, "id": batch["id"], "row": batch["row"], "packed": packed})
+
+    return run
+
+
+def _by_deal(rows: np.ndarray, deals: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Deals with the places of their rows; ``rows`` come sorted and stay so."""
+    deal = rows % deals
+    order = np.argsort(deal, kind="stable")
+    cuts = np.flatnonzero(np.diff(deal[order])) + 1
+    for at in np.split(order, cuts) if len(order) else ():
+        yield int(deal[at[0]]), at
+
+
 def _utf8(batch: pd.DataFrame) -> list[bytes]:
-    return [(t or "").encode("utf-8", "replace") for t in batch["text"]]
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor().decompress
+    return [plain(x) for x in batch["packed"]]
 
 
 def _tags(hashes: np.ndarray) -> np.ndarray:
+    """48 bits that name an anchor; a chance meeting only costs a comparison."""
     return hashes >> np.uint64(16)
 
 
-ANCHOR_SCHEMA = "bucket long, known boolean, tags binary, rows binary"
+_LOW = np.uint64(0xFFFFFFFF)
+ANCHOR_SCHEMA = "bucket long, known boolean, low binary, high binary, rows binary"
 
 
 def find_anchors(buckets: int, length: int):
@@ -153,8 +185,9 @@ def find_anchors(buckets: int, length: int):
             t, r, to = t[order], r[order], to[order]
             cuts = np.flatnonzero(np.diff(to)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(to)], strict=True):
-                out.append((int(to[a]), known, t[a:b].tobytes(), r[a:b].tobytes()))
-        yield pd.DataFrame(out, columns=["bucket", "known", "tags", "rows"])
+                low, high = (t[a:b] & _LOW).astype(np.uint32), (t[a:b] >> np.uint64(32)).astype(np.uint16)
+                out.append((int(to[a]), known, low.tobytes(), high.tobytes(), r[a:b].tobytes()))
+        yield pd.DataFrame(out, columns=["bucket", "known", "low", "high", "rows"])
 
     return run
 
@@ -163,69 +196,109 @@ def _joined(column: pd.Series, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
 
-def repeated_anchors(group: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket's anchors those with two rows or more, and all known ones, by row."""
-    fresh = group[~group["known"]]
-    tag, row = _joined(fresh["tags"], np.uint64), _joined(fresh["rows"], np.int64)
-    order = np.argsort(tag, kind="stable")
-    tag, row = tag[order], row[order]
-    head = np.ones(len(tag), bool)
-    head[1:] = tag[1:] != tag[:-1]
-    which = np.cumsum(head) - 1
-    firsts = row[head]
-    differ = np.zeros(len(firsts), bool)
-    differ[which[row != firsts[which]]] = True
-    chosen = differ[which] if len(tag) else np.zeros(0, bool)
-    known = group[group["known"]]
-    tag = np.concatenate([tag[chosen], _joined(known["tags"], np.uint64)])
-    row = np.concatenate([row[chosen], _joined(known["rows"], np.int64)])
-    order = np.argsort(row, kind="stable")
-    tag, row = tag[order].astype(np.int64), row[order]
-    cuts = np.flatnonzero(np.diff(row)) + 1
-    parts = np.split(tag, cuts) if len(tag) else []
-    return pd.DataFrame({"row": row[[0, *cuts]] if len(row) else row, "tags": [p.tobytes() for p in parts]})
-
-
-STRETCH_SCHEMA = "bucket long, row long, id long, start long, text binary, gone boolean"
+def _whole_tags(group: pd.DataFrame) -> np.ndarray:
+    return (_joined(group["high"], np.uint16).astype(np.uint64) << np.uint64(32)) | _joined(group["low"], np.uint32)
+
+
+TAG_SCHEMA = "deal long, rows binary, low binary"
+
+
+def repeated_anchors(deals: int):
+    """Of a bucket's anchors those with two rows or more, and all known ones, by deal.
+
+    32 bits of a tag go back, which are enough to tell the few anchors of a text apart.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        fresh = group[~group["known"]]
+        tag, row = _whole_tags(fresh), _joined(fresh["rows"], np.int64)
+        order = np.argsort(tag, kind="stable")
+        tag, row = tag[order], row[order]
+        head = np.ones(len(tag), bool)
+        head[1:] = tag[1:] != tag[:-1]
+        which = np.cumsum(head) - 1
+        firsts = row[head]
+        differ = np.zeros(len(firsts), bool)
+        differ[which[row != firsts[which]]] = True
+        chosen = differ[which] if len(tag) else np.zeros(0, bool)
+        known = group[group["known"]]
+        tag = np.concatenate([tag[chosen], _whole_tags(known)])
+        row = np.concatenate([row[chosen], _joined(known["rows"], np.int64)])
+        order = np.argsort(row, kind="stable")
+        low, row = (tag[order] & _LOW).astype(np.uint32), row[order]
+        out = [(deal, row[at].tobytes(), low[at].tobytes()) for deal, at in _by_deal(row, deals)]
+        return pd.DataFrame(out, columns=["deal", "rows", "low"])
+
+    return run
+
+
+#: ``done``: spans are settled, and packed holds them; else packed holds stretches of text, compressed.
+STRETCH_SCHEMA = "bucket long, done boolean, rows binary, ids binary, starts binary, sizes binary, packed binary"
 
 
 def find_stretches(buckets: int, length: int):
     """Pass two: for each repeated anchor the text that its windows span.
 
     Of rows that agree in a stretch only those with the smallest id have it judged; for
-    the others it is gone.
+    the others it is gone. Each deal sends a bucket one bundle.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(held: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress
         smallest: dict[bytes, int] = {}
-        found: list[tuple[int, int, int, bytes]] = []
-        for batch in batches:
-            texts, keys, ids = _utf8(batch), batch["row"].tolist(), batch["id"].tolist()
-            wanted = [np.unique(np.frombuffer(b"".join(t), np.uint64)) for t in batch["tags"]]
+        found: list[tuple[int, int, int, bytes, int]] = []
+        rows, low = _joined(told["rows"], np.int64), _joined(told["low"], np.uint32)
+        order = np.argsort(rows, kind="stable")
+        rows, low = rows[order], low[order]
+        held = held[np.isin(held["row"].to_numpy(), rows)]
+        if len(held):
+            texts, keys, ids = _utf8(held), held["row"].tolist(), held["id"].tolist()
+            first, last = np.searchsorted(rows, keys), np.searchsorted(rows, keys, side="right")
+            wanted = [np.unique(low[a:b]) for a, b in zip(first, last, strict=True)]
             for numbers, data, starts, off in pieces(texts, length):
                 at, place, hashes = anchors(data, starts, length)
-                edge = np.flatnonzero(np.diff(place)) + 1
+                # An anchor's windows follow each other; a text's border ends them, too.
+                owner = np.searchsorted(starts, at, side="right") - 1
+                edge = np.flatnonzero((np.diff(place) != 0) | (np.diff(owner) != 0)) + 1
                 heads = np.concatenate([[0], edge])
-                tails = np.concatenate([edge, [len(place)]]) - 1
-                lo, hi = at[heads], at[tails]
+                lo, hi = at[heads], at[np.concatenate([edge, [len(place)]]) - 1]
                 tag = _tags(hashes[place[heads]])
-                owner = np.searchsorted(starts, lo, side="right") - 1
-                bounds = np.searchsorted(owner, np.arange(len(numbers) + 1))
+                bounds = np.searchsorted(owner[heads], np.arange(len(numbers) + 1))
                 raw = data.tobytes()
                 for j, i in enumerate(numbers):
                     a, b = bounds[j], bounds[j + 1]
-                    for k in a + np.flatnonzero(np.isin(tag[a:b], wanted[i])):
-                        p, q = int(lo[k]), int(hi[k])
+                    chosen = a + np.flatnonzero(np.isin((tag[a:b] & _LOW).astype(np.uint32), wanted[i]))
+                    base, key, id_ = off - int(starts[j]), keys[i], ids[i]
+                    for p, q, t in zip(lo[chosen].tolist(), hi[chosen].tolist(), (tag[chosen] % np.uint64(buckets)).tolist(), strict=True):
                         stretch = raw[p : q + length]
                         known = smallest.get(stretch)
-                        if known is None or ids[i] < known:
-                            smallest[stretch] = ids[i]
-                        found.append((keys[i], ids[i], p - int(starts[j]) + off, stretch, int(tag[k])))
-        out = [(t % buckets if id_ == smallest[s] else r % buckets, r, id_, p, s, id_ != smallest[s]) for r, id_, p, s, t in found]
-        for i in range(0, len(out), 50_000):
-            rows = pd.DataFrame(out[i : i + 50_000], columns=["bucket", "row", "id", "start", "text", "gone"])
-            rows.loc[rows["gone"], "text"] = rows.loc[rows["gone"], "text"].map(lambda s: len(s).to_bytes(4, "big"))
-            yield rows
+                        if known is None or id_ < known:
+                            smallest[stretch] = id_
+                        found.append((key, id_, p + base, stretch, t))
+        gone: dict[int, list[int]] = {}
+        open_: dict[int, list[tuple]] = {}
+        for entry in found:
+            key, id_, start, stretch, bucket = entry
+            if id_ == smallest[stretch]:
+                open_.setdefault(bucket, []).append(entry)
+            else:
+                gone.setdefault(key, []).extend((start, start + len(stretch)))
+        found.clear()
+        out = []
+        for bucket, entries in open_.items():
+            rows, ids, starts, texts, _ = zip(*entries, strict=True)
+            bundle = [np.array(x, kind).tobytes() for x, kind in ((rows, np.int64), (ids, np.int64), (starts, np.uint32), ([*map(len, texts)], np.uint16))]
+            out.append((bucket, False, *bundle, press(b"".join(texts))))
+        by_bucket: dict[int, list] = {}
+        for key, flat in gone.items():
+            by_bucket.setdefault(key % buckets, []).append((key, merged(flat)))
+        for bucket, spans in by_bucket.items():
+            rows = np.array([k for k, _ in spans], np.int64).tobytes()
+            sizes = np.array([len(x) for _, x in spans], np.uint32).tobytes()
+            out.append((bucket, True, rows, b"", b"", sizes, press(np.concatenate([x for _, x in spans]).tobytes())))
+        return pd.DataFrame(out, columns=["bucket", "done", "rows", "ids", "starts", "sizes", "packed"])
 
     return run
 
@@ -262,17 +335,18 @@ class BlindTrie:
         self.root = None
         self.leaves: list[tuple[bytes, list]] = []
 
-    def add(self, text: bytes, value) -> None:
+    def add(self, text: bytes, value) -> list:
+        """Store a value under ``text``; what is stored there."""
         if self.root is None:
             self.root = self._leaf(text, value)
-            return
+            return self.leaves[-1][1]
         node = self.root
         while type(node) is tuple:
             node = node[1].get(text[node[0]]) or next(iter(node[1].values()))
         other, values = self.leaves[node - 1]
         if other == text:
             values.append(value)
-            return
+            return values
         differ = int.from_bytes(other, "big") ^ int.from_bytes(text, "big")
         place = len(text) - 1 - (differ.bit_length() - 1) // 8
         parent, node = None, self.root
@@ -281,12 +355,13 @@ class BlindTrie:
         leaf = self._leaf(text, value)
         if type(node) is tuple and node[0] == place:
             node[1][text[place]] = leaf
-            return
-        fresh = (place, {other[place]: node, text[place]: leaf})
-        if parent is None:
-            self.root = fresh
         else:
-            parent[1][text[parent[0]]] = fresh
+            fresh = (place, {other[place]: node, text[place]: leaf})
+            if parent is None:
+                self.root = fresh
+            else:
+                parent[1][text[parent[0]]] = fresh
+        return self.leaves[-1][1]
 
     def _leaf(self, text: bytes, value) -> int:
         self.leaves.append((text, [value]))
@@ -309,39 +384,65 @@ def sorted_repeats(texts: list[bytes], length: int, shallow: int = SHALLOW) -> I
     ends = np.cumsum([len(t) for t in texts])
     sizes = np.diff(ends, prepend=0)
     windows = sizes - length + 1
-    owner = np.repeat(np.arange(len(texts)), windows)
     begin = ends - sizes
     starts = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-    for group in shallow_groups(data, starts, shallow):
-        trie = BlindTrie()
-        for s in group.tolist():
-            trie.add(raw[s : s + length], s)
+    groups = shallow_groups(data, starts, shallow)
+    if not groups:
+        return
+    members = np.concatenate(groups)
+    owner = np.searchsorted(ends, members, side="right")
+    offset = members - begin[owner]
+    for group, own, off in zip(
+        groups, *(np.split(x, np.cumsum([*map(len, groups)])[:-1]) for x in (owner, offset)), strict=True
+    ):
+        if len(group) == 2:  # a trie of two leaves
+            s, t = group.tolist()
+            if raw[s : s + length] == raw[t : t + length]:
+                yield list(zip(own.tolist(), off.tolist(), strict=True))
+            continue
+        trie, known = BlindTrie(), {}
+        for s, value in zip(group.tolist(), zip(own.tolist(), off.tolist(), strict=True), strict=True):
+            text = raw[s : s + length]
+            if (same := known.get(text)) is None:  # what is known need not go down the trie again
+                known[text] = trie.add(text, value)
+            else:
+                same.append(value)
         for _, same in trie.ordered():
             if len(same) > 1:
-                yield [(int(o), s - int(begin[o])) for s, o in zip(same, np.searchsorted(ends, same, side="right"), strict=True)]
-    del owner
+                yield same
+
 
+SPAN_SCHEMA = "deal long, rows binary, sizes binary, spans binary"
 
-def judge(length: int):
-    """A bucket's stretches: spans to remove, by row."""
+
+def judge(length: int, deals: int):
+    """A bucket's stretches: spans to remove, by deal."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        plain = zstandard.ZstdDecompressor().decompress
         spans: dict[int, list[int]] = {}
         texts: dict[bytes, int] = {}
         smallest: list[int] = []
         entries: list[tuple[int, int, int, int]] = []
-        for row, id_, start, text, gone in zip(
-            group["row"].tolist(), group["id"].tolist(), group["start"].tolist(), group["text"], group["gone"].tolist(), strict=True
-        ):
-            if gone:
-                spans.setdefault(row, []).extend((start, start + int.from_bytes(text, "big")))
+        for bundle in group.itertuples(index=False):
+            rows, raw = np.frombuffer(bundle.rows, np.int64).tolist(), plain(bundle.packed)
+            if bundle.done:
+                parts = np.split(np.frombuffer(raw, np.int64), np.cumsum(np.frombuffer(bundle.sizes, np.uint32))[:-1])
+                for row, flat in zip(rows, parts, strict=True):
+                    spans.setdefault(row, []).extend(flat.tolist())
                 continue
-            number = texts.setdefault(text, len(texts))
-            if number == len(smallest):
-                smallest.append(id_)
-            elif id_ < smallest[number]:
-                smallest[number] = id_
-            entries.append((number, row, id_, start))
+            ids, starts = np.frombuffer(bundle.ids, np.int64).tolist(), np.frombuffer(bundle.starts, np.uint32).tolist()
+            at = 0
+            for row, id_, start, size in zip(rows, ids, starts, np.frombuffer(bundle.sizes, np.uint16).tolist(), strict=True):
+                number = texts.setdefault(raw[at : at + size], len(texts))
+                at += size
+                if number == len(smallest):
+                    smallest.append(id_)
+                elif id_ < smallest[number]:
+                    smallest[number] = id_
+                entries.append((number, row, id_, start))
         every = list(texts)
         cut: dict[int, list[int]] = {}
         for same in sorted_repeats(every, length) if every else ():
@@ -355,7 +456,13 @@ def judge(length: int):
             else:
                 for offset in cut.get(number, ()):
                     spans.setdefault(row, []).extend((start + offset, start + offset + length))
-        return pd.DataFrame({"row": list(spans), "spans": [merged(v).tobytes() for v in spans.values()]}).astype({"row": "int64"})
+        done = {row: merged(flat) for row, flat in spans.items()}
+        rows, out = np.array(sorted(done), np.int64), []
+        for deal, at in _by_deal(rows, deals):
+            flats = [done[r] for r in rows[at].tolist()]
+            sizes = np.array([*map(len, flats)], np.uint32)
+            out.append((deal, rows[at].tobytes(), sizes.tobytes(), np.concatenate(flats).astype(np.uint32).tobytes()))
+        return pd.DataFrame(out, columns=["deal", "rows", "sizes", "spans"])
 
     return run
 
@@ -371,22 +478,26 @@ def merged(flat) -> np.ndarray:
     return np.stack([pairs[head, 0], reach[tails]], axis=1).ravel()
 
 
-RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary"
+RESULT_SCHEMA = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary"
 
 
 def _finish(keep_text: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for data, spans in zip(_utf8(batch), batch["spans"], strict=True):
-                flat = merged(np.frombuffer(b"".join(spans), np.int64)) if spans is not None and len(spans) else np.zeros(0, np.int64)
-                edges = [0, *flat.tolist(), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if len(flat) else data
-                digest = hashlib.sha256(kept).hexdigest()
-                out.append((len(data), len(data) - len(kept), len(flat) // 2, digest, flat, kept if keep_text else None))
-            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
-            frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield frame
+    def run(held: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        spans: dict[int, list] = {}
+        for x in told.itertuples(index=False):
+            parts = np.split(np.frombuffer(x.spans, np.uint32), np.cumsum(np.frombuffer(x.sizes, np.uint32))[:-1])
+            for row, flat in zip(np.frombuffer(x.rows, np.int64).tolist(), parts, strict=True):
+                spans.setdefault(row, []).append(flat)
+        out = []
+        for data, row in zip(_utf8(held), held["row"].tolist(), strict=True):
+            flat = merged(np.concatenate(spans[row])) if row in spans else np.zeros(0, np.int64)
+            edges = [0, *flat.tolist(), len(data)]
+            kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if len(flat) else data
+            digest = hashlib.sha256(kept).hexdigest()
+            out.append((len(data), len(data) - len(kept), len(flat) // 2, digest, flat, kept if keep_text else None))
+        frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+        frame.insert(0, "id", held["id"].to_numpy())
+        return frame
 
     return run
 
@@ -401,18 +512,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     total = docs.agg(F.sum(n_bytes(F.col("text")))).first()[0] or 0
-    buckets = max(1, total // ((length - GRAM + 2) // 2) // BUCKET_ANCHORS) * 2
-    dealt = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").repartition("row")
-    binary: Column = F.collect_list("tags").alias("tags")
-    rows = dealt.select("row", "text").mapInPandas(find_anchors(buckets, length), ANCHOR_SCHEMA)
-    tags = rows.groupBy("bucket").applyInPandas(repeated_anchors, "row long, tags binary").groupBy("row").agg(binary)
-    told = dealt.select("doc_id", "row", "text").join(tags, "row")
-    told = told.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "row", "text", "tags")
-    stretches = told.mapInPandas(find_stretches(buckets, length), STRETCH_SCHEMA)
-    spans = stretches.groupBy("bucket").applyInPandas(judge(length), "row long, spans binary")
-    spans = spans.groupBy("row").agg(F.collect_list("spans").alias("spans"))
-    last = dealt.join(spans, "row", "left").select("doc_id", "text", "spans")
-    return last.mapInPandas(_finish(keep_text), RESULT_SCHEMA)
+    buckets = 1 + total // ((length - GRAM + 2) // 2) // BUCKET_ANCHORS
+    deals = 1 + total // DEAL_BYTES
+    # No nulls go to Python, as pandas would turn ids that stand beside them into floats.
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    dealt = keyed.mapInPandas(pack(deals), PACKED_SCHEMA).repartition("deal")
+    rows = dealt.mapInPandas(find_anchors(buckets, length), ANCHOR_SCHEMA)
+    tags = rows.groupBy("bucket").applyInPandas(repeated_anchors(deals), TAG_SCHEMA)
+    beside = lambda told: dealt.groupBy("deal").cogroup(told.groupBy("deal"))
+    stretches = beside(tags).applyInPandas(find_stretches(buckets, length), STRETCH_SCHEMA)
+    spans = stretches.groupBy("bucket").applyInPandas(judge(length, deals), SPAN_SCHEMA)
+    out = beside(spans).applyInPandas(_finish(keep_text), RESULT_SCHEMA)
+    return out.select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), *out.columns[1:])
 
 
 def query(docs: DataFrame) -> DataFrame:
