@@ -165,7 +165,8 @@ def q_engine_group_metrics(v: Views) -> DataFrame:
     return rounded(out, "mean_delta", "median_delta", "p95_abs_delta", "max_abs_delta")
 
 
-@query("SELECT CAST(avg(score) * 0 AS INT) AS violations, count(*) AS rows FROM scores")
+@query("""SELECT CAST(count(*) FILTER (r - p <> 1 OR score < q) AS INT) AS violations, count(*) AS rows FROM (SELECT *, lag(r) OVER (PARTITION BY receptor_id ORDER BY r) AS p,
+  lag(score) OVER (PARTITION BY receptor_id ORDER BY r) AS q FROM (SELECT *, row_number() OVER (PARTITION BY receptor_id ORDER BY score, ligand_id) AS r FROM scores))""")
 def q_ranking_audit(v: Views) -> DataFrame:
     """Ranks that do not rise by one, or scores that fall along them: there are none."""
     r = ranking.ranked(v.scores, ["receptor_id"])

@@ -14,20 +14,27 @@ from orrery.plans.q_core import DOUBLES, metric_sql, rounded
 from orrery.plans.registry import query
 from orrery.plans.views import SEEDS, Views
 
+
+
+def _doubles(df: DataFrame, *names: str) -> DataFrame:
+    """Whole numbers with nulls as doubles, which every client reads alike."""
+    return df.withColumns({c: F.col(c).cast("double") for c in names})
+
+
 REPRESENTATIVE = """SELECT ligand_id, receptor_id, {score} AS representative_score, CASE WHEN n > 0 THEN 'ok' ELSE 'failed' END AS status, n AS pose_count,
-  {rank} AS best_pose_rank, best AS best_docking_score FROM (SELECT ligand_id, receptor_id, count(*) FILTER (status = 'ok') AS n,
+  CAST({rank} AS DOUBLE) AS best_pose_rank, best AS best_docking_score FROM (SELECT ligand_id, receptor_id, count(*) FILTER (status = 'ok') AS n,
   min(docking_score) FILTER (status = 'ok') AS best, min(docking_score) FILTER (status = 'ok' AND pose_rank = 1) AS first,
   arg_min(pose_rank, docking_score * 100000 + pose_rank) FILTER (status = 'ok') AS best_rank FROM poses GROUP BY ligand_id, receptor_id)"""
 
 
 @query(REPRESENTATIVE.format(score="coalesce(first, best)", rank="CASE WHEN first IS NULL THEN best_rank ELSE 1 END"))
 def q_representative_rank1(v: Views) -> DataFrame:
-    return rel.representative(v.poses, ["ligand_id", "receptor_id"])
+    return _doubles(rel.representative(v.poses, ["ligand_id", "receptor_id"]), "best_pose_rank")
 
 
 @query(REPRESENTATIVE.format(score="best", rank="best_rank"))
 def q_representative_min(v: Views) -> DataFrame:
-    return rel.representative(v.poses, ["ligand_id", "receptor_id"], "min_score")
+    return _doubles(rel.representative(v.poses, ["ligand_id", "receptor_id"], "min_score"), "best_pose_rank")
 
 
 @query("""SELECT ligand_id, arg_max(docking_score, o) AS docking_score FROM (SELECT ligand_id, docking_score, receptor_id * 10 + seed AS o FROM poses
@@ -170,14 +177,15 @@ BEST = """b AS (SELECT ligand_id, seed, first(receptor_id ORDER BY score, recept
 a AS (SELECT x.seed AS seed_a, y.seed AS seed_b, x.best = y.best AS same FROM b x JOIN b y ON x.ligand_id = y.ligand_id AND x.seed < y.seed)"""
 
 
-@query(f"WITH {BEST} SELECT seed_a, seed_b, round(avg(CASE WHEN same THEN 1.0E0 ELSE 0.0E0 END), 6) AS agreement, count(*) AS n FROM a GROUP BY ROLLUP ((seed_a, seed_b))")
+@query(f"WITH {BEST} SELECT CAST(seed_a AS DOUBLE) AS seed_a, CAST(seed_b AS DOUBLE) AS seed_b, round(avg(CASE WHEN same THEN 1.0E0 ELSE 0.0E0 END), 6) AS agreement, count(*) AS n FROM a GROUP BY ROLLUP ((a.seed_a, a.seed_b))")
 def q_best_agreement(v: Views) -> DataFrame:
     """How often two replicates choose the same best receptor: per pair of replicates, and over all."""
     b = v.seed_scores.groupBy("ligand_id", "seed").agg(F.min_by("receptor_id", F.struct("score", "receptor_id")).alias("best"))
     x, y = b.select("ligand_id", F.col("seed").alias("seed_a"), F.col("best").alias("p")), b.select("ligand_id", F.col("seed").alias("seed_b"), F.col("best").alias("q"))
     same = x.join(y, "ligand_id").filter("seed_a < seed_b").select("seed_a", "seed_b", (F.col("p") == F.col("q")).cast("double").alias("same"))
     sets = same.groupingSets([[F.col("seed_a"), F.col("seed_b")], []], "seed_a", "seed_b")
-    return rounded(sets.agg(F.avg("same").alias("agreement"), F.count(F.lit(1)).alias("n")), "agreement")
+    out = rounded(sets.agg(F.avg("same").alias("agreement"), F.count(F.lit(1)).alias("n")), "agreement")
+    return _doubles(out, "seed_a", "seed_b")
 
 
 @query("SELECT ligand_id, receptor_id, round(avg(score), 6) AS mean_score, count(*) AS repeats, count(DISTINCT seed) = 3 AS complete FROM seed_scores GROUP BY ligand_id, receptor_id")
