@@ -10,7 +10,9 @@ Equal sets first become one class. In each bucket, members are tried against cen
 members (those whose buckets are the largest: the least edited copies) rather than
 against each other, so a group of n copies costs n comparisons a round, not n squared.
 Members that a bucket's centre does not reach stay for the next round, with another
-centre. Links are confirmed on the full sets, and components are found by passing on
+centre. After the rounds, the buckets that still hold an untried pair of different
+components are joined into clusters, and in each of these all sets are compared as
+products of matrices. Links are confirmed on the full sets, and components are found by passing on
 the smallest id with pointer jumping. Nothing is gathered on the driver.
 """
 
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from orrery.llm.common import cut, worker_cache
 
 WIDTH, BINS, ROWS, PERCENT, ROUNDS = 5, 128, 4, 75, 3
+#: Sets of a cluster in a block, and blocks of a cluster at most (a larger one has larger blocks).
+BLOCK_SETS, BLOCKS = 256, 16
 SKETCH_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,6 +134,57 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def label_links(label: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Pairs of different labels that have a link between two of their sets, found among all pairs."""
+    m, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(m), sizes)
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1  # what only one set has is in no intersection
+    owner, col = owner[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], col[order]
+    wide, tall = max(64, (1 << 22) // m), max(1, (1 << 23) // m)
+    out = [np.zeros((0, 2), np.int64)]
+    for top in range(0, m, tall):
+        both = np.zeros((min(tall, m - top), m), np.float32)  # whole numbers below 2**24: exact
+        for left in range(0, int(shared.sum()), wide):
+            a, b = np.searchsorted(col, [left, left + wide])
+            part = np.zeros((m, min(wide, int(shared.sum()) - left)), np.float32)
+            part[owner[a:b], col[a:b] - left] = 1
+            both += part[top : top + tall] @ part.T
+        both = both.astype(np.int64)
+        union = sizes[top : top + tall, None] + sizes - both
+        x, y = np.nonzero((both * 100 >= percent * union) & (label[top : top + tall, None] < label))
+        if len(x):
+            out.append(np.unique(np.stack([label[top + x], label[y]], axis=1), axis=0))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def rest_links(members: DataFrame, spent: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links ``a, b`` between the components that share a bucket with an untried pair; None if there is no such bucket.
+
+    ``spent (band, doc)`` were centres, so they have been tried against their whole bucket.
+    """
+    now = members.select("band", "doc").join(spent, ["band", "doc"], "left_anti")
+    now = now.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    open_ = now.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("doc").alias("b"))
+    live = cut(now.join(open_.filter("l < h").select("band", "b"), "band").select(F.col("doc").alias("a"), "b", "label").distinct())
+    if live.isEmpty():
+        return None
+    docs = components(live).select(F.col("node").alias("doc"), F.col("label").alias("cluster"))
+    docs = docs.join(live.select(F.col("a").alias("doc"), "label").distinct(), "doc")
+    sizes = docs.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK_SETS)).cast("int")
+    docs = docs.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    docs = docs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("blocks = 1 or own <> other")
+    docs = docs.select("doc", "label", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(label_links(group["label"].to_numpy(), group["items"].tolist(), percent), columns=["a", "b"])
+
+    return cut(docs.join(sets, "doc").groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long"))
+
+
 def link_classes(docs: DataFrame, reps: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
     """``node, label`` of the representatives ``(rep, bands)`` that have verified links."""
     buckets = reps.select(F.col("rep").alias("doc"), F.explode("bands").alias("band"))
@@ -139,7 +194,7 @@ def link_classes(docs: DataFrame, reps: DataFrame, width: int, percent: int, rou
     members = cut(members.drop("size").join(central, "doc"))
     sets = docs.join(central.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
     sets = cut(full_sets(sets, width).dropDuplicates(["doc"]))
-    edges, labels = None, None
+    edges, labels, spent = None, None, None
     for turn in range(rounds):
         if labels is None:
             now = members.withColumn("label", F.col("doc"))
@@ -152,6 +207,9 @@ def link_classes(docs: DataFrame, reps: DataFrame, width: int, percent: int, rou
         near = now.join(top, "band")
         rank = F.struct("weight", -F.col("doc")) if turn == 0 else F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), -F.col("doc"))
         picked = near.filter(F.col("weight") >= 0.9 * F.col("top")).groupBy("band").agg(F.max_by(F.struct("doc", "label"), rank).alias("c"))
+        picked = cut(picked)
+        centres = picked.select("band", F.col("c.doc").alias("doc"))
+        spent = centres if spent is None else spent.unionByName(centres)
         tried = near.join(picked, "band").filter(F.col("label") != F.col("c.label"))
         tried = tried.select(F.col("doc").alias("a"), F.col("c.doc").alias("b")).distinct()
         if edges is not None:
@@ -165,7 +223,8 @@ def link_classes(docs: DataFrame, reps: DataFrame, width: int, percent: int, rou
         if made.filter("linked").isEmpty() and labels is not None:
             break
         labels = components(edges.filter("linked"))
-    return labels
+    rest = rest_links(members, spent, labels, sets, percent)
+    return labels if rest is None or rest.isEmpty() else components(edges.filter("linked").select("a", "b").union(rest))
 
 
 def near_duplicates(

@@ -425,6 +425,45 @@ def test_near_duplicates_of_a_large_group_and_of_nothing(spark, empty):
     assert neardup.query(empty).count() == 0
 
 
+def test_near_duplicates_link_heavily_edited_copies_that_no_centre_reaches(spark):
+    """Pairs that are alike among themselves, but not like the central copies of their buckets."""
+    rng = random.Random(21)
+    base = ["w%d" % rng.randrange(5000) for _ in range(200)]
+    rows = []
+
+    def edited(w, n):
+        w = list(w)
+        for at in rng.sample(range(len(w)), n):
+            w[at] = "e%d" % rng.randrange(10**6)
+        return w
+
+    rows += [" ".join(edited(base, rng.randint(0, 2))) for _ in range(60)]
+    for _ in range(40):
+        far = edited(base, 12)
+        rows += [" ".join(edited(far, 2)) for _ in range(2)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = table(neardup.near_duplicates(df, bins=4, rows=1), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute_near(rows)
+
+
+def test_label_links_agree_with_all_pairs():
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(12):
+        x = rng.integers(-(2**62), 2**62, 60)
+        sets += [np.unique(np.concatenate([x[: 60 - n], rng.integers(-(2**62), 2**62, n)])) for n in rng.integers(0, 20, 4)]
+    label = rng.permutation(len(sets)) // 2 * 10
+    want = set()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            both = len(np.intersect1d(x, y))
+            if label[i] < label[j] and 100 * both >= 75 * (len(x) + len(y) - both):
+                want.add((label[i], label[j]))
+    assert want and set(map(tuple, neardup.label_links(label, sets, 75))) == want
+
+
 def test_sketch_fills_and_estimates_similarity():
     rng = np.random.default_rng(0)
     for n in (1, 2, 7, 50, 3000):
