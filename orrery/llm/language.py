@@ -3,8 +3,9 @@
 For each learned language a suffix automaton holds every substring of a bounded amount
 of labelled text. A text is parsed against it into longest matches: a phrase runs as
 far as the automaton can follow and the next one starts where it stopped. Phrases
-times the bits that name one (log2 of the learned length), per character, estimate the
-cross entropy; the language with the least wins.
+times the bits that name one (log2 of the language's own learned length and of the
+alphabet, for what was never learned), per character, estimate the cross entropy; the
+language with the least wins.
 
 Texts are reduced to letters and single spaces over a small alphabet and parsed in
 blocks of a fixed length, all blocks of a batch side by side; a block's border ends a
@@ -85,21 +86,30 @@ def table(codes: list[int], width: int) -> np.ndarray:
     return out.ravel()
 
 
+def spread(texts: list[str], chars: int) -> str:
+    """At most ``chars`` characters of the texts: all of the short ones, equally much of the others."""
+    texts = [t for t in texts if t.strip()]
+    shares, left = [0] * len(texts), chars - max(0, len(texts) - 1)
+    for nth, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        shares[i] = max(0, min(len(texts[i]), left // (len(texts) - nth)))
+        left -= shares[i]
+    return " ".join(t[:n] for t, n in zip(texts, shares, strict=True))[:chars]
+
+
 def learn(samples: dict[str, list[str]], chars: int = CHARS_PER_LANG, alphabet: int = ALPHABET) -> dict:
     """A model from labelled texts: the alphabet, and per language a transition table.
 
-    All languages learn equally many characters, so that their phrases compare.
+    Each language learns as much as it has, up to ``chars``, whatever the others have.
     """
-    texts = {k: " ".join(map(reduce, v)) for k, v in sorted(samples.items())}
+    texts = {k: spread([*map(reduce, v)], chars) for k, v in sorted(samples.items())}
     texts = {k: v for k, v in texts.items() if v.strip()}
-    size = min([chars, *map(len, texts.values())])
-    texts = {k: v[:size] for k, v in texts.items()}
     counts = Counter(c for v in texts.values() for c in v if c != " ")
     letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: alphabet - 2]]
     code = {c: i + 2 for i, c in enumerate(letters)} | {" ": 0}
     width = len(letters) + 2
     tables = {k: table([code.get(c, 1) for c in v], width) for k, v in texts.items()}
-    return {"letters": letters, "width": width, "tables": tables, "size": size}
+    sizes = {k: len(v) for k, v in texts.items()}
+    return {"letters": letters, "width": width, "tables": tables, "sizes": sizes, "size": max([0, *sizes.values()])}
 
 
 class Parser:
@@ -107,7 +117,8 @@ class Parser:
         self.langs = sorted(model["tables"])
         self.tables = [model["tables"][k] for k in self.langs]
         self.width = np.int32(model["width"])
-        self.bits = float(np.log2(max(2, model["size"])))
+        # A phrase is a place in the learned text or a character alone, so that a short text is not cheap.
+        self.bits = np.log2([model["sizes"][k] + model["width"] for k in self.langs])
         self.lut = np.ones(0x110000, np.uint8)
         for i, c in enumerate(model["letters"]):
             self.lut[ord(c)] = i + 2

@@ -498,6 +498,24 @@ def longest_matches(text, training):
     return count
 
 
+def test_a_poor_language_takes_nothing_from_the_others():
+    rng = random.Random(12)
+    word = {k: ["".join(rng.choice(a) for _ in range(rng.randint(2, 8))) for _ in range(200)] for k, a in (("x", "abcdefghij"), ("y", "abcdefghkl"))}
+    text = lambda k, n: " ".join(rng.choice(word[k]) for _ in range(n))
+    samples = {k: [text(k, 300) for _ in range(20)] for k in word}
+    for poor in ({}, {"z": ["mnopq gh abc"]}, {"z": ["a"]}):
+        parser = language.Parser(language.learn(samples | poor))
+        asked = [(k, text(k, 12)) for k in word for _ in range(100)]
+        got = [p[0] for p in parser.predict([t for _, t in asked])]
+        assert sum(a == b for (a, _), b in zip(asked, got)) >= 0.98 * len(asked), poor
+
+
+def test_learned_text_is_spread_over_documents():
+    model = language.learn({"x": ["a" * 50_000, "bcd" * 10, "efg" * 900]})
+    assert set("abcdefg") <= set(model["letters"]) and model["size"] <= language.CHARS_PER_LANG
+    assert language.spread(["a" * 9, "b", "c" * 9], 9) == "aaa b ccc"
+
+
 def test_phrases_agree_with_substring_search(monkeypatch):
     rng = random.Random(2)
     samples = {k: ["".join(rng.choice(a) for _ in range(300))] for k, a in (("x", "abc "), ("y", "bcd "))}
