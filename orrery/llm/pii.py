@@ -97,16 +97,26 @@ def _class_of(c: str) -> int:
 _LUT = np.array([1 << (8 * _class_of(chr(i))) for i in range(128)] + [1], np.uint64)
 _SPACE = np.zeros(129, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MARKS = np.zeros(129, bool)
+_MARKS[[*map(ord, "\"',;{}<>|=")]] = True
 
 
 def tokens(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and shape codes of the white-space tokens of code points."""
+    """Starts, ends and shape codes of the white-space tokens of code points, those too long for a shape parted at marks."""
     small = np.minimum(points, 128)
     edge = np.diff(np.concatenate([[True], _SPACE[small], [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    gap = _SPACE[small]
+    if (long := ends - starts > LONG_TOKEN).any():  # such as minified JSON or CSV: marks part it as space does
+        inside = np.zeros(len(points) + 1, np.int64)
+        inside[starts[long]] += 1
+        inside[ends[long]] -= 1
+        gap = gap | (np.cumsum(inside)[:-1] > 0) & _MARKS[small]
+        edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
         return starts, ends, starts
-    packed = np.where(_SPACE[small], np.uint64(0), _LUT[small])
+    packed = np.where(gap, np.uint64(0), _LUT[small])
     sums = np.add.reduceat(packed, starts)
     code = np.zeros(len(starts), np.int64)
     for k, bins in enumerate(_BINS):
@@ -252,6 +262,14 @@ def train(table: list[tuple[str, list[int]]], steps: int = 120, rate: float = 0.
 # --- applying it -------------------------------------------------------------------
 
 
+#: The most tokens of 15 digits with a separator between each two.
+PHONE_TOKENS = 29
+
+
+def phone(body: str) -> bool:
+    return 7 <= len(digits_of(body)) <= 15 and all(c in "0123456789 +-.()[]/" for c in body) and any(c in "-()[]+" for c in body)
+
+
 def checked(text: str, kind: int, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans within a run of equally labelled tokens that hold up."""
     trim = lambda a, b: (a, a + len(text[a:b].rstrip(".,;:!?|\"'")))
@@ -268,16 +286,25 @@ def checked(text: str, kind: int, parts: list[tuple[int, int]]) -> list[tuple[in
             else:
                 i += 1
         return out
-    a, b = trim(parts[0][0], parts[-1][1])
-    body = text[a:b]
-    n = len(digits_of(body))
     if kind == 3:
-        ok = 7 <= n <= 15 and all(c in "0123456789 +-.()[]/" for c in body) and any(c in "-()[]+" for c in body)
-    elif kind == 1:
-        ok = bool(_IP.fullmatch(body)) and all(int(x) <= 255 for x in body.split("."))
-    else:
-        ok = len(parts) == 1 and bool(re.fullmatch(r"[\w.%+-]+(?:@|\[at\]|\(at\))[\w-]+(?:\.[\w-]+)+", body))
-    return [(a, b)] if ok else []
+        out, i = [], 0
+        while i < len(parts):
+            end = None
+            for j in range(i, min(len(parts), i + PHONE_TOKENS)):
+                a, b = trim(parts[i][0], parts[j][1])
+                # What stands as a number starts anew where another one can.
+                if len(digits_of(text[a:b])) > 15 or end is not None and (text[parts[j][0]] in "+([" or phone(text[slice(*trim(*parts[j]))])):
+                    break
+                if phone(text[a:b]):
+                    end, span = j, (a, b)
+            if end is not None:
+                out.append(span)
+            i = i + 1 if end is None else end + 1
+        return out
+    spans = [trim(a, b) for a, b in parts]
+    if kind == 1:
+        return [(a, b) for a, b in spans if _IP.fullmatch(text[a:b]) and all(int(x) <= 255 for x in text[a:b].split("."))]
+    return [(a, b) for a, b in spans if re.fullmatch(r"[\w.%+-]+(?:@|\[at\]|\(at\))[\w-]+(?:\.[\w-]+)+", text[a:b])]
 
 
 def decode(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:

@@ -213,6 +213,24 @@ def test_field_on_held_out_lines_and_planted_data(field):
     assert counts == [0, 0, 0, 0] and "crf_card:4:20" in spans and "crf_card:21:37" in spans and "crf_phone:42:56" in spans
 
 
+def test_neighbours_of_one_kind_are_judged_one_by_one(field):
+    def spans(kind, text):
+        return [text[a:b] for a, b in pii.checked(text, kind, [m.span() for m in re.finditer(r"\S+", text)])]
+
+    assert spans(0, "bako[at]riten.com, morlu(at)shaqui.com") == ["bako[at]riten.com", "morlu(at)shaqui.com"]
+    assert spans(1, "10.0.0.1, 300.1.1.1 10.0.0.2") == ["10.0.0.1", "10.0.0.2"]
+    assert spans(3, "555-123-4567 555-987-6543, +1 (234) 555-1234 (017) 555-7713") == ["555-123-4567", "555-987-6543", "+1 (234) 555-1234", "(017) 555-7713"]
+    assert spans(3, "+49 170 1234567") == ["+49 170 1234567"] and spans(3, "- " * 1000) == []
+    found = pii.decode(["von bako[at]riten.com, morlu[at]shaqui.com und 555-123-4567 555-987-6543 fin"], field)[0]
+    assert [k for _, k, _ in sorted(found)] == [4, 4, 7, 7]
+
+
+def test_tokens_that_are_too_long_are_parted_at_marks(field):
+    text = "{" + ",".join(f'"{w}":"ritenverlu"' for w in "abcdefghijklmno") + ',"mail":"bako[at]riten.com","x":"moringlu"}'
+    assert len(text) > pii.LONG_TOKEN and " " not in text
+    assert [text[a:b] for a, _, b in pii.decode([text], field)[0]] == ["bako[at]riten.com"]
+
+
 def test_viterbi_agrees_with_enumeration(field):
     import itertools
 
