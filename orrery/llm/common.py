@@ -2,37 +2,78 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A side is broadcast only if its written files hold no more rows than this.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if its rows, counted and weighed, hold no more bytes than this.
+BROADCAST_BYTES = 32 << 20
+#: Texts that a Python worker holds at a time.
+TEXTS_AT_ONCE = 1024
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; one is set only where that
-    setting is missing, as in a local test.
+    The folder is the session's ``spark.checkpoint.dir``. Only a session on one machine
+    may lack that setting and gets a folder of its own; a cluster without it is refused.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
+        if shared is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            shared = tempfile.mkdtemp(prefix="orrery-checkpoint-")
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
-def join_small(
-    large: DataFrame, small: DataFrame, on: list[str], how: str, rows: int, bound: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Join with a side of ``rows`` known rows: broadcast up to the bound, shuffled beyond it."""
-    return large.join(F.broadcast(small) if rows <= bound else small, on, how)
+def weigh(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and their bytes as text, which stand for their size in a broadcast."""
+    found = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return found[0], found[1] or 0
+
+
+def join_small(large: DataFrame, small: DataFrame, on: list[str], how: str, size: int, bound: int | None = None) -> DataFrame:
+    """Join with a side of ``size`` known bytes: broadcast up to the bound, shuffled beyond it."""
+    return large.join(F.broadcast(small) if size <= (BROADCAST_BYTES if bound is None else bound) else small, on, how)
+
+
+def per_text(docs: DataFrame, schema: str, make: Callable[[], Callable[[list], list[tuple]]], *beside: str) -> DataFrame:
+    """A row for each row of ``docs``: ``doc_id`` and the columns ``beside``, then what is found in its text.
+
+    ``make()`` runs once in a worker and gives a function from texts (or nulls) to rows of
+    ``schema``. All other columns pass through as they are, so that ids of any size stay
+    exact beside nulls.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kept = docs.select("doc_id", *beside)
+    found = StructType.fromDDL(schema)
+    whole = StructType([*kept.schema.fields, *found.fields])
+    types = to_arrow_schema(whole)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        find = make()
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(i, TEXTS_AT_ONCE)
+                rows = find(part.column(part.num_columns - 1).to_pylist())
+                columns = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), [*types][part.num_columns - 1 :], strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], schema=types)
+
+    return docs.select("doc_id", *beside, F.col("text").cast("string").alias("__text")).mapInArrow(run, whole)
 
 
 def n_words(text: Column) -> Column:
@@ -50,6 +91,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def row_hashes(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of whole rows, by which equal rows are told from others; maps go in as JSON."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return [F.xxhash64(F.lit(seed), *[x for p in plain for x in (p, p.isNull())]) for seed in (1, 2)]
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker does."""
     import sys

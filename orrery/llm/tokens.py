@@ -9,27 +9,32 @@ state therefore holds the part of the prefix that a later token may still reach
 with the last token and the count at each place in it. States are made when a text
 first leads to them, and two prefixes that agree in all this share one.
 
-White space returns the transducer to its start. A chunk of text is thus a map of
-states that is constant but for its first word: it is kept as head, count and tail, two
-such maps compose into one, and the count of a long text is a prefix scan over its
-chunks.
+Chunks are maps of states. White space returns the transducer to its start, so a chunk of
+text that holds some is a constant map but for its first word, and is kept as head, count
+and tail. A chunk of letters without white space maps each state that may precede it to the
+state behind it and a count: it is walked from the start state, whose path is kept, and from
+any other state only up to where the two paths meet, which soon happens. Maps of both kinds
+compose, associatively, and the count of a long text or word is a scan over its chunks in
+rounds of neighbouring pairs. A text's chunks are scanned in the task that holds the text.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+from orrery.llm.common import per_text, worker_cache
+
+SCHEMA = "n_bytes long, n_tokens long, over_limit boolean"
 CHUNK_BYTES = 1 << 16
+#: Longer words are cut into chunks of so many letters.
+CHUNK_LETTERS = 1024
 LIMIT = 2048
-#: A worker forgets words and states beyond these, to bound its memory.
-WORDS_KEPT, STATES_KEPT = 600_000, 400_000
+#: A worker forgets words and states beyond these, and keeps no words of more bytes, to bound its memory.
+WORDS_KEPT, STATES_KEPT, WORD_BYTES_KEPT = 600_000, 400_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -162,6 +167,10 @@ class Transducer:
             self.reset()
         state = total = 0
         steps = self.steps
+        if len(letters) > CHUNK_LETTERS + 1:
+            body = letters[:-1]
+            state, total = scan([LetterMap(self, body[i : i + CHUNK_LETTERS]) for i in range(0, len(body), CHUNK_LETTERS)], JoinedMap)(0)
+            letters = letters[-1]
         for letter in letters[:-1]:
             state, emitted = steps.get((state, letter)) or self.step(state, letter)
             total += emitted
@@ -171,6 +180,52 @@ class Transducer:
         return total + emitted
 
 
+def scan(maps: list, compose):
+    """All maps composed, in rounds over neighbouring pairs."""
+    while len(maps) > 1:
+        odd = maps[len(maps) & ~1 :]
+        maps = [compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)] + odd
+    return maps[0]
+
+
+class LetterMap:
+    """What letters of one word do to the transducer: from each state before them to the state behind, and the count."""
+
+    def __init__(self, transducer: Transducer, letters: str):
+        self.transducer, self.letters = transducer, letters
+        self.path, self.sums = [0], [0]
+        for letter in letters:
+            state, emitted = transducer.step(self.path[-1], letter)
+            self.path.append(state)
+            self.sums.append(self.sums[-1] + emitted)
+        self.known = {0: (self.path[-1], self.sums[-1])}
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        if (found := self.known.get(state)) is None:
+            at, now, total = 0, state, 0
+            while at < len(self.letters) and now != self.path[at]:
+                now, emitted = self.transducer.step(now, self.letters[at])
+                total += emitted
+                at += 1
+            found = self.known[state] = (self.path[-1], total + self.sums[-1] - self.sums[at]) if now == self.path[at] else (now, total)
+        return found
+
+
+class JoinedMap:
+    """Two neighbouring maps as one; its entries are worked out when a state turns up."""
+
+    def __init__(self, first, second):
+        self.first, self.second, self.known = first, second, {}
+        self(0)
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        if (found := self.known.get(state)) is None:
+            between, before = self.first(state)
+            after, behind = self.second(between)
+            found = self.known[state] = after, before + behind
+        return found
+
+
 @dataclass(frozen=True)
 class StateMap:
     """What a chunk does to the count: unknown ``head`` and ``tail`` words about a known middle.
@@ -210,9 +265,10 @@ class Counter(dict):
             for word in self.pieces.findall(low):
                 plain = word.isascii() and word.isprintable()
                 count += self.transducer.word(word if plain else "".join([self.letters[b] for b in word.encode()]))
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[piece] = count
+        if len(piece) <= WORD_BYTES_KEPT:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[piece] = count
         return count
 
     def chunk(self, data: bytes) -> StateMap:
@@ -232,17 +288,10 @@ class Counter(dict):
         between = a.tail + b.head
         return StateMap(a.head, a.count + (self[between] if between else 0) + b.count, b.tail)
 
-    def scan(self, maps: list[StateMap]) -> StateMap:
-        """All maps composed, in rounds over neighbouring pairs."""
-        while len(maps) > 1:
-            odd = maps[len(maps) & ~1 :]
-            maps = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)] + odd
-        return maps[0]
-
     def count(self, data: bytes, chunk_bytes: int = CHUNK_BYTES) -> int:
         if not data:
             return 0
-        whole = self.scan([self.chunk(data[i : i + chunk_bytes]) for i in range(0, len(data), chunk_bytes)])
+        whole = scan([self.chunk(data[i : i + chunk_bytes]) for i in range(0, len(data), chunk_bytes)], self.compose)
         return whole.count + sum(self[x] for x in (whole.head, whole.tail) if x)
 
 
@@ -268,26 +317,25 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, limit: int = L
     """One row per row of ``docs`` (``doc_id, text``): UTF-8 bytes, tokens, and whether over ``limit``.
 
     The vocabulary (about 50,000 merges) is read on the driver and broadcast. A null or
-    empty text has no tokens. Texts of any length are counted whole.
+    empty text has no tokens. Texts of any length are counted whole. Repeated rows are
+    counted one by one, texts that tie in tokens are nothing special, and an empty table
+    gives no rows. Other columns of ``docs`` are not looked at, whatever their names.
     """
-    from orrery.llm.common import worker_cache
-
     model = spark.sparkContext.broadcast(compile_model(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         cache = worker_cache()
-        key = "tokens", path
-        if key not in cache:
-            cache[key] = Counter(model.value)
-        counter = cache[key]
-        for batch in batches:
-            data = [(t or "").encode("utf-8", "replace") for t in batch["text"]]
-            n = [counter.count(x) for x in data]
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"].to_numpy(), "n_bytes": [*map(len, data)], "n_tokens": n, "over_limit": [x > limit for x in n]}
-            )
+        if ("tokens", path) not in cache:
+            cache["tokens", path] = Counter(model.value)
+        counter = cache["tokens", path]
+
+        def find(texts: list[str | None]) -> list[tuple]:
+            data = [(t or "").encode("utf-8", "replace") for t in texts]
+            return [(len(x), n, n > limit) for x, n in zip(data, map(counter.count, data), strict=True)]
+
+        return find
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return per_text(docs, SCHEMA, make)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
