@@ -2,31 +2,41 @@
 
 The bands compare the zstandard ratio (compressed over plain UTF-8 bytes) of the whole
 document, and of its fixed chunks, with limits for the length of what was compressed:
-below the lower limit the text repeats itself, above the upper one it is noise. Texts
-below the shortest band carry too little to judge.
+below the lower limit the text repeats itself, above the upper one it is noise. Every
+text and every chunk is judged, a last, shorter chunk by the limits for its own length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import per_text
+
 SCHEMA = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long"
 )
 
 
 @dataclass(frozen=True)
 class Bands:
-    """``limits``: (least bytes, lowest ratio, highest ratio), by rising length."""
+    """``limits``: (least bytes, lowest ratio, highest ratio), by rising length.
+
+    The limits come from the ratios of prose that is labelled good (10,000 texts in four
+    languages): by length, its least ratio less a fifth or more and its highest plus a tenth
+    or more. Such prose lies at 0.75 to 1.13 for 64 bytes, 0.47 to 0.58 for 1 KiB and 0.40 to
+    0.45 for 8 KiB. Below 16 bytes the frame of the format outweighs the text, and nothing is
+    rejected. ``bad_share`` is the part of a text's bytes that may lie in bad chunks: a table,
+    a listing or a key within good prose stays below it, and junk that is glued on does not.
+    """
 
     limits: tuple[tuple[int, float, float], ...] = (
+        (16, 0.90, 1.75),
+        (32, 0.75, 1.45),
         (64, 0.50, 1.30),
         (128, 0.45, 1.02),
         (256, 0.42, 0.85),
@@ -38,11 +48,10 @@ class Bands:
         (32768, 0.20, 0.58),
     )
     chunk_bytes: int = 2048
-    chunk_limits: tuple[float, float] = (0.25, 0.70)
     bad_share: float = 0.25
     level: int = 3
 
-    def whole_ok(self, size: int, ratio: float) -> bool:
+    def ok(self, size: int, ratio: float) -> bool:
         fitting = [x for x in self.limits if x[0] <= size]
         return not fitting or fitting[-1][1] <= ratio <= fitting[-1][2]
 
@@ -93,36 +102,28 @@ def measure(text: str | None, bands: Bands, compressor) -> tuple:
     repeats = repeated_words(words)
     failed = n < 20 or 100 * repeats > 30 * n
     ratio = len(compressor.compress(data)) / len(data) if data else 0.0
-    ok = bands.whole_ok(len(data), ratio)
-    low, high = bands.chunk_limits
-    starts = range(0, len(data) - bands.chunk_bytes + 1, bands.chunk_bytes)
-    bad = sum(
-        not low <= len(compressor.compress(data[i : i + bands.chunk_bytes])) / bands.chunk_bytes <= high for i in starts
-    )
-    ok = ok and bad <= bands.bad_share * len(starts)
-    return n, chars, symbols, dup, repeats, failed, ok and not failed, ratio, len(starts), bad
+    chunks = [data[i : i + bands.chunk_bytes] for i in range(0, len(data), bands.chunk_bytes)]
+    bad = [len(x) for x in chunks if not bands.ok(len(x), len(compressor.compress(x)) / len(x))]
+    ok = bands.ok(len(data), ratio) and sum(bad) <= bands.bad_share * len(data)
+    return n, chars, symbols, dup, repeats, failed, ok and not failed, ratio, len(chunks), len(bad)
 
 
 def quality(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text``): counts, ratios and the verdict.
 
-    A null or empty text has no words, so it fails the base rules. Rows are judged one
-    by one; repeated rows give repeated results.
+    A null or empty text has no words, so it fails the base rules; an empty table gives no
+    rows. Rows are judged one by one; repeated rows give repeated results. Texts of any
+    length are compressed whole, and no chunk of them is left out.
     """
     bands = bands or Bands()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         import zstandard
 
         compressor = zstandard.ZstdCompressor(level=bands.level)
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        for batch in batches:
-            rows = [measure(t, bands, compressor) for t in batch["text"]]
-            out = pd.DataFrame(rows, columns=names[1:])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+        return lambda texts: [measure(t, bands, compressor) for t in texts]
+
+    return per_text(docs, SCHEMA, make)
 
 
 def query(docs: DataFrame) -> DataFrame:
