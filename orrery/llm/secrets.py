@@ -5,6 +5,9 @@ The lexer reads source and configuration syntax (``name = "x"``, ``"name": "x"``
 Names on a right-hand side stand for the literal that they were given last, and
 concatenated literals count together. A literal is scored by how sensitive its target
 names are and by how random it looks.
+
+A name's value is a node that refers to the nodes it is joined from, so a value that is used
+many times over is stored once, and a text costs time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -12,13 +15,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long"
+from orrery.llm.common import per_text
+
+SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long"
 KINDS = "assign", "access", "hex", "literal"
 
 _ASSIGN = re.compile(
@@ -28,9 +33,9 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs of 24 or more
 
-_TARGET = re.compile(r"(?<![\w.$-])[\"']?([A-Za-z_][\w.-]{0,127})[\"']?[ \t]*(:=|=>|=(?!=)|:(?!:))[ \t]*(?=[\"'`A-Za-z0-9_$<{+/-])")
+_TARGET = re.compile(r"(?<![\w.$-])[\"']?([A-Za-z_][\w.-]*+)[\"']?[ \t]*+(:=|=>|=(?!=)|:(?!:))[ \t]*+(?=[\"'`A-Za-z0-9_$<{+/-])")
 _PIECE = re.compile(
-    r"[ \t]*(?:\"(?P<d>(?:[^\"\\\n]|\\.)*)\"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`|(?P<name>[A-Za-z_][\w.]*)(?![\w+/=-])|(?P<bare>[A-Za-z0-9+/_.=-]+))"
+    r"[ \t]*+(?:\"(?P<d>(?:[^\"\\\n]|\\.)*+)\"|'(?P<s>(?:[^'\\\n]|\\.)*+)'|`(?P<b>[^`\n]*+)`|(?P<name>[A-Za-z_][\w.]*+)(?![\w+/=-])|(?P<bare>[A-Za-z0-9+/_.=-]++))"
 )
 _PLUS = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'`A-Za-z_])")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -41,8 +46,12 @@ SENSITIVE = {
     "credential": 2.5, "credentials": 2.5, "private": 1.5, "access": 1.0, "auth": 1.5, "key": 1.0, "api": 1.0,
     "signing": 1.5, "encryption": 1.5, "bearer": 2.5, "client": 0.5, "salt": 1.5, "pin": 1.0,
 }
-#: Literals that stand in for a secret.
-PLACEHOLDERS = "changeme", "example", "placeholder", "redacted", "undefined", "required", "password", "your", "dummy", "xxxx", "none", "null", "true", "false", "todo"
+#: Words of literals that stand in for a secret, beside the sensitive ones.
+PLACEHOLDERS = {
+    "change", "changeme", "me", "example", "placeholder", "redacted", "undefined", "required", "your", "here", "dummy", "xxxx", "none", "null", "true",
+    "false", "todo", "string", "optional", "my", "the", "value", "enter", "insert", "text", "type",
+}
+FILLERS = PLACEHOLDERS | {*SENSITIVE}
 THRESHOLD = 4.5
 
 
@@ -63,57 +72,103 @@ def sensitivity(name: str) -> float:
     return sum(SENSITIVE.get(x, 0.0) for x in {*parts, *joined})
 
 
-def randomness(literal: str) -> float:
-    """0 for plain words up to about 4: bits a character, and how many classes it mixes."""
-    if len(literal) < 6 or any(c.isspace() for c in literal):
-        return 0.0
-    low = literal.lower()
-    if any(low.startswith(x) or low == x for x in PLACEHOLDERS) or len(set(literal)) < 4:
-        return 0.0
-    counts = Counter(literal)
-    bits = -sum(v / len(literal) * math.log2(v / len(literal)) for v in counts.values())
-    classes = sum(any(f(c) for c in literal) for f in (str.isdigit, str.islower, str.isupper, lambda c: not c.isalnum()))
-    return bits / 2 + (classes - 1) if classes > 1 else 0.0
+class Value:
+    """A literal, or values joined: what is needed of its text, where its literals stand, and its best target's weight.
+
+    Characters are counted by themselves within ASCII and in 128 bins beyond it, so that a
+    node's size does not depend on its text. Counts are floats, as joins may double them.
+    """
+
+    __slots__ = "counts", "classes", "space", "filler", "quoted", "span", "parts", "weight"
+
+    def __init__(self, text: str = "", span: tuple[int, int] | None = None, quoted: bool = False, parts: tuple = ()):
+        self.span, self.parts, self.weight = span, parts, 0.0
+        if parts:
+            self.counts = {}
+            for part in parts:
+                for c, n in part.counts.items():
+                    self.counts[c] = min(1e200, self.counts.get(c, 0.0) + n)
+            self.classes = frozenset().union(*(x.classes for x in parts))
+            self.space, self.quoted = any(x.space for x in parts), any(x.quoted for x in parts)
+            self.filler = all(x.filler for x in parts)
+            return
+        self.counts = {}
+        for c, n in Counter(text).items():
+            c = c if c < "\x80" else chr(128 + ord(c) % 128)
+            self.counts[c] = self.counts.get(c, 0.0) + n
+        checks = (("digit", str.isdigit), ("lower", str.islower), ("upper", str.isupper), ("mark", lambda c: not c.isalnum()))
+        self.classes = frozenset(name for name, f in checks if any(map(f, self.counts if text.isascii() else set(text))))
+        self.space, self.quoted = any(map(str.isspace, set(text))), quoted
+        # Words that stand for a secret, and nothing else, such as "your-password-here".
+        words = [x.lower() for x in _SPLIT.findall(text)]
+        self.filler = all(x in FILLERS for x in words) and "digit" not in self.classes and text.isascii()
+
+    def randomness(self) -> float:
+        """0 for what cannot be a secret, up to about 6: bits a character, and how many classes it mixes."""
+        size = sum(self.counts.values())
+        if size < 6 or self.space or self.filler or len(self.counts) < 4:
+            return 0.0
+        bits = -sum(n / size * math.log2(n / size) for n in self.counts.values())
+        return bits / 2 + (len(self.classes) - 1)
+
+    def is_secret(self, weight: float) -> bool:
+        """Literals of one class of characters need a strong name, quotes and eight characters."""
+        random = self.randomness()
+        if len(self.classes) == 1:
+            return weight >= 3 and self.quoted and random > 0 and sum(self.counts.values()) >= 8
+        return weight >= 1.5 and random > 0 and weight + random >= THRESHOLD
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose best target name makes them secrets."""
     if ":" not in text and "=" not in text:
         return []
-    known: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], tuple[float, str]] = {}
+    known: dict[str, Value] = {}
+    values: list[Value] = []
+
+    def made(*args, **named) -> Value:
+        values.append(Value(*args, **named))
+        return values[-1]
+
+    bare = 0  # no assignment starts within an unquoted literal
     for m in _TARGET.finditer(text):
-        at, pieces, words = m.end(), [], []
+        if m.start() < bare:
+            continue
+        at, pieces = m.end(), []
         while p := _PIECE.match(text, at):
             kind = p.lastgroup
             if kind == "name":
                 if p["name"] in known:
-                    pieces += known[p["name"]]
+                    pieces.append(known[p["name"]])
                 elif not pieces and m[2] in (":", "=", ":=") and not _PLUS.match(text, p.end()):
-                    pieces.append(p.span("name"))
-                    words.append(p["name"])
+                    pieces.append(made(p["name"], p.span("name")))
             else:
-                pieces.append(p.span(kind))
+                pieces.append(made(p[kind], p.span(kind), kind != "bare"))
             at = p.end()
+            bare = at if kind == "bare" else bare
             if not (plus := _PLUS.match(text, at)):
                 break
             at = plus.end()
         if not pieces:
             continue
-        known[m[1]] = pieces
+        value = known[m[1]] = pieces[0] if len(pieces) == 1 else made(parts=tuple(pieces))
         weight = sensitivity(m[1])
-        literal = "".join(text[a:b] for a, b in pieces)
-        if weight >= 1.5 and weight + randomness(literal) >= THRESHOLD and randomness(literal) > 0:
-            for span in pieces:
-                best[span] = max(best.get(span, (0.0, "")), (weight, literal))
-    return sorted(best)
+        if weight > value.weight and value.is_secret(weight):
+            value.weight = weight
+    # Parts are older than what is joined from them, so one pass from the youngest reaches all.
+    for value in reversed(values):
+        if value.weight:
+            for part in value.parts:
+                part.weight = max(part.weight, value.weight)
+    return sorted({x.span for x in values if x.weight and x.span})
 
 
 def scan(text: str | None) -> tuple:
     text = text or ""
     base = sorted(base_spans(text))
-    covered = [(s, e) for s, _, e in base]
-    extra = [(s, 3, e) for s, e in lexed_spans(text) if not any(a < e and s < b for a, b in covered)]
+    # A literal that no fixed span covers wholly is a span of its own.
+    starts, reach = [s for s, _, _ in base], [*accumulate((e for _, _, e in base), max, initial=-1)]
+    extra = [(s, 3, e) for s, e in lexed_spans(text) if reach[bisect_right(starts, s)] < e]
     join = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
     counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
     return *counts, hashlib.sha256(join(base).encode()).hexdigest(), join(base + extra), len(extra)
@@ -122,17 +177,11 @@ def scan(text: str | None) -> tuple:
 def secret_scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text``): counts, and all spans as text.
 
-    A null text counts as empty and has no spans. Repeated rows give repeated results.
+    A null or empty text has no spans; an empty table gives no rows. Repeated rows give
+    repeated results. Texts, names and literals of any length are read whole. Of several
+    names of one literal the most sensitive one counts.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        for batch in batches:
-            out = pd.DataFrame([scan(t) for t in batch["text"]], columns=names[1:])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return per_text(docs, SCHEMA, lambda: lambda texts: [*map(scan, texts)])
 
 
 def query(docs: DataFrame) -> DataFrame:
