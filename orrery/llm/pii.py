@@ -2,24 +2,27 @@
 
 The field labels white-space tokens as email, ip, card, phone or other from their shapes
 (how many digits, letters, dots and so on a token and its neighbours have). It is trained
-on the driver, by gradient ascent on the likelihood of a small labelled table, and decoded
-by Viterbi over all lines of a batch side by side. Its spans are checked (check digits,
-number of digits) and added where no fixed pattern has matched.
+on the driver, by gradient ascent on the likelihood of the small labelled table in
+``pii_table``, and decoded by Viterbi over all lines of a batch side by side. Its spans are
+checked (check digits, number of digits) and added where no fixed pattern has matched.
 """
 
 from __future__ import annotations
 
 import hashlib
-import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
+from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+from orrery.llm import pii_table
+from orrery.llm.common import per_text
+
+SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 KINDS = "email", "ip", "card", "phone", "crf_email", "crf_ip", "crf_card", "crf_phone"
 OTHER = 4  # label of tokens that are none of the four
 
@@ -79,11 +82,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 #: Classes of characters, each counted in its own byte of a 64-bit sum.
 _CLASSES = "letter", "digit", "@", ".", "-", "bracket", "+", "mark"
-#: Least counts of each bin, by class.
-_BINS = (0, 1), (0, 1, 3, 4, 5, 10, 14, 20), (0, 1), (0, 1, 2, 3, 4), (0, 1, 2), (0, 1), (0, 1), (0, 1)
+#: Least counts of each bin, by class, and then of the digits that a token begins and ends with.
+_BINS = (0, 1), (0, 1, 3, 4, 5, 10, 14, 20), (0, 1), (0, 1, 2, 3, 4), (0, 1, 2), (0, 1), (0, 1), (0, 1), (0, 1, 3, 4, 5), (0, 1, 3, 4)
 _RADIX = [len(b) for b in _BINS]
 CODES = int(np.prod(_RADIX))
-LONG_TOKEN = 255
 
 
 def _class_of(c: str) -> int:
@@ -94,35 +96,34 @@ def _class_of(c: str) -> int:
     return 5 if c in "()[]" else 0 if c.isalpha() else 7
 
 
-_LUT = np.array([1 << (8 * _class_of(chr(i))) for i in range(128)] + [1], np.uint64)
+_CLASS = np.array([_class_of(chr(i)) for i in range(128)] + [0])
+_LUT = np.uint64(1) << (8 * _CLASS).astype(np.uint64)
+#: White space, and marks that stand between tokens as it does (as in JSON, CSV or markup).
 _SPACE = np.zeros(129, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_MARKS = np.zeros(129, bool)
-_MARKS[[*map(ord, "\"',;{}<>|=")]] = True
+_SPACE[[9, 10, 11, 12, 13, 32, *map(ord, "\"',;:{}<>|=")]] = True
 
 
 def tokens(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and shape codes of the white-space tokens of code points, those too long for a shape parted at marks."""
+    """Starts, ends and shape codes of the tokens of code points."""
     small = np.minimum(points, 128)
-    edge = np.diff(np.concatenate([[True], _SPACE[small], [True]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     gap = _SPACE[small]
-    if (long := ends - starts > LONG_TOKEN).any():  # such as minified JSON or CSV: marks part it as space does
-        inside = np.zeros(len(points) + 1, np.int64)
-        inside[starts[long]] += 1
-        inside[ends[long]] -= 1
-        gap = gap | (np.cumsum(inside)[:-1] > 0) & _MARKS[small]
-        edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
         return starts, ends, starts
     packed = np.where(gap, np.uint64(0), _LUT[small])
     sums = np.add.reduceat(packed, starts)
+    counts = [((sums >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64) for k in range(len(_CLASSES))]
+    for i in np.flatnonzero(ends - starts > 255):  # too long for sums of bytes
+        exact = np.bincount(_CLASS[small[starts[i] : ends[i]]], minlength=len(_CLASSES))
+        for k in range(len(_CLASSES)):
+            counts[k][i] = exact[k]
+    other = np.concatenate([[-1], np.flatnonzero(_CLASS[small] != 1), [len(points)]])
+    counts.append(np.minimum(other[np.searchsorted(other, starts)], ends) - starts)
+    counts.append(ends - 1 - np.maximum(other[np.searchsorted(other, ends - 1, side="right") - 1], starts - 1))
     code = np.zeros(len(starts), np.int64)
-    for k, bins in enumerate(_BINS):
-        count = ((sums >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)
-        code = code * len(bins) + np.searchsorted(bins, np.arange(256), side="right")[count] - 1
-    code[ends - starts > LONG_TOKEN] = 0
+    for bins, count in zip(_BINS, counts, strict=True):
+        code = code * len(bins) + np.searchsorted(bins, count, side="right") - 1
     return starts, ends, code
 
 
@@ -182,33 +183,17 @@ class Field:
         return labels
 
 
-def labelled_table(rows: int = 500, seed: int = 5) -> list[tuple[str, list[int]]]:
-    """The training table: lines of invented words with personal data in many spellings, and labels per token."""
-    rng = random.Random(seed)
-    syllables = "ba ko ri ten mor lu sha qui del ver on ing ta er né ü".split()
-    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
-    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    area = lambda: rng.choice(["({})", "{}", "[{}]"]).format(digits(3))
-    made = {
-        0: [lambda: f"{word()}.{digits(2)}@{word()}{digits(1)}.{word()}.com", lambda: f"{word()}[at]{word()}.{word()}", lambda: f"{word()}(at){word()}.com", lambda: f"{word()}@{word()}.org"],
-        1: [lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))],
-        2: [lambda: digits(16), lambda: " ".join(digits(4) for _ in range(4)), lambda: "-".join(digits(4) for _ in range(4)), lambda: f"{digits(16)} {digits(16)}", lambda: digits(rng.randint(14, 19))],
-        3: [lambda: f"+{digits(1)} {area()} {digits(3)}-{digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"+{digits(2)} {digits(3)} {digits(7)}"],
-        OTHER: [word, word, word, lambda: digits(rng.randint(1, 8)), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(1)}.{digits(2)}", lambda: f"{word()}.{word()}", lambda: f"({word()})", lambda: f"{word()}-{word()}", lambda: f"${digits(3)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: "|", lambda: word() + "###", lambda: f'"{digits(20)}ab{digits(9)}f"'],
-    }
-    table = []
-    for _ in range(rows):
-        parts, labels = [], []
-        for _ in range(rng.randint(3, 14)):
-            kind = rng.choice([0, 1, 2, 3]) if rng.random() < 0.15 else OTHER
-            text = rng.choice(made[kind])() + (rng.choice([".", ",", ""]) if rng.random() < 0.2 else "")
-            parts.append(text)
-            labels += [kind] * len(text.split())
-        table.append((" ".join(parts), labels))
-    return table
-
-
-def train(table: list[tuple[str, list[int]]], steps: int = 120, rate: float = 0.15, decay: float = 2e-3) -> Field:
+def labelled_table() -> list[tuple[str, list[int]]]:
+    """The lines of the table, and a label for each of their tokens."""
+    out = []
+    for text, spans in pii_table.table():
+        starts, ends, _ = tokens(np.array([*map(ord, text)], np.uint32))
+        label = lambda s, e: next((k for a, b, k in spans if a < e and s < b), OTHER)  # noqa: E731, B023
+        out.append((text, [label(s, e) for s, e in zip(starts, ends, strict=True)]))
+    return out
+
+
+def train(table: list[tuple[str, list[int]]], steps: int = 120, rate: float = 0.15, decay: float = 1e-2) -> Field:
     """Maximum likelihood by Adam, with forward-backward over all lines at once."""
     codes = [tokens(np.array([*map(ord, text)], np.uint32))[2] for text, _ in table]
     longest, n = max(map(len, codes)), len(codes)
@@ -336,7 +321,9 @@ def scan(texts: list[str | None], field: Field) -> list[tuple]:
     out = []
     for text, added in zip(texts, decode(texts, field), strict=True):
         base = base_spans(text)
-        extra = [x for x in added if not any(a < x[2] and x[0] < b for a, _, b in base)]
+        # Of the fixed spans that start before an added one ends, none may reach into it.
+        starts, reach = [a for a, _, _ in base], [*accumulate((b for _, _, b in base), max, initial=-1)]
+        extra = [x for x in added if reach[bisect_left(starts, x[2])] <= x[0]]
         join = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
         counts = [sum(k == kind for _, k, _ in base) for kind in range(4)]
         out.append((*counts, hashlib.sha256(join(base).encode()).hexdigest(), join(base + extra), len(extra)))
@@ -346,28 +333,28 @@ def scan(texts: list[str | None], field: Field) -> list[tuple]:
 def personal_data(spark: SparkSession, docs: DataFrame, field: Field | None = None) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text``): counts of the fixed patterns, and all spans.
 
-    A null text counts as empty. Lines are decoded whole, whatever their length, and
-    independently of each other. Repeated rows give repeated results.
+    A null or empty text has no spans; an empty table gives no rows. Texts, lines and tokens
+    are decoded whole, whatever their length, and lines independently of each other. Repeated
+    rows give repeated results. Of labellings that tie, the one with the first kinds counts.
     """
-    model = spark.sparkContext.broadcast(field or train(labelled_table()))
+    model = spark.sparkContext.broadcast(astuple(field or train(labelled_table())))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        for batch in batches:
-            texts = batch["text"].tolist()
+    def make():
+        learned = Field(*model.value)
+
+        def find(texts: list[str | None]) -> list[tuple]:
             rows, held, size = [], [], 0
             for text in texts:
                 held.append(text)
                 size += len(text or "")
                 if size > 500_000:
-                    rows += scan(held, model.value)
+                    rows += scan(held, learned)
                     held, size = [], 0
-            rows += scan(held, model.value) if held else []
-            out = pd.DataFrame(rows, columns=names[1:])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            return rows + (scan(held, learned) if held else [])
+
+        return find
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return per_text(docs, SCHEMA, make)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
