@@ -7,16 +7,18 @@ expected words of the pair, and so of the source, do not change. Groups of docum
 are rounded side by side; each leaves one residual per source at most, and residuals
 meet in a reduction tree until one per source is left, which alone is drawn by chance.
 A source is therefore off its target by less than its largest document.
+
+Equal rows are one item that is wanted as often as all of them together, so a row that makes
+up a third of the table is rounded in one step, and its copies are then dealt out evenly.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from orrery.llm.common import cut, n_words
+from orrery.llm.common import cut, n_words, row_hashes
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -32,7 +34,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     ``cap`` times the source, the excess goes to the others by weight: with sources in
     order of cap per weight, a prefix of them is capped and the rest share what is left.
     """
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))  # one row a source
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (turn % len(weights) + 1).cast("int"))
     w = by_source.withColumn("w", weight).withColumn("most", cap * F.col("source_size"))
@@ -76,57 +78,56 @@ def round_masses(masses, sizes, draw) -> tuple[list[float], int]:
 
 
 def _rounder(level: int, last: bool, seed: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows):
         import random
 
-        rows = rows.sort_values(["turn", "doc_id", "tie", "size"], kind="stable", na_position="last").reset_index(drop=True)
-        mass = rows["mass"].to_numpy().copy()
-        size = rows["size"].to_numpy().tolist()
-        for turn, at in rows.groupby("turn", sort=False).indices.items():
-            rng = random.Random(f"{seed}|{level}|{int(rows['leaf'].iat[0])}|{turn}")
-            done, held = round_masses(mass[at].tolist(), [size[i] for i in at], rng.random)
+        import numpy as np
+        import pyarrow as pa
+
+        turn, a, b = (rows.column(k).to_numpy() for k in ("turn", "a", "b"))
+        order = np.lexsort((b, a, turn))
+        mass, size = rows.column("mass").to_numpy()[order], rows.column("size").to_numpy()[order].tolist()
+        turn, leaf = turn[order], rows.column("leaf")[0].as_py()
+        edges = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(turn)]
+        for i, j in zip(edges, edges[1:], strict=False):
+            rng = random.Random(f"{seed}|{level}|{leaf}|{turn[i]}")
+            done, held = round_masses(mass[i:j].tolist(), size[i:j], rng.random)
             if last and held >= 0:
                 done[held] = float(rng.random() < done[held])
-            mass[at] = done
-        rows["mass"] = mass
-        return rows
+            mass[i:j] = done
+        rows = rows.take(pa.array(order))
+        return rows.set_column(rows.schema.get_field_index("mass"), "mass", pa.array(mass))
 
     return run
 
 
-def mix_decisions(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, tie, size, source_size, target, copies, taken``.
-
-    ``tie`` is a hash of the text. Null or empty texts have size 0 and are never taken.
-    Repeated rows are rounded one by one. An empty table gives no rows.
-    """
-    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("tie"), n_words(F.col("text")).alias("size"))
-    targets = source_targets(sized, weights, cap)
-    want = F.least(F.col("target") / F.col("source_size"), F.lit(cap))
-    joined = sized.join(targets.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    wanted = F.when(F.col("size") > 0, want).otherwise(F.lit(0.0))
+def mix_items(items: DataFrame, targets: DataFrame, cap: float, seed: int) -> DataFrame:
+    """``items (a, b, source, size, n)``, equal rows as one with their number ``n``: how many ``copies`` of all n are taken."""
+    items = items.join(targets.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    want = F.when(F.col("size") > 0, F.col("n") * F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(F.lit(0.0))
     leaves = 1
-    rows = docs.count()
+    rows = items.count()
     while leaves * LEAF_ROWS < rows:
         leaves *= 2
-    fields = "doc_id", "tie", "turn", "size", "source_size", "target", "base", "mass", "leaf"
-    frame = joined.withColumn("want", wanted).select(
-        "doc_id",
-        "tie",
+    fields = ["a", "b", "n", "turn", "size", "source_size", "target", "base", "mass", "leaf"]
+    frame = items.withColumn("want", want).select(
+        "a",
+        "b",
+        "n",
         F.xxhash64("source", F.col("source").isNull()).alias("turn"),
         "size",
         "source_size",
         "target",
-        F.floor("want").cast("int").alias("base"),
+        F.floor("want").cast("long").alias("base"),
         (F.col("want") - F.floor("want")).alias("mass"),
-        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie"), F.lit(leaves)).alias("leaf"),
+        F.pmod(F.xxhash64(F.lit(seed), "a", "b"), F.lit(leaves)).alias("leaf"),
     )
     parts, level = [], 0
     open_ = (F.col("mass") > 0) & (F.col("mass") < 1)
     while True:
         last = leaves == 1
         keys: list[Column] = [F.col("leaf")] if level == 0 else [F.col("leaf"), F.pmod("turn", F.lit(16)).alias("slice")]
-        done = frame.groupBy(*keys).applyInPandas(_rounder(level, last, seed), frame.schema)
+        done = frame.groupBy(*keys).applyInArrow(_rounder(level, last, seed), frame.schema)
         done = cut(done.select(*fields))
         parts.append(done.filter(~open_))
         if last:
@@ -136,27 +137,48 @@ def mix_decisions(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
-    copies = (F.col("base") + F.col("mass").cast("int")).alias("copies")
-    return every.select("doc_id", "tie", "size", "source_size", "target", copies).withColumn(
-        "taken", F.col("size") * F.col("copies")
-    )
+    return every.select("a", "b", "n", "size", "source_size", "target", (F.col("base") + F.col("mass").cast("long")).alias("copies"))
+
+
+def mix_decisions(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, size, source_size, target, copies, taken``.
+
+    Rows are equal if ``doc_id, source`` and ``text`` are; their copies differ by one at most.
+    Null or empty texts have size 0 and are never taken. Sources that tie in cap per weight
+    are ordered by name, null last. An empty table gives no rows. Draws are keyed by what
+    rows hold, so the order in which they come does not matter.
+    """
+    key = docs.select("doc_id", "source", "text")
+    a, b = row_hashes(key)
+    sized = key.select("doc_id", "source", a.alias("a"), b.alias("b"), n_words(F.col("text")).alias("size"))
+    items = sized.groupBy("a", "b").agg(*[F.first(x).alias(x) for x in ("doc_id", "source", "size")], F.count(F.lit(1)).alias("n"))
+    items = cut(items)
+    made = mix_items(items.drop("doc_id"), source_targets(sized, weights, cap), cap, seed)
+    made = made.join(items.select("a", "b", "doc_id"), ["a", "b"])
+    each = made.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    copies = (F.floor(F.col("copies") / F.col("n")) + (F.col("__i") <= F.col("copies") % F.col("n")).cast("long")).cast("int")
+    each = each.withColumn("copies", copies)
+    return each.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it, in the same columns."""
-    n = Window.partitionBy("__id", "__tie").orderBy("__copies")
-    made = mix_decisions(docs, weights, cap, seed).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("copies").alias("__copies"))
-    made = made.withColumn("__nth", F.row_number().over(n))
+    """``docs`` with each row repeated as often as the mix takes it, in the same columns.
+
+    Rows are equal if all their columns are; they may bear any names and types. A null id is
+    an id like others here.
+    """
     fields = docs.columns
-    nth = F.row_number().over(Window.partitionBy("__key", "__hash").orderBy("__hash"))
-    keyed = docs.withColumns({"__key": F.col("doc_id"), "__hash": F.xxhash64("text")}).withColumn("__turn", nth)
-    joined = keyed.join(
-        made,
-        F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tie")) & (F.col("__turn") == F.col("__nth")),
-    )
-    repeated = joined.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in fields])
+    a, b = row_hashes(docs)
+    row = F.struct(*[F.col(f"`{c}`") for c in fields])
+    held = docs.select(a.alias("a"), b.alias("b"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"), row.alias("row"))
+    sized = held.select("a", "b", "source", "size")
+    items = sized.groupBy("a", "b").agg(F.first("source").alias("source"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    made = mix_items(cut(items), source_targets(sized, weights, cap), cap, seed).filter("copies > 0").select("a", "b", "copies")
+    # One of equal rows stands for all; they meet on the map side first.
+    one = held.groupBy("a", "b").agg(F.first("row").alias("row"))
+    joined = one.join(made, ["a", "b"]).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return joined.select(*[F.col("row")[c].alias(c) for c in fields])
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return mix_decisions(docs).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "copies")
+    return mix_decisions(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
