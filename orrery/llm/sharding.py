@@ -7,7 +7,10 @@ modulo the number of shards and the slot the quotient. Shards thus differ by one
 at most, and slots have no gaps, whatever the sizes of the records.
 
 The draws of Fisher-Yates are hashes of (seed, bucket, step), so a bucket that is
-computed again after an executor is lost comes out the same.
+computed again after an executor is lost comes out the same. A permutation is drawn for
+the number of rows of a bucket and applied to their ranks, so no bucket's rows need to
+be held at a time. Rows are scattered by all that they hold; where equal rows are so many
+that they would crowd one bucket, they are counted first and scattered by number, too.
 """
 
 from __future__ import annotations
@@ -16,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from orrery.llm.common import BROADCAST_ROWS, n_bytes, without
+from orrery.llm.common import cut, n_bytes, row_hashes, without
 
 BUCKET_BYTES = 8 << 20
 BUCKET_ROWS = 768
 SEED = 20_011
 _SUPER = 1024
+#: A bucket of so many times the rows it should hold is crowded by equal rows.
+CROWDED = 8
 
 
 def fisher_yates(n: Column, *key: Column) -> Column:
@@ -54,47 +59,49 @@ def external_shuffle(
 ) -> DataFrame:
     """All rows and columns of ``df``, with ``shard`` (int) and ``slot`` (long).
 
-    Rows are scattered by key and text, so groups of equal texts and null keys spread
-    out; rows that agree in both share a bucket. Ties within a bucket are broken by all
-    columns, which must be orderable (no maps). A null text counts as empty. An empty
-    table gives no rows. Columns already named ``shard`` or ``slot`` are replaced.
+    Rows are scattered and ordered within buckets by hashes of all columns, so groups of
+    equal texts, null keys and ties spread out; equal rows are interchangeable. Columns may be
+    of any type. A null text counts as empty. An empty table gives no rows. Columns already
+    named ``shard`` or ``slot`` are replaced; others that begin with two underscores may clash
+    with nothing, as rows travel as one struct.
     """
     df = without(df, "shard", "slot")
     fields = df.columns
     weighed = df.agg(F.count(F.lit(1)).alias("n"), F.sum(n_bytes(F.col(f"`{text}`")) + 8).alias("b")).first()
     buckets = max(1, -(-weighed["n"] // bucket_rows), -(-(weighed["b"] or 0) // bucket_bytes))
-    scatter = F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{text}`"))
-    bucket = F.pmod(scatter, F.lit(buckets))
+
+    def scattered(nth: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), "__a", "__b", nth), F.lit(buckets))
+
+    a, b = row_hashes(df)
+    row = F.struct(*[F.col(f"`{c}`") for c in fields])
+    held = df.select(a.alias("__a"), b.alias("__b"), F.lit(0).cast("long").alias("__nth"), row.alias("__row"))
+    held = held.withColumn("__bucket", scattered(F.col("__nth")))
+    counts = cut(held.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")))
+    if (counts.agg(F.max("__n")).first()[0] or 0) > CROWDED * bucket_rows:
+        one = held.groupBy("__a", "__b").agg(F.first("__row").alias("__row"), F.count(F.lit(1)).alias("__many"))
+        held = one.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__many")))).drop("__many")
+        held = held.withColumn("__bucket", scattered(F.col("__nth")))
+        counts = cut(held.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")))
 
     # The second pass needs to know where each bucket begins: sums over sums, so that no
     # task sees all buckets.
-    counts = df.groupBy(bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("__n"))
     counts = counts.withColumn("__super", F.floor(F.col("__bucket") / _SUPER))
     before = lambda *part: Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, -1)
     inner = counts.withColumn("__in", F.coalesce(F.sum("__n").over(before("__super").orderBy("__bucket")), F.lit(0)))
     outer = counts.groupBy("__super").agg(F.sum("__n").alias("__m"))
     outer = outer.select("__super", F.coalesce(F.sum("__m").over(before().orderBy("__super")), F.lit(0)).alias("__out"))
-    offsets = inner.join(outer, "__super").select("__bucket", (F.col("__in") + F.col("__out")).alias("__offset"))
-    if buckets <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
+    order = fisher_yates(F.col("__n").cast("int"), F.lit(seed), F.col("__bucket"))
+    orders = inner.join(outer, "__super").select("__bucket", (F.col("__in") + F.col("__out")).alias("__offset"), order.alias("__order"))
 
-    row = F.struct(*[F.col(f"`{c}`") for c in fields])
-    held = (
-        df.select(bucket.alias("__bucket"), F.struct(scatter.alias("h"), row.alias("row")).alias("__row"))
-        .repartition("__bucket")
-        .groupBy("__bucket")
-        .agg(F.array_sort(F.collect_list("__row")).alias("__rows"))
-        .join(offsets, "__bucket")
-    )
-    order = fisher_yates(F.size("__rows"), F.lit(seed), F.col("__bucket"))
-    dealt = held.select("__offset", "__rows", order.alias("__order")).select(
-        "__offset", F.posexplode(F.transform("__order", lambda i: F.get("__rows", i)["row"])).alias("__pos", "__row")
-    )
-    place = F.col("__offset") + F.col("__pos")
+    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy("__a", "__b", "__nth"))
+    ranked = held.withColumn("__rank", rank)
+    place = F.col("__offset") + F.element_at("__order", F.col("__rank"))
+    dealt = ranked.join(orders.hint("merge"), "__bucket").select("__row", place.alias("__place"))
     return dealt.select(
         *[F.col("__row")[c].alias(c) for c in fields],
-        F.pmod(place, F.lit(shards)).cast("int").alias("shard"),
-        F.floor(place / shards).cast("long").alias("slot"),
+        F.pmod("__place", F.lit(shards)).cast("int").alias("shard"),
+        F.floor(F.col("__place") / shards).cast("long").alias("slot"),
     )
 
 
