@@ -6,9 +6,11 @@ with a smaller id.
 * Each window of ``length`` bytes is represented by its minimal hashed gram of ``GRAM``
   bytes, its anchor: equal windows have equal anchors, and neighbouring windows mostly
   share one, so a text has an anchor every twentieth byte or so.
-* Anchors meet by hash; only those that at least two documents hold go on. What a task
-  already finds repeated among its own rows it settles itself and sends on once, so a
-  passage that a third of all documents share reaches a bucket once per task.
+* Anchors meet by hash, with a few bits of what stands before and behind them: a repeated
+  window agrees on the longer side of its anchor, too, so chance meetings of short grams
+  drop out. Only anchors that at least two documents hold go on. What a deal already finds
+  repeated among its own rows it sends on once, so a passage that a third of all documents
+  share reaches a bucket once per deal.
 * The stretches of text around surviving anchors meet again, and the suffixes that start
   in them are sorted on their bytes: multikey quicksort by eight bytes at a time to a
   shallow depth, then a blind trie for each group that still agrees. Neighbours that
@@ -32,12 +34,14 @@ from orrery.llm.common import n_bytes
 
 LENGTH, GRAM, SHALLOW = 50, 16, 24
 #: Anchors that one bucket sorts, and bytes of text that one deal holds, on average.
-BUCKET_ANCHORS, DEAL_BYTES = 500_000, 8 << 20
+BUCKET_ANCHORS, DEAL_BYTES = 500_000, 16 << 20
 _BUFFER = 1 << 17
 _POS = np.uint64(_BUFFER - 1)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 LAST_ID = (1 << 63) - 1
+#: Equal rows beyond so many are collapsed before they are dealt.
+CROWD = 1000
 
 
 def words8(data: np.ndarray) -> np.ndarray:
@@ -108,7 +112,7 @@ def pieces(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[list[int]
         yield flush()
 
 
-PACKED_SCHEMA = "deal long, id long, row long, packed binary"
+PACKED_SCHEMA = "deal long, id long, none boolean, many long, row long, packed binary"
 
 
 def pack(deals: int):
@@ -120,7 +124,7 @@ def pack(deals: int):
         press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             packed = [press((t or "").encode("utf-8", "replace")) for t in batch["text"]]
-            yield pd.DataFrame({"deal": batch["row"] % deals, "id": batch["id"], "row": batch["row"], "packed": packed})
+            yield pd.DataFrame({"deal": batch["row"] % deals, "id": batch["id"], "none": batch["none"], "many": batch["many"], "row": batch["row"], "packed": packed})
 
     return run
 
@@ -146,48 +150,70 @@ def _tags(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(16)
 
 
+def contexts(hashes: np.ndarray, place: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """Eight bits of the grams before and behind each anchor, as two bytes; 0 where the text holds none.
+
+    Of the bytes of a window beside its anchor, one side has half at least. Where that is less
+    than a gram, nothing is told apart.
+    """
+    if 2 * GRAM - 1 > length - GRAM:
+        return np.full(len(place), 0x0101, np.uint16)
+    bits = lambda at: ((hashes[at] >> np.uint64(56)) % np.uint64(255) + np.uint64(1)).astype(np.uint16)
+    left = np.where(place - GRAM >= begin, bits(np.maximum(place - GRAM, 0)), np.uint16(0))
+    right = np.where(place + 2 * GRAM <= end, bits(np.minimum(place + GRAM, len(hashes) - 1)), np.uint16(0))
+    return left << np.uint16(8) | right
+
+
+def meet(tag: np.ndarray, context: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which anchors another row holds, too, with the same gram before or the same behind."""
+    out = np.zeros(len(tag), bool)
+    for side in (context >> np.uint16(8), context & np.uint16(255)):
+        valid = np.flatnonzero(side)
+        key = tag[valid] << np.uint64(8) | side[valid].astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], valid[order]
+        head = np.ones(len(key), bool)
+        head[1:] = key[1:] != key[:-1]
+        which = np.cumsum(head) - 1
+        differ = np.zeros(int(head.sum()), bool)
+        differ[which[row[at] != row[at[head]][which]]] = True
+        out[at[differ[which]]] = True
+    return out
+
+
 _LOW = np.uint64(0xFFFFFFFF)
-ANCHOR_SCHEMA = "bucket long, known boolean, low binary, high binary, rows binary"
+ANCHOR_SCHEMA = "bucket long, deal long, low binary, high binary, context binary, rows binary"
 
 
 def find_anchors(buckets: int, length: int):
-    """Pass one: the distinct anchors of each text, dealt to buckets; those repeated here are known."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tags, rows = [], []
-        for batch in batches:
-            texts, keys = _utf8(batch), batch["row"].to_numpy()
-            for numbers, data, starts, _ in pieces(texts, length):
-                at, place, hashes = anchors(data, starts, length)
-                place = np.unique(place)
-                tags.append(_tags(hashes[place]))
-                rows.append(keys[np.array(numbers)][np.searchsorted(starts, place, side="right") - 1])
-        if not tags:
-            return
-        tag, row = np.concatenate(tags), np.concatenate(rows)
-        order = np.lexsort((row, tag))
-        tag, row = tag[order], row[order]
-        fresh = np.ones(len(tag), bool)
-        fresh[1:] = (tag[1:] != tag[:-1]) | (row[1:] != row[:-1])
-        tag, row = tag[fresh], row[fresh]
+    """Pass one: a deal's distinct anchors, in bundles for buckets; rows go by their rank within the deal."""
+
+    def run(held: pd.DataFrame) -> pd.DataFrame:
+        texts, keys = _utf8(held), held["row"].to_numpy()
+        known = np.unique(keys)
+        tags, sides, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+        for numbers, data, starts, _ in pieces(texts, length):
+            _, place, hashes = anchors(data, starts, length)
+            place = np.unique(place)
+            owner = np.searchsorted(starts, place, side="right") - 1
+            tags.append(_tags(hashes[place]))
+            sides.append(contexts(hashes, place, starts[owner], starts[owner + 1], length))
+            rows.append(np.searchsorted(known, keys[np.array(numbers)])[owner])
+        tag, side, row = map(np.concatenate, (tags, sides, rows))
+        order = np.lexsort((row, side, tag))
+        tag, side, row = tag[order], side[order], row[order]
         head = np.ones(len(tag), bool)
-        head[1:] = tag[1:] != tag[:-1]
-        many = ~head
-        many[:-1] |= ~head[1:]
-        out = []
-        # What is repeated within this task is settled; its first row alone stands for it elsewhere.
-        for known, choose in ((False, head), (True, many)):
-            t, r = tag[choose], row[choose]
-            if not len(t):
-                continue
-            to = (t if not known else r.astype(np.uint64)) % np.uint64(buckets)
-            order = np.lexsort((r, to))
-            t, r, to = t[order], r[order], to[order]
-            cuts = np.flatnonzero(np.diff(to)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(to)], strict=True):
-                low, high = (t[a:b] & _LOW).astype(np.uint32), (t[a:b] >> np.uint64(32)).astype(np.uint16)
-                out.append((int(to[a]), known, low.tobytes(), high.tobytes(), r[a:b].tobytes()))
-        yield pd.DataFrame(out, columns=["bucket", "known", "low", "high", "rows"])
+        head[1:] = (tag[1:] != tag[:-1]) | (side[1:] != side[:-1])
+        tag, side, row = tag[head], side[head], row[head]
+        to = tag % np.uint64(buckets)
+        order = np.lexsort((row, to))
+        tag, side, row, to = tag[order], side[order], row[order].astype(np.uint32), to[order]
+        edges = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)] if len(to) else [0]
+        out, deal = [], int(held["deal"].iat[0])
+        for a, b in zip(edges, edges[1:], strict=False):
+            low, high = (tag[a:b] & _LOW).astype(np.uint32), (tag[a:b] >> np.uint64(32)).astype(np.uint16)
+            out.append((int(to[a]), deal, *(x.tobytes() for x in (low, high, side[a:b], row[a:b]))))
+        return pd.DataFrame(out, columns=["bucket", "deal", "low", "high", "context", "rows"])
 
     return run
 
@@ -196,37 +222,26 @@ def _joined(column: pd.Series, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
 
-def _whole_tags(group: pd.DataFrame) -> np.ndarray:
-    return (_joined(group["high"], np.uint16).astype(np.uint64) << np.uint64(32)) | _joined(group["low"], np.uint32)
-
-
 TAG_SCHEMA = "deal long, rows binary, low binary"
 
 
-def repeated_anchors(deals: int):
-    """Of a bucket's anchors those with two rows or more, and all known ones, by deal.
+def repeated_anchors():
+    """Of a bucket's anchors those that another row holds, too, by deal.
 
     32 bits of a tag go back, which are enough to tell the few anchors of a text apart.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        fresh = group[~group["known"]]
-        tag, row = _whole_tags(fresh), _joined(fresh["rows"], np.int64)
-        order = np.argsort(tag, kind="stable")
-        tag, row = tag[order], row[order]
-        head = np.ones(len(tag), bool)
-        head[1:] = tag[1:] != tag[:-1]
-        which = np.cumsum(head) - 1
-        firsts = row[head]
-        differ = np.zeros(len(firsts), bool)
-        differ[which[row != firsts[which]]] = True
-        chosen = differ[which] if len(tag) else np.zeros(0, bool)
-        known = group[group["known"]]
-        tag = np.concatenate([tag[chosen], _whole_tags(known)])
-        row = np.concatenate([row[chosen], _joined(known["rows"], np.int64)])
-        order = np.argsort(row, kind="stable")
-        low, row = (tag[order] & _LOW).astype(np.uint32), row[order]
-        out = [(deal, row[at].tobytes(), low[at].tobytes()) for deal, at in _by_deal(row, deals)]
+        group = group.sort_values("deal")
+        low = _joined(group["low"], np.uint32)
+        tag = (_joined(group["high"], np.uint16).astype(np.uint64) << np.uint64(32)) | low
+        rank = _joined(group["rows"], np.uint32)
+        sizes = group["rows"].map(len).to_numpy() // 4
+        deal = np.repeat(np.arange(len(group)), sizes)  # a deal sends a bucket one bundle
+        chosen = meet(tag, _joined(group["context"], np.uint16), deal << 32 | rank)
+        edges = np.searchsorted(deal[chosen], np.arange(len(group) + 1))
+        rank, low = rank[chosen], low[chosen]
+        out = [(d, rank[a:b].tobytes(), low[a:b].tobytes()) for d, a, b in zip(group["deal"], edges, edges[1:], strict=False) if a < b]
         return pd.DataFrame(out, columns=["deal", "rows", "low"])
 
     return run
@@ -249,34 +264,36 @@ def find_stretches(buckets: int, length: int):
         press = zstandard.ZstdCompressor(level=3).compress
         smallest: dict[bytes, int] = {}
         found: list[tuple[int, int, int, bytes, int]] = []
-        rows, low = _joined(told["rows"], np.int64), _joined(told["low"], np.uint32)
-        order = np.argsort(rows, kind="stable")
-        rows, low = rows[order], low[order]
-        held = held[np.isin(held["row"].to_numpy(), rows)]
-        if len(held):
-            texts, keys, ids = _utf8(held), held["row"].tolist(), held["id"].tolist()
-            first, last = np.searchsorted(rows, keys), np.searchsorted(rows, keys, side="right")
-            wanted = [np.unique(low[a:b]) for a, b in zip(first, last, strict=True)]
-            for numbers, data, starts, off in pieces(texts, length):
-                at, place, hashes = anchors(data, starts, length)
-                # An anchor's windows follow each other; a text's border ends them, too.
-                owner = np.searchsorted(starts, at, side="right") - 1
-                edge = np.flatnonzero((np.diff(place) != 0) | (np.diff(owner) != 0)) + 1
-                heads = np.concatenate([[0], edge])
-                lo, hi = at[heads], at[np.concatenate([edge, [len(place)]]) - 1]
-                tag = _tags(hashes[place[heads]])
-                bounds = np.searchsorted(owner[heads], np.arange(len(numbers) + 1))
-                raw = data.tobytes()
-                for j, i in enumerate(numbers):
-                    a, b = bounds[j], bounds[j + 1]
-                    chosen = a + np.flatnonzero(np.isin((tag[a:b] & _LOW).astype(np.uint32), wanted[i]))
-                    base, key, id_ = off - int(starts[j]), keys[i], ids[i]
-                    for p, q, t in zip(lo[chosen].tolist(), hi[chosen].tolist(), (tag[chosen] % np.uint64(buckets)).tolist(), strict=True):
-                        stretch = raw[p : q + length]
-                        known = smallest.get(stretch)
-                        if known is None or id_ < known:
-                            smallest[stretch] = id_
-                        found.append((key, id_, p + base, stretch, t))
+        told_of = (_joined(told["rows"], np.uint32).astype(np.uint64) << np.uint64(32)) | _joined(told["low"], np.uint32)
+        texts, keys, ids = _utf8(held), held["row"].to_numpy(), held["id"].to_numpy()
+        known = np.unique(keys)
+        raws: list[bytes] = []
+        columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for numbers, data, starts, off in pieces(texts, length):
+            at, place, hashes = anchors(data, starts, length)
+            # An anchor's windows follow each other; a text's border ends them, too.
+            owner = np.searchsorted(starts, at, side="right") - 1
+            edge = np.flatnonzero((np.diff(place) != 0) | (np.diff(owner) != 0)) + 1
+            heads = np.concatenate([[0], edge])
+            lo, hi = at[heads], at[np.concatenate([edge, [len(place)]]) - 1]
+            place, owner = place[heads], owner[heads]
+            number = np.array(numbers)[owner]
+            side = contexts(hashes, place, starts[owner], starts[owner + 1], length)
+            for column, x in zip(columns, (_tags(hashes[place]), side, number, lo, hi, lo - starts[owner] + off, np.full(len(lo), len(raws))), strict=True):
+                column.append(x)
+            raws.append(data.tobytes())
+        if raws:
+            tag, side, number, lo, hi, begin, piece = map(np.concatenate, columns)
+            rank = np.searchsorted(known, keys[number])
+            chosen = meet(tag, side, rank) | np.isin((rank.astype(np.uint64) << np.uint64(32)) | (tag & _LOW), told_of)
+            number = number[chosen]
+            cells = (keys[number], ids[number], begin[chosen], lo[chosen], hi[chosen], piece[chosen], tag[chosen] % np.uint64(buckets))
+            for key, id_, start, p, q, nth, bucket in zip(*(x.tolist() for x in cells), strict=True):
+                stretch = raws[nth][p : q + length]
+                least = smallest.get(stretch)
+                if least is None or id_ < least:
+                    smallest[stretch] = id_
+                found.append((key, id_, start, stretch, bucket))
         gone: dict[int, list[int]] = {}
         open_: dict[int, list[tuple]] = {}
         for entry in found:
@@ -478,7 +495,7 @@ def merged(flat) -> np.ndarray:
     return np.stack([pairs[head, 0], reach[tails]], axis=1).ravel()
 
 
-RESULT_SCHEMA = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary"
+RESULT_SCHEMA = "id long, none boolean, many long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary"
 
 
 def _finish(keep_text: bool):
@@ -496,7 +513,8 @@ def _finish(keep_text: bool):
             digest = hashlib.sha256(kept).hexdigest()
             out.append((len(data), len(data) - len(kept), len(flat) // 2, digest, flat, kept if keep_text else None))
         frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
-        frame.insert(0, "id", held["id"].to_numpy())
+        for nth, name in enumerate(("id", "none", "many")):
+            frame.insert(nth, name, held[name].to_numpy())
         return frame
 
     return run
@@ -507,7 +525,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
 
     ``spans`` lists starts and ends of removed runs, ``kept`` the remaining bytes. A null
     text counts as empty. Rows with the same id are one document to each other: neither
-    removes from the other. Null ids come after all others. ``length`` is at least GRAM.
+    removes from the other; equal rows have equal results. Null ids come after all others and
+    are one document, too. Texts may be of any length. An empty table gives no rows.
+    ``length`` is at least GRAM.
     """
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
@@ -515,15 +535,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
     buckets = 1 + total // ((length - GRAM + 2) // 2) // BUCKET_ANCHORS
     deals = 1 + total // DEAL_BYTES
     # No nulls go to Python, as pandas would turn ids that stand beside them into floats.
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    keyed = docs.select(
+        F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.col("doc_id").isNull().alias("none"), F.lit(1).cast("long").alias("many"),
+        F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    if (keyed.groupBy("row").count().agg(F.max("count")).first()[0] or 0) > CROWD:
+        keyed = keyed.groupBy("row", "id", "none").agg(F.sum("many").alias("many"), F.first("text").alias("text"))
+        keyed = keyed.select("id", "none", "many", "row", "text")
     dealt = keyed.mapInPandas(pack(deals), PACKED_SCHEMA).repartition("deal")
-    rows = dealt.mapInPandas(find_anchors(buckets, length), ANCHOR_SCHEMA)
-    tags = rows.groupBy("bucket").applyInPandas(repeated_anchors(deals), TAG_SCHEMA)
+    bundles = dealt.groupBy("deal").applyInPandas(find_anchors(buckets, length), ANCHOR_SCHEMA)
+    tags = bundles.groupBy("bucket").applyInPandas(repeated_anchors(), TAG_SCHEMA)
     beside = lambda told: dealt.groupBy("deal").cogroup(told.groupBy("deal"))
     stretches = beside(tags).applyInPandas(find_stretches(buckets, length), STRETCH_SCHEMA)
     spans = stretches.groupBy("bucket").applyInPandas(judge(length, deals), SPAN_SCHEMA)
     out = beside(spans).applyInPandas(_finish(keep_text), RESULT_SCHEMA)
-    return out.select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), *out.columns[1:])
+    out = out.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many"))))
+    return out.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), *[c for c in out.columns if c not in ("id", "none", "many", "__nth")])
 
 
 def query(docs: DataFrame) -> DataFrame:
