@@ -6,31 +6,33 @@ forces one bin a round, so that every bin fills; earlier rounds win, so two sets
 in a bin with probability equal to their similarity, with bounds as sharp as those of
 independent minima. Bands of bins make buckets.
 
-Equal sets first become one class. In each bucket, members are tried against central
-members (those whose buckets are the largest: the least edited copies) rather than
-against each other, so a group of n copies costs n comparisons a round, not n squared.
-Members that a bucket's centre does not reach stay for the next round, with another
-centre. After the rounds, the buckets that still hold an untried pair of different
-components are joined into clusters, and in each of these all sets are compared as
-products of matrices. Links are confirmed on the full sets, and components are found by passing on
-the smallest id with pointer jumping. Nothing is gathered on the driver.
+Equal sets first become one class, so any number of copies is one node from then on.
+Buckets that share a class chain together into clusters, and a cluster's full sets are sent
+to one place, once, where all its pairs are compared as products of matrices. A cluster
+beyond a block's size is cut into blocks. Each block has the cluster's most central sets
+(those whose buckets are the largest: the least edited copies) as guests, which links what
+is close to them; then only sets outside the cluster's largest component go through the
+other blocks, so a group of n lightly edited copies costs n comparisons with its centres,
+and no pair of different components is left out. Links are confirmed on the full sets, and
+components are found by passing on the smallest node with pointer jumping. Nothing is
+gathered on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from orrery.llm.common import cut, worker_cache
+from orrery.llm.common import cut, join_small, per_text, weigh, worker_cache
 
-WIDTH, BINS, ROWS, PERCENT, ROUNDS = 5, 128, 4, 75, 3
-#: Sets of a cluster in a block, and blocks of a cluster at most (a larger one has larger blocks).
-BLOCK_SETS, BLOCKS = 256, 16
-SKETCH_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
+WIDTH, BINS, ROWS, PERCENT = 5, 128, 4, 75
+#: Sets, and shingles in them, that a block holds on average; central sets that visit each block of their cluster.
+BLOCK_SETS, BLOCK_SHINGLES, CENTRES = 1024, 1 << 21, 8
+#: Small clusters are compared together, so many sets in a task's group on average.
+BIN_SETS = 2048
+SKETCH_SCHEMA = "n_shingles long, k1 long, k2 long, bands array<long>"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,30 +90,35 @@ def band_keys(sketched: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def sketched(docs: DataFrame, width: int, bins: int, rows: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def set_key(items: np.ndarray) -> tuple[int, int, int]:
+    """Size and two sums by which equal sets are known."""
+    return len(items), int(items.sum().astype(np.int64)), int(mix(items + _GOLD).sum().astype(np.int64))
+
+
+def sketched(docs: DataFrame, width: int, bins: int, rows: int, *beside: str) -> DataFrame:
+    def make():
         words = worker_cache().setdefault("words", {})
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                s = shingles(text, words, width)
-                keys = band_keys(sketch(s, bins), rows) if len(s) else np.zeros(0, np.int64)
-                out.append((len(s), int(s.sum().astype(np.int64)), int(mix(s + _GOLD).sum().astype(np.int64)), keys))
-            frame = pd.DataFrame(out, columns=["n_shingles", "k1", "k2", "bands"])
-            frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield frame
 
-    return docs.select("doc_id", "text").mapInPandas(run, SKETCH_SCHEMA)
+        def one(text: str | None) -> tuple:
+            items = shingles(text, words, width)
+            return *set_key(items), band_keys(sketch(items, bins), rows) if len(items) else []
+
+        return lambda texts: [*map(one, texts)]
+
+    return per_text(docs, SKETCH_SCHEMA, make, *beside)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         words = worker_cache().setdefault("words", {})
-        for batch in batches:
-            sets = [shingles(t, words, width).astype(np.int64) for t in batch["text"]]
-            yield pd.DataFrame({"doc": batch["doc_id"].to_numpy(), "items": sets})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc long, items array<long>")
+        def one(text: str | None) -> tuple:
+            items = shingles(text, words, width)
+            return *set_key(items), items.astype(np.int64)
+
+        return lambda texts: [*map(one, texts)]
+
+    return per_text(docs, "n_shingles long, k1 long, k2 long, items array<long>", make)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -134,121 +141,197 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def label_links(label: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Pairs of different labels that have a link between two of their sets, found among all pairs."""
+def linked_pairs(sets: list[np.ndarray], percent: int, rows: np.ndarray | None = None, label: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of sets that have a link, each but once: of ``rows`` (all, if none are named) with any later or unnamed one.
+
+    With labels, only pairs of different ones. All intersections are counted at a time, as products of matrices.
+    """
     m, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    rows = np.arange(m) if rows is None else rows
     owner = np.repeat(np.arange(m), sizes)
     _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times > 1  # what only one set has is in no intersection
     owner, col = owner[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
     order = np.argsort(col, kind="stable")
     owner, col = owner[order], col[order]
-    wide, tall = max(64, (1 << 22) // m), max(1, (1 << 23) // m)
+    named = np.full(m, -1)
+    named[rows] = np.arange(len(rows))
+    width, tall = int(shared.sum()), max(1, (1 << 23) // m)
+    wide = max(64, (1 << 22) // m)
     out = [np.zeros((0, 2), np.int64)]
-    for top in range(0, m, tall):
-        both = np.zeros((min(tall, m - top), m), np.float32)  # whole numbers below 2**24: exact
-        for left in range(0, int(shared.sum()), wide):
+    for top in range(0, len(rows), tall):
+        mine = rows[top : top + tall]
+        both = np.zeros((len(mine), m), np.float32)  # whole numbers below 2**24: exact
+        for left in range(0, width, wide):
             a, b = np.searchsorted(col, [left, left + wide])
-            part = np.zeros((m, min(wide, int(shared.sum()) - left)), np.float32)
+            part = np.zeros((m, min(wide, width - left)), np.float32)
             part[owner[a:b], col[a:b] - left] = 1
-            both += part[top : top + tall] @ part.T
+            both += part[mine] @ part.T
         both = both.astype(np.int64)
-        union = sizes[top : top + tall, None] + sizes - both
-        x, y = np.nonzero((both * 100 >= percent * union) & (label[top : top + tall, None] < label))
-        if len(x):
-            out.append(np.unique(np.stack([label[top + x], label[y]], axis=1), axis=0))
-    return np.unique(np.concatenate(out), axis=0)
+        close = both * 100 >= percent * (sizes[mine, None] + sizes - both)
+        if label is not None:
+            close &= label[mine, None] != label
+        x, y = np.nonzero(close)
+        x = mine[x]
+        once = np.where(named[y] >= 0, named[x] < named[y], True) & (x != y)
+        out.append(np.stack([x[once], y[once]], axis=1))
+    return np.concatenate(out)
+
+
+def spanning(nodes: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
+    """As few of the pairs (of places in ``nodes``) as connect what they connect."""
+    above = np.arange(len(nodes)).tolist()
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    out = []
+    for x, y in pairs.tolist():
+        a, b = top(x), top(y)
+        if a != b:
+            above[b] = a
+            out.append((int(nodes[x]), int(nodes[y])))
+    return out
 
 
-def rest_links(members: DataFrame, spent: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links ``a, b`` between the components that share a bucket with an untried pair; None if there is no such bucket.
+EDGE_SCHEMA = "a long, b long"
+
+
+def _compare(percent: int):
+    """Links within the clusters of a group; where it names guests, only those of guests."""
+
+    def run(table):
+        import pyarrow as pa
+
+        cluster, node, guest, label = (table.column(k).to_numpy() for k in ("cluster", "node", "guest", "label"))
+        items = table.column("items").combine_chunks()
+        flat, ends = items.flatten().to_numpy(), items.offsets.to_numpy() - items.offsets[0].as_py()
+        # A set that is at home in a block may also be its guest; it then counts as a guest.
+        order = np.lexsort((~guest, node, cluster))
+        order = order[np.concatenate([[True], (np.diff(node[order]) != 0) | (np.diff(cluster[order]) != 0)])]
+        out = []
+        for part in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+            sets = [flat[ends[i] : ends[i + 1]] for i in part]
+            again = label[part].any()  # labels are named where only guests are compared
+            pairs = linked_pairs(sets, percent, np.flatnonzero(guest[part]), label[part]) if again else linked_pairs(sets, percent)
+            out += spanning(node[part], pairs)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links ``a, b`` that connect all ``classes (node, rep, n_shingles, bands)`` of a component."""
+    members = classes.select("node", F.explode("bands").alias("band"))
+    buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).filter("size > 1")
+    met = cut(members.join(buckets, "band").groupBy("node", "first").agg(F.sum("size").alias("size")))
+    clusters = components(met.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    weight = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    placed = clusters.withColumnRenamed("label", "cluster").join(weight, "node").join(classes.select("node", "rep", "n_shingles"), "node")
+    placed = cut(placed)
+    of = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("m") / BLOCK_SHINGLES)).alias("blocks")
+    placed = placed.join(of.select("cluster", blocks), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = cut(placed)
+
+    ids = placed.select(F.col("rep").alias("doc_id")).distinct()
+    texts = join_small(docs.select("doc_id", "text"), ids, ["doc_id"], "left_semi", weigh(ids)[1])
+    sets = full_sets(texts, width).select(node_of().alias("node"), "items")
+    sets = cut(sets.join(placed.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+
+    def compared(sent: DataFrame) -> DataFrame:
+        fields = ["key", "part", "cluster", "node", "guest", "label"]
+        return sent.select(*fields).join(sets, "node").groupBy("key", "part").applyInArrow(_compare(percent), EDGE_SCHEMA)
+
+    held = placed.agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m")).first()
+    n_bins = max(1, held["n"] // BIN_SETS, (held["m"] or 0) // BLOCK_SHINGLES)
+    small = placed.filter("blocks = 1").withColumns(
+        {"key": F.pmod(F.xxhash64("cluster"), F.lit(n_bins)), "part": F.lit(-1).cast("long"), "guest": F.lit(False), "label": F.lit(0).cast("long")}
+    )
+    large = placed.filter("blocks > 1").withColumns({"key": F.col("cluster"), "label": F.lit(0).cast("long")})
+    order = Window.partitionBy("cluster").orderBy(F.desc("weight"), "node")
+    centres = large.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= CENTRES)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    first = large.withColumns({"part": F.col("block"), "guest": F.lit(False)})
+    first = first.unionByName(centres.drop("nth").withColumn("part", every).withColumn("guest", F.lit(False)))
+    edges = cut(compared(small.unionByName(first)))
+    if large.isEmpty():
+        return edges
+
+    # What is not in its cluster's largest component goes through all blocks, as guests in groups of a block's size.
+    labels = components(edges)
+    large = large.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    large = cut(large)
+    counted = large.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
+    main = counted.groupBy("cluster").agg(F.max(F.struct("n", F.col("label").alias("main"))).alias("x"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    rest = F.greatest(F.col("n") - F.col("x.n"), F.lit(0))
+    groups = F.greatest(F.ceil(rest / BLOCK_SETS), F.ceil(F.col("m") * rest / F.col("n") / BLOCK_SHINGLES)).alias("groups")
+    large = cut(large.join(main.select("cluster", F.col("x.main").alias("main"), groups), "cluster").filter("groups > 0"))
+    home = large.withColumns({"guest": F.lit(False), "group": F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))})
+    guests = large.filter("label <> main").withColumns({"guest": F.lit(True), "group": F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups")), "block": every})
+    # A label of 0 would read as none.
+    sent = home.unionByName(guests).withColumns({"part": F.col("block") * F.col("groups") + F.col("group"), "label": F.when(F.col("label") == 0, 1).otherwise(F.col("label"))})
+    return cut(edges.unionByName(compared(sent)))
+
+
+def node_of() -> F.Column:
+    return F.xxhash64("n_shingles", "k1", "k2")
+
+
+def judged(docs: DataFrame, width: int, percent: int, bins: int, rows: int, *beside: str) -> DataFrame:
+    """A row for each row of ``docs``: ``doc_id``, the columns ``beside``, ``n_shingles, component_id`` and ``group``, a component's own key."""
+    every = cut(sketched(docs, width, bins, rows, *beside).withColumn("node", node_of()))
+    usable = every.filter("n_shingles > 0 and doc_id is not null")
+    classes = cut(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
+    labels = components(links(docs, classes, width, percent))
+    least = labels.join(classes.select("node", "rep"), "node")
+    least = least.join(least.groupBy("label").agg(F.min("rep").alias("least")), "label").select("node", "label", "least")
+    found = classes.select("node", "rep").join(least, "node", "left")
+    found = found.select("node", F.coalesce("least", "rep").alias("found"), F.coalesce("label", "node").alias("group"))
+    out = every.drop("bands", "k1", "k2").join(found, "node", "left")
+    own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("found")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", *beside, "n_shingles", own.alias("component_id"), "group")
 
-    ``spent (band, doc)`` were centres, so they have been tried against their whole bucket.
-    """
-    now = members.select("band", "doc").join(spent, ["band", "doc"], "left_anti")
-    now = now.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    open_ = now.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("doc").alias("b"))
-    live = cut(now.join(open_.filter("l < h").select("band", "b"), "band").select(F.col("doc").alias("a"), "b", "label").distinct())
-    if live.isEmpty():
-        return None
-    docs = components(live).select(F.col("node").alias("doc"), F.col("label").alias("cluster"))
-    docs = docs.join(live.select(F.col("a").alias("doc"), "label").distinct(), "doc")
-    sizes = docs.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK_SETS)).cast("int")
-    docs = docs.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    docs = docs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("blocks = 1 or own <> other")
-    docs = docs.select("doc", "label", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(label_links(group["label"].to_numpy(), group["items"].tolist(), percent), columns=["a", "b"])
-
-    return cut(docs.join(sets, "doc").groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long"))
-
-
-def link_classes(docs: DataFrame, reps: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
-    """``node, label`` of the representatives ``(rep, bands)`` that have verified links."""
-    buckets = reps.select(F.col("rep").alias("doc"), F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = cut(buckets.join(shared, "band"))
-    central = members.groupBy("doc").agg(F.sum("size").alias("weight"))
-    members = cut(members.drop("size").join(central, "doc"))
-    sets = docs.join(central.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
-    sets = cut(full_sets(sets, width).dropDuplicates(["doc"]))
-    edges, labels, spent = None, None, None
-    for turn in range(rounds):
-        if labels is None:
-            now = members.withColumn("label", F.col("doc"))
-        else:
-            known = labels.withColumnRenamed("node", "doc")
-            now = members.join(known, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        # The first centre is the most central member, later ones are drawn among the nearly as central.
-        top = now.groupBy("band").agg(F.max("weight").alias("top"), F.min("label").alias("l"), F.max("label").alias("h"))
-        top = top.filter("l < h").select("band", "top")
-        near = now.join(top, "band")
-        rank = F.struct("weight", -F.col("doc")) if turn == 0 else F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), -F.col("doc"))
-        picked = near.filter(F.col("weight") >= 0.9 * F.col("top")).groupBy("band").agg(F.max_by(F.struct("doc", "label"), rank).alias("c"))
-        picked = cut(picked)
-        centres = picked.select("band", F.col("c.doc").alias("doc"))
-        spent = centres if spent is None else spent.unionByName(centres)
-        tried = near.join(picked, "band").filter(F.col("label") != F.col("c.label"))
-        tried = tried.select(F.col("doc").alias("a"), F.col("c.doc").alias("b")).distinct()
-        if edges is not None:
-            tried = tried.join(edges.select("a", "b"), ["a", "b"], "left_anti")
-        left = sets.select(F.col("doc").alias("a"), F.col("items").alias("x"))
-        right = sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
-        both = F.size(F.array_intersect("x", "y")).cast("long")
-        linked = (both * 100 >= F.lit(percent) * (F.size("x") + F.size("y") - both)).alias("linked")
-        made = cut(tried.join(left, "a").join(right, "b").select("a", "b", linked))
-        edges = made if edges is None else edges.unionByName(made)
-        if made.filter("linked").isEmpty() and labels is not None:
-            break
-        labels = components(edges.filter("linked"))
-    rest = rest_links(members, spent, labels, sets, percent)
-    return labels if rest is None or rest.isEmpty() else components(edges.filter("linked").select("a", "b").union(rest))
-
-
-def near_duplicates(
-    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS, rounds: int = ROUNDS
-) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text``): set size, component and whether kept.
 
     Null and empty texts link with nothing. A text of fewer than ``width`` words is one
-    shingle. A null id links with nothing, and such rows are kept. Rows that share an id
-    but not a text are told apart by their sets. An empty table gives no rows.
+    shingle; texts of any length are taken whole. A null id links with nothing, and such rows
+    are kept. Rows that share an id but not a text are nodes of their own, which both bear
+    that id; repeated rows are one node and have equal results. Pairs exactly at ``percent``
+    link. Other columns of ``docs`` are not looked at. An empty table gives no rows.
     """
-    every = cut(sketched(docs, width, bins, rows))
-    key = ["n_shingles", "k1", "k2"]
-    classes = every.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    reps = every.filter("n_shingles > 0").join(classes, key).filter(F.col("doc_id") == F.col("rep"))
-    labels = link_classes(docs, reps.select("rep", "bands").dropDuplicates(["rep"]), width, percent, rounds)
-    found = classes.join(labels, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("label", "rep").alias("found"))
-    # A set's smallest id stands for it, so the smallest label of linked classes is the component's.
-    out = every.drop("bands").join(found, key, "left")
-    own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("found")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", own.alias("component_id"))
+    out = judged(docs, width, percent, bins, rows).drop("group")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs`` without all but one of each group: that of the smallest id, then of the smallest hash.
+
+    Rows are told apart by id and text, and of rows that agree in both one stays. Rows
+    without an id or without words stay.
+    """
+    fields = docs.columns
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"), "text")
+    groups = cut(judged(keyed, width, percent, bins, rows, "__row").filter("doc_id is not null and n_shingles > 0"))
+    kept = groups.groupBy("group").agg(F.min(F.struct("doc_id", "__row")).alias("x"))
+    gone = groups.join(kept.select(F.col("x.__row").alias("__row")), "__row", "left_anti").select("__row").distinct()
+    again = groups.groupBy("__row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__row")
+    gone, again = cut(gone), cut(again.join(gone, "__row", "left_anti"))
+    row = F.struct(*[F.col(f"`{c}`") for c in fields])
+    held = docs.select(F.xxhash64("doc_id", "text").alias("__row"), row.alias("__all"))
+    held = join_small(held, gone, ["__row"], "left_anti", weigh(gone)[1])
+    if not again.isEmpty():
+        size = weigh(again)[1]
+        one = join_small(held, again, ["__row"], "left_semi", size).groupBy("__row").agg(F.first("__all").alias("__all"))
+        held = join_small(held, again, ["__row"], "left_anti", size).unionByName(one)
+    return held.select(*[F.col("__all")[c].alias(c) for c in fields])
+
+
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs)
 
