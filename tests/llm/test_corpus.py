@@ -589,7 +589,9 @@ def test_near_duplicates_agree_with_all_pairs(docs):
     assert out.filter("doc_id is null").first().kept
 
 
-def test_near_duplicates_of_a_large_group_and_of_nothing(spark, empty):
+@pytest.mark.parametrize("block", [1024, 16])
+def test_near_duplicates_of_a_large_group_and_of_nothing(spark, empty, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_SETS", block)
     rng = random.Random(8)
     base = ["w%d" % rng.randrange(5000) for _ in range(150)]
     rows = []
@@ -604,8 +606,11 @@ def test_near_duplicates_of_a_large_group_and_of_nothing(spark, empty):
     assert neardup.query(empty).count() == 0
 
 
-def test_near_duplicates_link_heavily_edited_copies_that_no_centre_reaches(spark):
+@pytest.mark.parametrize("block", [1024, 16])
+def test_near_duplicates_link_heavily_edited_copies_that_no_centre_reaches(spark, block, monkeypatch):
     """Pairs that are alike among themselves, but not like the central copies of their buckets."""
+    monkeypatch.setattr(neardup, "BLOCK_SETS", block)
+    monkeypatch.setattr(neardup, "CENTRES", 2)
     rng = random.Random(21)
     base = ["w%d" % rng.randrange(5000) for _ in range(200)]
     rows = []
@@ -623,24 +628,42 @@ def test_near_duplicates_link_heavily_edited_copies_that_no_centre_reaches(spark
     rng.shuffle(rows)
     rows = list(enumerate(rows))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = table(neardup.near_duplicates(df, bins=4, rows=1), "doc_id", "n_shingles", "component_id", "kept")
+    got = table(neardup.near_duplicates(df, bins=8, rows=1), "doc_id", "n_shingles", "component_id", "kept")
     assert got == brute_near(rows)
 
 
-def test_label_links_agree_with_all_pairs():
+def test_linked_pairs_agree_with_all_pairs():
     rng = np.random.default_rng(6)
     sets = []
     for _ in range(12):
         x = rng.integers(-(2**62), 2**62, 60)
         sets += [np.unique(np.concatenate([x[: 60 - n], rng.integers(-(2**62), 2**62, n)])) for n in rng.integers(0, 20, 4)]
-    label = rng.permutation(len(sets)) // 2 * 10
-    want = set()
-    for i, x in enumerate(sets):
-        for j, y in enumerate(sets):
-            both = len(np.intersect1d(x, y))
-            if label[i] < label[j] and 100 * both >= 75 * (len(x) + len(y) - both):
-                want.add((label[i], label[j]))
-    assert want and set(map(tuple, neardup.label_links(label, sets, 75))) == want
+    label, rows = rng.permutation(len(sets)) // 2 * 10, rng.permutation(len(sets))[:20]
+
+    def linked(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both)
+
+    want = {(i, j) for i in range(48) for j in range(i + 1, 48) if linked(i, j)}
+    got = neardup.linked_pairs(sets, 75)
+    assert want and len(got) == len(want) and {tuple(sorted(x)) for x in got.tolist()} == want
+    got = neardup.linked_pairs(sets, 75, rows, label)
+    want = {(i, j) for i, j in want if label[i] != label[j] and (i in rows or j in rows)}
+    assert want and len(got) == len(want) and {tuple(sorted(x)) for x in got.tolist()} == want
+    kept = neardup.spanning(np.arange(48), np.array(sorted({(i, j) for i in range(48) for j in range(48) if i // 4 == j // 4 and i < j})))
+    assert len(kept) == 36
+
+
+def test_one_id_with_two_texts_keeps_both_sets_apart(spark):
+    rng = random.Random(31)
+    a, b = ([f"{k}{rng.randrange(9999)}" for _ in range(60)] for k in "xy")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(b)), (5, "lone words"), (5, "lone words"), (None, " ".join(a))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = table(neardup.query(df), "doc_id", "component_id", "kept")
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True), (5, 5, True)]) + [(None, None, True)]
+    left = Counter(map(tuple, neardup.drop_near_duplicates(df.withColumn("m", F.create_map(F.lit("k"), "doc_id"))).select("doc_id", "text").collect()))
+    assert left[1, " ".join(a)] == left[1, " ".join(b)] == 1 and left[5, "lone words"] == 1 and left[None, " ".join(a)] == 1 and sum(left.values()) == 4
 
 
 def test_sketch_fills_and_estimates_similarity():
