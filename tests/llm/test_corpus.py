@@ -505,9 +505,25 @@ def item_words(text):
     return ITEM_WORD.findall((text or "").translate(ASCII_LOWER))
 
 
+def brute_near_items(rows, items, span=20):
+    """How many items each text has the three rarest words of within ``span`` words."""
+    counts = Counter(w for _, t in rows for w in item_words(t))
+    wanted = {}
+    for n, (i, t) in enumerate(items):
+        if v := sorted({w for w in item_words(t) if counts[w]}, key=lambda w: (counts[w], w.encode()))[:3]:
+            wanted[n] = i, set(v)
+    for _, text in rows:
+        w, near = item_words(text), set()
+        for i, terms in wanted.values():
+            if terms <= set(w) and any(terms <= set(w[k : k + span]) for k in range(len(w)) if w[k] in terms):
+                near.add(i)
+        yield len(near)
+
+
 def brute_decontam(rows, items):
     out = []
-    for d, text in rows:
+    near = [*brute_near_items(rows, items)]
+    for (d, text), n_near in zip(rows, near):
         w = item_words(text)
         hit, names = set(), set()
         for i, t in items:
@@ -518,11 +534,11 @@ def brute_decontam(rows, items):
                 if tuple(w[k : k + size]) in wins:
                     hit |= set(range(k, k + size))
                     names.add(str(i))
-        out.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
+        out.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit), n_near))
     return sorted(out, key=lambda r: (r[0] is None, r[0] or 0))
 
 
-NAMES6 = "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+NAMES6 = "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"
 
 
 @pytest.mark.parametrize("second", [0, 64])
@@ -549,9 +565,17 @@ def test_proximity_finds_scattered_terms(spark):
     rows = [(1, "alpha x x beta x gamma"), (2, "alpha " + "x " * 30 + "beta gamma"), (3, "gamma beta alpha")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     b = spark.createDataFrame([(7, "Alpha beta gamma")], "item_id long, text string")
-    near = decontam.proximity_matches(d, b, 6)
-    keys = {r.k: r.doc_id for r in d.select("doc_id", decontam.row_key().alias("k")).collect()}
-    assert {keys[r.doc] for r in near.collect()} == {1, 3}
+    assert {r.doc_id: r.n_near for r in decontam.decontaminate(d, b, span=6).collect()} == {1: 1, 2: 0, 3: 1}
+    lacking = spark.createDataFrame([(7, "Alpha beta nowhere gamma")], "item_id long, text string")
+    assert {r.doc_id for r in decontam.decontaminate(d, lacking, span=6).filter("n_near > 0").collect()} == {1, 3}
+
+
+def test_contaminated_rows_go_and_others_of_the_same_id_stay(spark):
+    rows = [(1, "a b c d e f g h i j k"), (1, "harmless"), (2, "harmless"), (None, "x a b c d e f g h i j"), (None, None), (1, "harmless")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("k"), "doc_id"))
+    b = spark.createDataFrame([(7, "a b c d e f g h i j")], "item_id long, text string")
+    kept = decontam.drop_contaminated(d, b)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter({(1, "harmless"): 2, (2, "harmless"): 1, (None, None): 1}) and kept.columns == d.columns
 
 
 # 7 ---------------------------------------------------------------------------------------
@@ -910,7 +934,7 @@ def test_pipeline_against_its_stages_by_brute_force(spark, tmp_path):
     import corpus_pipeline
 
     rows = corpus(80, 5)[:-1]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([*rows, rows[3], rows[3]], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     item = " ".join(item_words(rows[7][1] or "")[:30]) or "a b c"
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
@@ -931,6 +955,27 @@ def test_pipeline_against_its_stages_by_brute_force(spark, tmp_path):
     assert [c for c in out.columns] == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "shard", "slot"]
 
 
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_judge_rows_and_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    words = "el perro corre por la calle y nadie sabe muy bien por qué"
+    rows = [(1, words), (2, words), (2, "otra cosa muy distinta sobre el mar y la luna llena"), (None, words), (1, words)]
+    docs = spark.createDataFrame([(d, t, "es", "a", 1) for d, t in rows], SCHEMA)
+    spark.createDataFrame([(1, "sobre el mar y la luna")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == Counter([(1, words), rows[2], (None, words)])
+    clean = corpus_pipeline.drop_contaminated(spark, near, str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter([(1, words), (None, words)]) and clean.columns == docs.columns
+
+
 @pytest.mark.parametrize("name", ["op6_decontaminate", "op7_near_duplicates"])
 def test_queries_give_the_rows_of_their_sql(spark, name):
     from orrery.llm import queries
