@@ -68,11 +68,15 @@ def connected_groups(df: DataFrame, id_: str, links: Sequence[str], checkpoint=N
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the session's shared folder; only a session on one machine may lack that setting."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        import re
         import tempfile
 
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
     return df.checkpoint()
 
@@ -128,3 +132,50 @@ def hash_ordered_panel(df: DataFrame, group: str, label: str, seed: int, ratio:
     rest = per.filter("actives = 0").withColumn("before", F.coalesce(F.sum("decoys").over(order), F.lit(0)))
     filled = rest.crossJoin(totals).filter(F.col("d") + F.col("before") < ratio * F.col("a"))
     return df.join(with_active.select(group).union(filled.select(group)), group, "left_semi")
+
+
+def greedy_splits(groups: Sequence[tuple], shares: dict[str, float]) -> dict:
+    """Whole groups to splits, the largest first: where they overshoot the targets least, then where they end nearest to them, then by name."""
+    totals = [sum(counts) for counts in zip(*(c for _, c in groups), strict=True)]
+    targets = {s: [share * t for t in totals] for s, share in shares.items()}
+    filled = {s: [0] * len(totals) for s in shares}
+    placed = {}
+    for group, counts in groups:
+
+        def cost(split: str, counts=counts) -> tuple[float, float, str]:
+            off = [(have + more - want) / max(1.0, want) for have, more, want in zip(filled[split], counts, targets[split], strict=True)]
+            return sum(max(0.0, x) for x in off), sum(map(abs, off)), split
+
+        placed[group] = split = min(shares, key=cost)
+        filled[split] = [a + b for a, b in zip(filled[split], counts, strict=True)]
+    return placed
+
+
+def random_sample(df: DataFrame, id_: str, label: str, n: int, seed: int) -> DataFrame:
+    """The first ``n`` rows of each label in a hash order."""
+    at = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(seed, id_), id_))
+    return df.withColumn("__at", at).filter(F.col("__at") <= n).drop("__at")
+
+
+def diverse_sample(df: DataFrame, id_: str, label: str, group: str, labels: Sequence[str], n: int, seed: int) -> DataFrame:
+    """``n`` rows of each label in a hash order, no two of them from one group; earlier labels choose first."""
+    order = [hash_order(seed, id_), F.col(id_)]
+    firsts = df.withColumn("__g", F.row_number().over(Window.partitionBy(label, group).orderBy(*order))).filter("__g = 1").drop("__g")
+    out = None
+    for name in labels:
+        left = firsts.filter(F.col(label) == name)
+        if out is not None:
+            left = left.join(out.select(group), group, "left_anti").select(*df.columns)
+        chosen = left.orderBy(*order).limit(n)
+        out = chosen if out is None else out.unionByName(chosen)
+    return out
+
+
+def repeated_splits(df: DataFrame, id_: str, label: str, repeats: int, seed: int) -> DataFrame:
+    """A stratified split per ``repeat``, each in its own hash order."""
+    rows = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    key = F.sha2(F.concat((F.col("repeat") + seed).cast("string"), F.lit("|"), F.col(id_).cast("string")), 256)
+    w = Window.partitionBy("repeat", label)
+    n, at = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(key, id_))
+    first, second = F.floor(n * 0.6), F.floor(n * (0.6 + 0.2))
+    return rows.withColumn("split", F.when(at <= first, "train").when(at <= second, "validation").otherwise("test"))

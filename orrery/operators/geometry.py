@@ -159,3 +159,24 @@ def maxmin_order(ids: Sequence, distance: dict, start, size: int) -> list:
         rest = [i for i in ids if i not in chosen]
         chosen.append(min(rest, key=lambda i: (-min(distance[i, c] for c in chosen), i)))
     return chosen
+
+
+#: Centres that a choice on the driver looks at; more are refused.
+CENTRES_ON_DRIVER = 100_000
+
+
+def centres(points: DataFrame, group: str) -> list:
+    """The mean point of each group, on the driver."""
+    rows = points.groupBy(group).agg(*[F.avg(x).alias(x) for x in "xyz"]).limit(CENTRES_ON_DRIVER + 1).collect()
+    if len(rows) > CENTRES_ON_DRIVER:
+        raise ValueError(f"more than {CENTRES_ON_DRIVER} groups")
+    return rows
+
+
+#: Fixed value: the gas constant in kJ per mol and kelvin.
+GAS_CONSTANT = 0.00831446261815324
+
+
+def temperature(kinetic_energy: Column, freedoms: Column) -> Column:
+    """Kelvin, from the kinetic energy in kJ per mol and the degrees of freedom."""
+    return 2 * kinetic_energy / (freedoms * GAS_CONSTANT)

@@ -148,3 +148,23 @@ def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two arrays of distinct members; two empty ones are alike."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def representative_strict(poses: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As ``representative``, but with the rank of the best pose, and a group without a good pose is an error."""
+    ok = (F.col("status") == "ok") & F.col("docking_score").isNotNull()
+    order = F.struct("docking_score", "pose_rank")
+    first, best = F.min(F.when(ok & (F.col("pose_rank") == 1), F.col("docking_score"))), F.min(F.when(ok, order))
+    out = poses.groupBy(*keys).agg(first.alias("first"), best.alias("best"), F.count_if(ok).alias("pose_count"))
+    failed = F.raise_error(F.lit("a pair without a successful pose")).cast("double")
+    score = F.when(F.col("pose_count") == 0, failed).otherwise(F.coalesce("first", "best.docking_score"))
+    return out.select(
+        *keys, score.alias("representative_score"), F.col("best.pose_rank").alias("best_pose_rank"), F.col("best.docking_score").alias("best_docking_score"), "pose_count"
+    )
+
+
+def pivot_strict(long: DataFrame, keys: Sequence[str], column: str, values: Sequence, score: str) -> DataFrame:
+    """Long to wide where every cell must be there; the task fails otherwise."""
+    out = pivot_scores(long, keys, column, values, score)
+    failed = F.raise_error(F.lit("missing cell")).cast("double")
+    return out.select(*keys, *[F.coalesce(F.col(f"`{x}`"), failed).alias(str(x)) for x in values])

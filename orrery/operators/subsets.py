@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 MAX_POOL = 20
 
@@ -97,3 +98,34 @@ def greedy_forward(candidates: Sequence, size: int, value) -> list:
         values = value([sorted([*chosen, c]) for c in rest])
         chosen.append(max(zip(rest, values, strict=True), key=lambda x: (x[1], -rest.index(x[0])))[0])
     return sorted(chosen)
+
+
+def with_members(subsets: DataFrame, required: Sequence) -> DataFrame:
+    """The subsets that hold all required members."""
+    for m in required:
+        subsets = subsets.filter(F.array_contains("subset", F.lit(m)))
+    return subsets
+
+
+def lower_bound(linear: DataFrame, quadratic: DataFrame, size: int, penalty: float) -> DataFrame:
+    """``least``: no subset of another size than ``size`` has less energy.
+
+    A subset of s members pays the penalty of s and, at best, the s least linear terms and
+    the s (s - 1) / 2 least quadratic terms, both without their share of the penalty. The
+    tables have a row per member and per pair.
+    """
+    upto = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h, j = F.col("h") - penalty * (1 - 2 * size), F.col("j") - 2.0 * penalty
+    h_sums = linear.select(F.row_number().over(Window.orderBy("h", "member")).alias("s"), F.sum(h).over(upto("h", "member")).alias("hs"))
+    j_sums = quadratic.select(F.row_number().over(Window.orderBy("j", "a", "b")).alias("p"), F.sum(j).over(upto("j", "a", "b")).alias("js"))
+    none = linear.sparkSession.createDataFrame([(0, 0.0)], "s int, hs double")
+    sizes = none.unionByName(h_sums).filter(F.col("s") != size).withColumn("p", F.col("s") * (F.col("s") - 1) / 2)
+    bound = penalty * (F.col("s") - size) * (F.col("s") - size) + F.col("hs") + F.coalesce("js", F.lit(0.0))
+    return sizes.join(j_sums, "p", "left").agg(F.min(bound).alias("least"))
+
+
+def parameter_grid(spark: SparkSession, values: dict[str, Sequence]) -> DataFrame:
+    """A row for each combination of the named values."""
+    from itertools import product
+
+    return spark.createDataFrame(list(product(*values.values())), list(values))

@@ -204,9 +204,9 @@ def q_lookup_join(v: Views) -> DataFrame:
     return require(out, F.col("label").isNotNull(), "label")
 
 
-@query("SELECT ligand_id, receptor_id, coalesce(b.score, a.score) AS score, CASE WHEN b.score IS NULL THEN 'base' ELSE 'replacement' END AS origin FROM pair_scores a LEFT JOIN (SELECT ligand_id, receptor_id, score FROM seed_scores WHERE seed = 2 AND ligand_id % 3 = 0) b USING (ligand_id, receptor_id)")
+@query("SELECT ligand_id, receptor_id, coalesce(b.score, a.score) AS score, CASE WHEN b.score IS NULL THEN 'base' ELSE 'replacement' END AS origin FROM pair_scores a LEFT JOIN (SELECT ligand_id, receptor_id, score FROM seed_scores WHERE seed = 2) b USING (ligand_id, receptor_id)")
 def q_override_join(v: Views) -> DataFrame:
-    new = v.seed_scores.filter("seed = 2 and ligand_id % 3 = 0")
+    new = v.seed_scores.filter("seed = 2")
     return rel.override(v.pair_scores, new, ["ligand_id", "receptor_id"], "score")
 
 
@@ -238,10 +238,13 @@ def q_semi_subset(v: Views) -> DataFrame:
     return v.pair_scores.join(v.ligands.filter("split = 'train'").select("ligand_id"), "ligand_id", "left_semi")
 
 
-@query("SELECT ligand_id, group_id FROM ligands WHERE group_id NOT IN (SELECT group_id FROM ligands WHERE ligand_id % 97 = 0)")
+@query("""WITH g AS (SELECT ligand_id, split, group_id || '-' || source_id AS group_id FROM ligands)
+SELECT ligand_id, group_id FROM g WHERE group_id NOT IN (SELECT group_id FROM g WHERE split = 'test')""")
 def q_group_anti_join(v: Views) -> DataFrame:
-    used = v.ligands.filter("ligand_id % 97 = 0").select("group_id")
-    return v.ligands.select("ligand_id", "group_id").join(used, "group_id", "left_anti")
+    """Rows whose group has not been consumed by the test split."""
+    rows = v.ligands.select("ligand_id", "split", F.concat_ws("-", "group_id", "source_id").alias("group_id"))
+    used = rows.filter("split = 'test'").select("group_id").distinct()
+    return rows.drop("split").join(used, "group_id", "left_anti")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from orrery.operators import aggregate as agg
-from orrery.operators import audit, folds, gates, ranking, resample
+from orrery.operators import audit, folds, gates, normalize, ranking, resample
 from orrery.operators import geometry as geo
 from orrery.operators import relational as rel
 from orrery.operators import subsets as sub
@@ -343,14 +343,14 @@ def q_stratified_split(v: Views) -> DataFrame:
     return folds.stratified_split(v.ligands.select("ligand_id", "label"), "ligand_id", "label", 7)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.g AS a, b.g AS b FROM (SELECT DISTINCT group_id AS g, heavy_atoms AS h FROM ligands WHERE ligand_id % 40 = 0) a JOIN (SELECT DISTINCT group_id AS g, heavy_atoms AS h FROM ligands WHERE ligand_id % 40 = 0) b ON a.h = b.h),
-r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS g, min(b) AS root FROM r GROUP BY a),
-n AS (SELECT ligand_id, root FROM ligands JOIN c ON c.g = group_id WHERE ligand_id % 40 = 0)
-SELECT ligand_id, min(ligand_id) OVER (PARTITION BY root) AS "group" FROM n""")
+@query("""WITH RECURSIVE k AS (SELECT ligand_id, 's:' || group_id || '-' || source_id AS c FROM ligands UNION SELECT ligand_id, 'h:' || source_id || '-' || heavy_atoms FROM ligands),
+e AS (SELECT DISTINCT a.ligand_id AS a, b.ligand_id AS b FROM k a JOIN k b ON a.c = b.c),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS ligand_id, min(b) AS "group" FROM r GROUP BY a""")
 def q_connected_groups(v: Views) -> DataFrame:
-    """Every fortieth ligand (the sample is the subject: with all of them, everything hangs together)."""
-    some = v.ligands.filter("ligand_id % 40 = 0").select("ligand_id", "group_id", "heavy_atoms")
-    return folds.connected_groups(some, "ligand_id", ["group_id", "heavy_atoms"])
+    """Ligands that hang together through a scaffold (brand and type) or a source (type and size)."""
+    links = v.ligands.select("ligand_id", F.concat_ws("-", "group_id", "source_id").alias("scaffold"), F.concat_ws("-", "source_id", "heavy_atoms").alias("source"))
+    return folds.connected_groups(links, "ligand_id", ["scaffold", "source"])
 
 
 @query("""WITH g AS (SELECT group_id || '-' || source_id AS g, count(*) FILTER (label = 'active') AS a, count(*) FILTER (label = 'decoy') AS d FROM ligands WHERE split = 'validation' GROUP BY 1),
@@ -373,7 +373,7 @@ def folded(v: Views) -> DataFrame:
 
 
 OOF = """, bo AS (SELECT f.fold, s.receptor_id, min(s.score) AS lower, max(s.score) AS upper FROM (SELECT DISTINCT fold FROM fo) f JOIN fo s ON s.fold <> f.fold GROUP BY f.fold, s.receptor_id),
-oo AS (SELECT fo.receptor_id, ligand_id, label, round((score - lower) / (upper - lower), 9) AS score FROM fo JOIN bo ON bo.fold = fo.fold AND bo.receptor_id = fo.receptor_id), """
+oo AS (SELECT fo.receptor_id, ligand_id, label, CASE WHEN upper = lower THEN 0 ELSE round((score - lower) / (upper - lower), 9) END AS score FROM fo JOIN bo ON bo.fold = fo.fold AND bo.receptor_id = fo.receptor_id), """
 
 
 @query(f"WITH {FOLDS}{OOF}{METRICS.format(keys='receptor_id', rows='oo')} SELECT receptor_id, roc_auc, bedroc FROM mx")
@@ -383,7 +383,7 @@ def q_oof_metrics(v: Views) -> DataFrame:
     sums = f.groupBy("fold", "receptor_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     other = sums.withColumnRenamed("fold", "o").join(sums.select("fold").distinct(), F.col("o") != F.col("fold"))
     bounds = other.groupBy("fold", "receptor_id").agg(F.min("lo").alias("lower"), F.max("hi").alias("upper"))
-    scaled = f.join(bounds, ["fold", "receptor_id"]).withColumn("score", F.round((F.col("score") - F.col("lower")) / (F.col("upper") - F.col("lower")), 9))
+    scaled = normalize.apply_bounds(f, bounds, ["fold", "receptor_id"]).withColumn("score", F.round("normalized", 9))
     return rounded(ranking.metrics(scaled, ["receptor_id"]), *DOUBLES).select("receptor_id", "roc_auc", "bedroc")
 
 
@@ -513,7 +513,7 @@ m2 AS (SELECT a AS c FROM di WHERE b IN (SELECT c FROM m0 UNION ALL SELECT c FRO
 SELECT c AS cluster_id, 0 AS step FROM m0 UNION ALL SELECT c, 1 FROM m1 UNION ALL SELECT c, 2 FROM m2""")
 def q_maxmin_select(v: Views) -> DataFrame:
     """The most spread clusters, by their centres: a table of one row per cluster goes to the driver."""
-    c = v.points.groupBy("cluster_id").agg(*[F.avg(x).alias(x) for x in "xyz"]).limit(1000).collect()
+    c = geo.centres(v.points, "cluster_id")
     ids = sorted(r["cluster_id"] for r in c)
     at = {r["cluster_id"]: (r["x"], r["y"], r["z"]) for r in c}
     d = {(a, b): round(sum((p - q) ** 2 for p, q in zip(at[a], at[b], strict=True)), 9) for a in ids for b in ids}

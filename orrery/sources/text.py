@@ -34,11 +34,11 @@ def read_ism(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_key_values(spark: SparkSession, path: str, required: Sequence[str] = ()) -> dict[str, str]:
-    """A ``key = value`` file with # comments."""
+    """A ``key = value`` file with # comments, whole; it goes to the driver as a configuration."""
     body = F.trim(F.regexp_replace("line", "#.*$", ""))
     rows = lines(spark, path).select(body.alias("b")).filter(F.col("b").contains("="))
     pair = F.split("b", "=", 2)
-    found = {r[0]: r[1] for r in rows.select(F.trim(pair[0]), F.trim(pair[1])).limit(10_000).collect()}
+    found = {r[0]: r[1] for r in rows.select(F.trim(pair[0]), F.trim(pair[1])).collect()}
     if missing := [k for k in required if k not in found]:
         raise ValueError(f"missing keys: {', '.join(missing)}")
     return found

@@ -204,3 +204,50 @@ def test_ward_separates_blobs_and_maxmin_spreads():
     assert geometry.ward_labels(x, 3).tolist() == [0] * 10 + [1] * 10 + [2] * 10
     d = {(i, j): abs(i - j) for i in range(10) for j in range(10)}
     assert geometry.maxmin_order(range(10), d, 0, 3) == [0, 9, 4]
+
+
+def test_greedy_splits_keep_groups_and_near_targets():
+    groups = sorted([(f"g{i:02}", (i % 3, 1 + i % 5)) for i in range(60)], key=lambda x: (-sum(x[1]), x[0]))
+    shares = {"train": 0.6, "validation": 0.2, "test": 0.2}
+    placed = folds.greedy_splits(groups, shares)
+    assert set(placed) == {g for g, _ in groups}
+    for k in range(2):
+        total = sum(c[k] for _, c in groups)
+        for s, share in shares.items():
+            assert abs(sum(c[k] for g, c in groups if placed[g] == s) - share * total) <= 6
+    assert folds.greedy_splits([("b", (1, 0)), ("a", (1, 0))], {"y": 0.5, "x": 0.5}) == {"b": "x", "a": "y"}
+
+
+def test_strict_forms_fail_closed(spark):
+    poses = spark.createDataFrame([("A", 1, -1.0, "ok"), ("A", 2, -3.0, "ok"), ("B", 1, None, "failed")], "k string, pose_rank int, docking_score double, status string")
+    rows = relational.representative_strict(poses.filter("k = 'A'"), ["k"]).collect()
+    assert [tuple(r) for r in rows] == [("A", -1.0, 2, -3.0, 2)]
+    with pytest.raises(Exception, match="without a successful pose"):
+        relational.representative_strict(poses, ["k"]).collect()
+    long = spark.createDataFrame([("A", 0, 1.0), ("A", 1, 2.0), ("B", 0, 3.0)], "k string, r int, s double")
+    assert [tuple(r) for r in relational.pivot_strict(long.filter("k = 'A'"), ["k"], "r", [0, 1], "s").collect()] == [("A", 1.0, 2.0)]
+    with pytest.raises(Exception, match="missing cell"):
+        relational.pivot_strict(long, ["k"], "r", [0, 1], "s").collect()
+
+
+def test_lower_bound_is_below_all_other_sizes(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3):
+        h = {m: rng.uniform(-4, 1) for m in range(5)}
+        j = {p: rng.uniform(1, 3) for p in itertools.combinations(range(5), 2)}
+        least = subsets.lower_bound(
+            spark.createDataFrame(list(h.items()), "member int, h double"), spark.createDataFrame([(a, b, x) for (a, b), x in j.items()], "a int, b int, j double"), 2, 1.0
+        ).first()[0]
+        energy = lambda s: 4.0 + sum(h[m] for m in s) + sum(j[p] for p in itertools.combinations(s, 2))  # noqa: B023, E731
+        assert least <= min(energy(s) for n in (0, 1, 3, 4, 5) for s in itertools.combinations(range(5), n)) + 1e-9
+
+
+def test_samples_take_no_group_twice(spark):
+    rows = spark.createDataFrame([(i, "active" if i % 4 == 0 else "decoy", f"g{i % 7}") for i in range(60)], "id long, label string, g string")
+    got = folds.diverse_sample(rows, "id", "label", "g", ("active", "decoy"), 3, 1).collect()
+    assert len(got) == 6 and len({r.g for r in got}) == 6
+    assert folds.random_sample(rows, "id", "label", 5, 1).groupBy("label").count().filter("count = 5").count() == 2
+    assert folds.repeated_splits(rows, "id", "label", 3, 1).count() == 180

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from orrery.sources import tables, text
+from orrery.sources import runs, tables, text
 
 
 def test_csv_union_required_and_empty(spark, tmp_path):
@@ -91,3 +91,43 @@ def test_pdbqt_summary(spark, tmp_path):
     (tmp_path / "l.pdbqt").write_text(line.format("-0.100", "C") + line.format("0.250", "OA") + "TORSDOF 4\n")
     r = text.summarize_pdbqt(text.lines(spark, str(tmp_path / "l.pdbqt"))).first()
     assert (r.atom_count, r.charge_min, r.charge_max, r.atom_types, r.torsdof) == (2, -0.1, 0.25, "C;OA", 4)
+
+
+def test_runs_are_found_and_checked(spark, tmp_path):
+    import hashlib
+
+    for name, body in (("r1", "id,score\nA,1\n"), ("r2", "id,score\nB,2\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "t.csv").write_text(body)
+        (tmp_path / name / "summary.json").write_text(json.dumps({"csv": "t.csv", "sha256": hashlib.sha256(body.encode()).hexdigest(), "n": 1}, indent=2))
+    found = runs.discover_runs(spark, str(tmp_path / "r*"))
+    assert sorted((r.run, r.intact) for r in found.collect()) == [(str(tmp_path / "r1"), True), (str(tmp_path / "r2"), True)]
+    assert sorted((r.id, r.score) for r in runs.load_intact(spark, found, "id string, score double").collect()) == [("A", 1.0), ("B", 2.0)]
+    (tmp_path / "r2" / "t.csv").write_text("id,score\nB,3\n")
+    with pytest.raises(ValueError, match="r2"):
+        runs.load_intact(spark, runs.discover_runs(spark, str(tmp_path / "r*")), "id string, score double")
+
+
+def test_progress_recovery_package_and_report(spark, tmp_path):
+    runs.replace_json(str(tmp_path / "p.json"), {"done": 3})
+    runs.replace_json(str(tmp_path / "p.json"), {"done": 4})
+    assert json.loads((tmp_path / "p.json").read_text()) == {"done": 4} and not (tmp_path / "p.json.part").exists()
+    assert runs.recovered(str(tmp_path / "p.json"), json.loads) == {"done": 4} and runs.recovered(str(tmp_path / "no"), json.loads) is None
+    (tmp_path / "bad.json").write_text("{")
+    assert runs.recovered(str(tmp_path / "bad.json"), json.loads) is None
+    (tmp_path / "t.csv").write_text("id\n1\n2\n")
+    assert runs.package(str(tmp_path / "x.tar.gz"), str(tmp_path), ["t.csv", "p.json"], {"t.csv": 2}) == ["p.json", "t.csv"]
+    first = (tmp_path / "x.tar.gz").read_bytes()
+    runs.package(str(tmp_path / "y.tar.gz"), str(tmp_path), ["p.json", "t.csv"])
+    assert first == (tmp_path / "y.tar.gz").read_bytes()
+    for names, rows in ((["none.csv"], None), (["t.csv"], {"t.csv": 3})):
+        with pytest.raises(ValueError):
+            runs.package(str(tmp_path / "z.tar.gz"), str(tmp_path), names, rows)
+    assert not (tmp_path / "z.tar.gz").exists()
+    text_ = runs.markdown_report("Run", {"n": 2}, spark.createDataFrame([("a|b", 0.5), (None, 1.0)], "k string, v double"))
+    assert text_.startswith("# Run\n\n- n: 2\n\n| k | v |\n|---|---|\n") and "| a\\|b | 0.5 |" in text_ and "|  | 1 |" in text_
+
+
+def test_key_values_are_read_whole(spark, tmp_path):
+    (tmp_path / "c.txt").write_text("".join(f"k{i} = {i} # x\n" for i in range(12_000)))
+    assert len(text.read_key_values(spark, str(tmp_path / "c.txt"), ["k11999"])) == 12_000
