@@ -11,17 +11,32 @@ from pyspark.sql import Window
 from orrery.operators.ranking import metrics
 
 
+#: Units are numbered in so many buckets, so that no task sees them all.
+BUCKETS = 1024
+
+
+def numbered(units: DataFrame, unit: str, strata: Sequence[str] = ()) -> DataFrame:
+    """``unit, *strata, __at, __n``: each unit's number within its stratum, from 0 on, and how many there are."""
+    rows = units.select(unit, *strata, F.pmod(F.xxhash64(unit), F.lit(BUCKETS)).alias("__b"))
+    counts = rows.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__c"))  # a row per bucket and stratum
+    by = Window.partitionBy(*strata)
+    before = F.sum("__c").over(by.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*strata, "__b", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__c").over(by).alias("__n"))
+    rank = F.row_number().over(Window.partitionBy(*strata, "__b").orderBy(unit)) - 1
+    out = rows.withColumn("__r", rank).join(counts, [*strata, "__b"])
+    return out.select(unit, *strata, (F.col("__before") + F.col("__r")).cast("int").alias("__at"), "__n")
+
+
 def draws(units: DataFrame, unit: str, iterations: int, seed: int, strata: Sequence[str] = ()) -> DataFrame:
     """``iteration, draw, unit``: as many units per iteration (and stratum) as there are, with replacement.
 
     The position drawn is a hash of seed, iteration, stratum and draw.
     """
-    by = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(1))
-    numbered = units.select(unit, *strata, (F.row_number().over(by.orderBy(unit)) - 1).alias("__at"), F.count(F.lit(1)).over(by).alias("__n"))
-    asked = numbered.select(*strata, F.col("__at").alias("draw"), "__n", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration"))
+    every = numbered(units, unit, strata)
+    asked = every.select(*strata, F.col("__at").alias("draw"), "__n", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration"))
     at = F.pmod(F.xxhash64(F.lit(seed), "iteration", "draw", *strata), F.col("__n"))
     asked = asked.withColumn("__at", at.cast("int")).drop("__n")
-    return asked.join(numbered.drop("__n"), [*strata, "__at"]).select("iteration", "draw", unit, *strata)
+    return asked.join(every.drop("__n"), [*strata, "__at"]).select("iteration", "draw", unit, *strata)
 
 
 def resampled(scores: DataFrame, drawn: DataFrame, unit: str, id_: str = "ligand_id") -> DataFrame:
