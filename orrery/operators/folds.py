@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from orrery.operators.order import hash_piece, spread
+
 GROUPS_ON_DRIVER = 200_000
 
 
@@ -20,19 +22,27 @@ def hash_order(seed: int, c: Column | str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}|"), (F.col(c) if isinstance(c, str) else c).cast("string")), 256)
 
 
+def hash_ranked(df: DataFrame, keys: Sequence[str], key: Column, id_: str, sums: dict[str, Column] | None = None) -> DataFrame:
+    """``spread`` of ``df`` in the order of the hexadecimal hash ``key`` and then the id."""
+    rows = df.withColumn("__h", key)
+    return spread(rows, keys, hash_piece(F.col("__h")), ["__h", id_], sums)
+
+
+def _shares(at: Column, n: Column, train: float, validation: float) -> Column:
+    first, second = F.floor(n * train), F.floor(n * (train + validation))
+    return F.when(at <= first, "train").when(at <= second, "validation").otherwise("test")
+
+
 def stratified_split(df: DataFrame, id_: str, label: str, seed: int, train: float = 0.6, validation: float = 0.2) -> DataFrame:
     """``df`` with ``split``: within each label the first shares of a hash order."""
-    w = Window.partitionBy(label)
-    n = F.count(F.lit(1)).over(w)
-    at = F.row_number().over(w.orderBy(hash_order(seed, id_), id_))
-    first, second = F.floor(n * train), F.floor(n * (train + validation))
-    return df.withColumn("split", F.when(at <= first, "train").when(at <= second, "validation").otherwise("test"))
+    out = hash_ranked(df, [label], hash_order(seed, id_), id_)
+    return out.select(*df.columns, _shares(F.col("__to_n"), F.col("__all_n"), train, validation).alias("split"))
 
 
 def label_folds(df: DataFrame, id_: str, label: str, folds: int, seed: int) -> DataFrame:
     """``df`` with ``fold``: dealt in turn within each label, in a hash order."""
-    at = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(seed, id_), id_))
-    return df.withColumn("fold", ((at - 1) % folds).cast("int"))
+    out = hash_ranked(df, [label], hash_order(seed, id_), id_)
+    return out.select(*df.columns, ((F.col("__to_n") - 1) % folds).cast("int").alias("fold"))
 
 
 def rotations(df: DataFrame, folds: int, fold: str = "fold") -> DataFrame:
@@ -43,6 +53,20 @@ def rotations(df: DataFrame, folds: int, fold: str = "fold") -> DataFrame:
     return out.withColumn("role", role.otherwise("train"))
 
 
+def nested_roles(df: DataFrame, folds: int, fold: str = "fold") -> DataFrame:
+    """Each row once per outer fold ``o``, with its own fold as ``i``: the outer test where they are equal, else an inner validation."""
+    return df.withColumns({"o": F.explode(F.sequence(F.lit(0), F.lit(folds - 1))), "i": F.col(fold)})
+
+
+def nested_bounds(df: DataFrame, folds: int, keys: Sequence[str], score: str = "score", fold: str = "fold") -> DataFrame:
+    """``o, i, *keys, lower, upper`` over the rows of all folds but ``o`` and ``i``, from one row per fold and key."""
+    per = df.groupBy(fold, *keys).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    every = F.sequence(F.lit(0), F.lit(folds - 1))
+    per = per.withColumn("o", F.explode(every)).withColumn("i", F.explode(every))
+    per = per.filter((F.col(fold) != F.col("o")) & (F.col(fold) != F.col("i")))
+    return per.groupBy("o", "i", *keys).agg(F.min("__lo").alias("lower"), F.max("__hi").alias("upper"))
+
+
 def connected_groups(df: DataFrame, id_: str, links: Sequence[str], checkpoint=None) -> DataFrame:
     """``id, group``: rows that share a value in any of ``links``, directly or through others; the smallest id names a group.
 
@@ -128,8 +152,8 @@ def hash_ordered_panel(df: DataFrame, group: str, label: str, seed: int, ratio:
     per = df.groupBy(group).agg(F.count_if(F.col(label) == "active").alias("actives"), F.count_if(F.col(label) == "decoy").alias("decoys"))
     with_active = per.filter("actives > 0")
     totals = with_active.agg(F.sum("actives").alias("a"), F.sum("decoys").alias("d"))
-    order = Window.partitionBy(F.lit(1)).orderBy(hash_order(seed, group), group).rowsBetween(Window.unboundedPreceding, -1)
-    rest = per.filter("actives = 0").withColumn("before", F.coalesce(F.sum("decoys").over(order), F.lit(0)))
+    rest = hash_ranked(per.filter("actives = 0"), [], hash_order(seed, group), group, {"d": F.col("decoys")})
+    rest = rest.select(group, (F.col("__to_d") - F.col("decoys")).alias("before"))
     filled = rest.crossJoin(totals).filter(F.col("d") + F.col("before") < ratio * F.col("a"))
     return df.join(with_active.select(group).union(filled.select(group)), group, "left_semi")
 
@@ -175,7 +199,5 @@ def repeated_splits(df: DataFrame, id_: str, label: str, repeats: int, seed: int
     """A stratified split per ``repeat``, each in its own hash order."""
     rows = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     key = F.sha2(F.concat((F.col("repeat") + seed).cast("string"), F.lit("|"), F.col(id_).cast("string")), 256)
-    w = Window.partitionBy("repeat", label)
-    n, at = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(key, id_))
-    first, second = F.floor(n * 0.6), F.floor(n * (0.6 + 0.2))
-    return rows.withColumn("split", F.when(at <= first, "train").when(at <= second, "validation").otherwise("test"))
+    out = hash_ranked(rows, ["repeat", label], key, id_)
+    return out.select(*rows.columns, _shares(F.col("__to_n"), F.col("__all_n"), 0.6, 0.2).alias("split"))

@@ -1,8 +1,8 @@
 """Rank metrics over any key columns.
 
 Lower scores are better, and ties go to the smaller id. All metrics of a key come from one
-sort of its rows, in one grouped query: replicates, folds, subsets or bootstrap draws are
-just further key columns.
+sort of its rows, in pieces that many tasks share, in one grouped query: replicates, folds,
+subsets or bootstrap draws are just further key columns.
 """
 
 from __future__ import annotations
@@ -13,20 +13,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from orrery.operators.order import score_piece, spread
+
 NAN = float("nan")
 
 
-def ranked(df: DataFrame, keys: Sequence[str], score: str = "score", id_: str = "ligand_id") -> DataFrame:
-    """``df`` with ``rank``, 1 for the best, by score and then id."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(score, id_)))
+def ranked(df: DataFrame, keys: Sequence[str], score: str = "score", id_: str = "ligand_id", n: str | None = None) -> DataFrame:
+    """``df`` with ``rank``, 1 for the best, by score and then id, and the key's rows as ``n`` if named."""
+    out = spread(df, keys, score_piece(score), [score, id_])
+    more = [F.col("__all_n").alias(n)] if n else []
+    return out.select(*df.columns, F.col("__to_n").alias("rank"), *more)
+
 
+def best(df: DataFrame, keys: Sequence[str], k: int, score: str = "score", id_: str = "ligand_id") -> DataFrame:
+    """The first ``k`` rows of each key with their ``rank``; partitions send on ``k`` rows per key at most."""
+    out = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(score, id_)))
+    return out.filter(F.col("rank") <= k)
 
-def average_rank(value: str, keys: Sequence[str], descending: bool = False) -> Column:
-    """Ranks from 1 at the smallest value (or the largest); equal values share their mean rank."""
-    order = F.desc(value) if descending else F.asc(value)
-    lowest = F.rank().over(Window.partitionBy(*keys).orderBy(order))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return lowest + (ties - 1) / 2
+
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "average_rank") -> DataFrame:
+    """``df`` with ranks from 1 at the smallest value; equal values share their mean rank."""
+    return spread(df, keys, score_piece(value), [value], ties=value).select(*df.columns, F.col("__mean").alias(name))
 
 
 def top_count(n: Column, fraction: float) -> Column:
@@ -51,22 +58,22 @@ def metrics(
     without actives, BEDROC without both labels.
     """
     keys = list(keys)
-    group = Window.partitionBy(*keys)
-    order = group.orderBy(score, id_)
     is_active = F.when(F.col(label) == active, 1).otherwise(0)
     rows = df.select(*keys, score, id_, is_active.alias("__a"))
-    rows = rows.select(
-        "*",
-        F.row_number().over(order).alias("__r"),
-        F.sum("__a").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__seen"),
-        average_rank(score, keys, descending=True).alias("__ar"),
-        F.count(F.lit(1)).over(group).alias("__n"),
-        F.sum("__a").over(group).alias("__m"),
+    rows = spread(rows, keys, score_piece(score), [score, id_], {"a": F.col("__a")}, ties=score).select(
+        "__k",
+        id_,
+        "__a",
+        F.col("__to_n").alias("__r"),
+        F.col("__to_a").alias("__seen"),
+        (F.col("__all_n") + 1 - F.col("__mean")).alias("__ar"),  # from 1 at the largest score
+        F.col("__all_n").alias("__n"),
+        F.col("__all_a").alias("__m"),
     )
     on, r, n, m = F.col("__a") == 1, F.col("__r"), F.col("__n"), F.col("__m")
     decay = F.exp(F.lit(-float(alpha)) * r / n)
     hits = {f: F.sum(F.when(r <= top_count(n, f), F.col("__a"))).alias(f"__h{i}") for i, f in enumerate(fractions)}
-    agg = rows.groupBy(*keys).agg(
+    agg = rows.groupBy("__k").agg(
         F.max("__n").alias("n"),
         F.max("__m").alias("m"),
         F.sum(F.when(on, F.col("__ar"))).alias("ranks"),
@@ -81,7 +88,7 @@ def metrics(
     n, m = F.col("n"), F.col("m")
     both = (m > 0) & (m < n)
     out = [
-        *keys,
+        *[F.col("__k")[k].alias(k) for k in keys],
         n.alias("ligand_count"),
         m.alias("active_count"),
         F.when(both, (F.col("ranks") - m * (m + 1) / 2) / (m * (n - m))).otherwise(NAN).alias("roc_auc"),
@@ -124,15 +131,15 @@ def pearson(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
 
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Correlation of average ranks."""
-    ranks = df.select(*keys, average_rank(a, keys).alias("__ra"), average_rank(b, keys).alias("__rb"))
+    ranks = average_rank(average_rank(df.select(*keys, a, b), keys, a, "__ra"), keys, b, "__rb")
     return pearson(ranks, keys, "__ra", "__rb")
 
 
 def top_overlap(df: DataFrame, keys: Sequence[str], a: str, b: str, k: int, id_: str = "ligand_id") -> DataFrame:
     """How many ids two orderings share among their first ``k``."""
-    of = lambda s: F.row_number().over(Window.partitionBy(*keys).orderBy(s, id_))
-    both = df.select(*keys, of(a).alias("__i"), of(b).alias("__j"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("__n"))
-    out = both.groupBy(*keys).agg(
-        F.count_if((F.col("__i") <= k) & (F.col("__j") <= k)).alias("shared"), F.max(F.least(F.col("__n"), F.lit(k))).alias("top_n")
-    )
+    keys = list(keys)
+    counts = df.groupBy(*keys).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("top_n"))
+    both = best(df.select(*keys, id_, a), keys, k, a, id_).select(*keys, id_).join(best(df.select(*keys, id_, b), keys, k, b, id_).select(*keys, id_), [*keys, id_])
+    shared = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("__s"))
+    out = counts.join(shared, keys, "left").select(*keys, F.coalesce("__s", F.lit(0)).alias("shared"), "top_n")
     return out.withColumn("overlap", F.col("shared") / F.col("top_n"))

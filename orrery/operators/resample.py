@@ -47,13 +47,17 @@ def resampled(scores: DataFrame, drawn: DataFrame, unit: str, id_: str = "ligand
 
 
 def interval(values: DataFrame, keys: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
-    """Percentile interval over the iterations whose value is defined; the others are counted as skipped."""
+    """Percentile interval over the iterations whose value is defined; the others are counted as skipped.
+
+    Values, one per iteration, are added in their order, so the mean does not depend on how rows arrive.
+    """
     ok = F.when(~F.isnan(value), F.col(value))
+    total = F.aggregate(F.array_sort(F.collect_list(ok)), F.lit(0.0), lambda a, x: a + x)
     tail = (1 - level) / 2
     return values.groupBy(*keys).agg(
         F.count(ok).alias("used"),
         F.count_if(F.isnan(value)).alias("skipped"),
-        F.avg(ok).alias("mean"),
+        F.when(F.count(ok) > 0, total / F.count(ok)).alias("mean"),
         F.percentile(ok, tail).alias("lower"),
         F.percentile(ok, 1 - tail).alias("upper"),
     )

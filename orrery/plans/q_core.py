@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from orrery.operators import ranking
+from orrery.operators.order import score_piece, spread
 from orrery.plans.registry import query
 from orrery.plans.views import Views
 
@@ -77,27 +78,28 @@ def q_metrics_by_split(v: Views) -> DataFrame:
 
 @query("SELECT receptor_id, ligand_id, label, score, CAST(row_number() OVER (PARTITION BY receptor_id ORDER BY score, ligand_id) AS INT) AS rank FROM scores")
 def q_ranking(v: Views) -> DataFrame:
-    return ranking.ranked(v.scores, ["receptor_id"]).select("receptor_id", "ligand_id", "label", "score", "rank")
+    out = ranking.ranked(v.scores, ["receptor_id"])
+    return out.select("receptor_id", "ligand_id", "label", "score", F.col("rank").cast("int").alias("rank"))
 
 
 @query("""SELECT receptor_id, ligand_id, rank() OVER (PARTITION BY receptor_id ORDER BY score)
   + (count(*) OVER (PARTITION BY receptor_id, score) - 1) / 2.0E0 AS average_rank FROM scores""")
 def q_average_rank(v: Views) -> DataFrame:
-    return v.scores.select("receptor_id", "ligand_id", ranking.average_rank("score", ["receptor_id"]).alias("average_rank"))
+    return ranking.average_rank(v.scores.select("receptor_id", "ligand_id", "score"), ["receptor_id"], "score").drop("score")
 
 
 @query("""SELECT receptor_id, ligand_id, round(sum(CASE WHEN label = 'active' THEN 1 ELSE 0 END) OVER (PARTITION BY receptor_id
   ORDER BY score, ligand_id ROWS UNBOUNDED PRECEDING) * 1.0E0 / row_number() OVER (PARTITION BY receptor_id ORDER BY score, ligand_id), 6) AS precision_at FROM scores""")
 def q_precision_at_rank(v: Views) -> DataFrame:
-    order = Window.partitionBy("receptor_id").orderBy("score", "ligand_id")
-    seen = F.sum(F.when(F.col("label") == "active", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return v.scores.select("receptor_id", "ligand_id", F.round(seen / F.row_number().over(order), 6).alias("precision_at"))
+    active = F.when(F.col("label") == "active", 1).otherwise(0)
+    out = spread(v.scores, ["receptor_id"], score_piece("score"), ["score", "ligand_id"], {"a": active})
+    return out.select("receptor_id", "ligand_id", F.round(F.col("__to_a") / F.col("__to_n"), 6).alias("precision_at"))
 
 
 @query("""SELECT receptor_id, ligand_id, r AS rank FROM (SELECT receptor_id, ligand_id,
   CAST(row_number() OVER (PARTITION BY receptor_id ORDER BY score, ligand_id) AS INT) AS r FROM scores) WHERE r <= 10""")
 def q_top10(v: Views) -> DataFrame:
-    return ranking.ranked(v.scores, ["receptor_id"]).filter("rank <= 10").select("receptor_id", "ligand_id", "rank")
+    return ranking.best(v.scores, ["receptor_id"], 10).select("receptor_id", "ligand_id", "rank")
 
 
 TOP = """SELECT receptor_id, ligand_id, label FROM (SELECT *, row_number() OVER (PARTITION BY receptor_id ORDER BY score, ligand_id) AS r,
@@ -105,8 +107,7 @@ TOP = """SELECT receptor_id, ligand_id, label FROM (SELECT *, row_number() OVER
 
 
 def _with_count(v: Views) -> DataFrame:
-    n = F.count(F.lit(1)).over(Window.partitionBy("receptor_id"))
-    return ranking.ranked(v.scores, ["receptor_id"]).withColumn("n", n)
+    return ranking.ranked(v.scores, ["receptor_id"], n="n")
 
 
 @query(TOP + "r <= greatest(1, ceil(n * 0.07E0)) AND label = 'active'")

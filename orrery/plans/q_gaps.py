@@ -12,6 +12,7 @@ from orrery.operators import audit, folds, normalize, ranking
 from orrery.operators import geometry as geo
 from orrery.operators import relational as rel
 from orrery.operators import subsets as sub
+from orrery.operators.order import score_piece, spread
 from orrery.plans.q_core import METRICS, q_metric_bundle, q_metrics_by_split
 from orrery.plans.q_select import BASE, COEF, ENERGY, FOLDS, NAME, NEAR, base_coefficients, folded, near_points
 from orrery.plans.registry import query
@@ -257,14 +258,11 @@ def q_panel_match(v: Views) -> DataFrame:
 def q_metrics_audit(v: Views) -> DataFrame:
     """Metrics against a second formulation: the trapezoid over thresholds, and precision times the step in recall."""
     at = v.scores.groupBy("receptor_id", "score").agg(F.count_if(F.col("label") == "active").alias("a"), F.count_if(F.col("label") != "active").alias("d"))
-    up = Window.partitionBy("receptor_id").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("receptor_id")
-    at = at.withColumns({"ca": F.sum("a").over(up), "na": F.sum("a").over(whole), "nd": F.sum("d").over(whole)})
-    area = F.sum(F.col("d") * (F.col("ca") - F.col("a") / 2.0)) / F.first("na") / F.first("nd")
-    ranked = ranking.ranked(v.scores, ["receptor_id"]).withColumn("hit", (F.col("label") == "active").cast("int"))
-    steps = Window.partitionBy("receptor_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = ranked.withColumn("seen", F.sum("hit").over(steps))
-    precision = F.sum(F.col("hit") * F.col("seen") / F.col("rank")) / F.sum("hit")
+    at = spread(at, ["receptor_id"], score_piece("score"), ["score"], {"a": F.col("a"), "d": F.col("d")})
+    area = F.sum(F.col("d") * (F.col("__to_a") - F.col("a") / 2.0)) / F.max("__all_a") / F.max("__all_d")
+    ranked = v.scores.withColumn("hit", (F.col("label") == "active").cast("int"))
+    ranked = spread(ranked, ["receptor_id"], score_piece("score"), ["score", "ligand_id"], {"hit": F.col("hit")})
+    precision = F.sum(F.col("hit") * F.col("__to_hit") / F.col("__to_n")) / F.sum("hit")
     second = at.groupBy("receptor_id").agg(area.alias("auc")).join(ranked.groupBy("receptor_id").agg(precision.alias("ap")), "receptor_id")
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-6
     out = q_metric_bundle(v).join(second, "receptor_id")

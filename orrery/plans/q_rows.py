@@ -197,9 +197,9 @@ def q_engine_pair_join(v: Views) -> DataFrame:
 def q_lookup_join(v: Views) -> DataFrame:
     """Top hits with their properties; a hit that the manifest lacks is an error."""
     from orrery.operators.audit import require
-    from orrery.operators.ranking import ranked
+    from orrery.operators.ranking import best
 
-    top = ranked(v.scores.select("receptor_id", "ligand_id", "score"), ["receptor_id"]).filter("rank <= 5").drop("score")
+    top = best(v.scores.select("receptor_id", "ligand_id", "score"), ["receptor_id"], 5).drop("score")
     out = top.join(v.ligands.select("ligand_id", "label", "heavy_atoms"), "ligand_id", "left")
     return require(out, F.col("label").isNotNull(), "label")
 
@@ -318,8 +318,7 @@ PAIRS = """p AS (SELECT a.receptor_id AS a, b.receptor_id AS b, a.ids AS x, b.id
 def top_active_sets(v: Views) -> DataFrame:
     from orrery.operators.ranking import ranked, top_count
 
-    n = F.count(F.lit(1)).over(Window.partitionBy("receptor_id"))
-    top = ranked(v.scores, ["receptor_id"]).withColumn("n", n)
+    top = ranked(v.scores, ["receptor_id"], n="n")
     top = top.filter((F.col("rank") <= top_count(F.col("n"), 0.1)) & (F.col("label") == "active"))
     sets = top.groupBy("receptor_id").agg(F.collect_set("ligand_id").alias("ids"))
     every = v.table("region").select(F.col("r_regionkey").alias("receptor_id"))

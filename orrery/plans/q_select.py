@@ -141,8 +141,7 @@ BASE = f"WITH {METRICS.format(keys='receptor_id', rows='scores')}, {SPEARMAN}, {
 def unary_terms(v: Views) -> DataFrame:
     """``member, roc_auc, bedroc, ef5, coverage, exposure`` per receptor."""
     m = q_metric_bundle(v).select(F.col("receptor_id").alias("member"), "roc_auc", "bedroc", "ef5")
-    n = F.count(F.lit(1)).over(Window.partitionBy("receptor_id"))
-    top = ranking.ranked(v.scores, ["receptor_id"]).withColumn("n", n).filter(F.col("rank") <= ranking.top_count(F.col("n"), 0.1))
+    top = ranking.ranked(v.scores, ["receptor_id"], n="n").filter(F.col("rank") <= ranking.top_count(F.col("n"), 0.1))
     decoys = top.groupBy(F.col("receptor_id").alias("member")).agg(F.count_if(F.col("label") == "decoy").alias("d"))
     totals = v.scores.agg(
         F.count_distinct(F.when(F.col("label") == "active", F.col("ligand_id"))).alias("at"),

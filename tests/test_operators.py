@@ -5,9 +5,10 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from orrery.operators import aggregate as agg
-from orrery.operators import audit, folds, gates, geometry, normalize, ranking, relational, resample, subsets
+from orrery.operators import audit, folds, gates, geometry, normalize, order, ranking, relational, resample, subsets
 
 TOY = [(i + 1, lab, s) for i, (lab, s) in enumerate(zip([1, 0, 1, 0, 0, 1, 0, 0, 1, 0], [11.0, 10.5, 10.0, 9.8, 9.4, 9.1, 8.7, 8.3, 8.0, 7.5]))]
 
@@ -251,3 +252,30 @@ def test_samples_take_no_group_twice(spark):
     assert len(got) == 6 and len({r.g for r in got}) == 6
     assert folds.random_sample(rows, "id", "label", 5, 1).groupBy("label").count().filter("count = 5").count() == 2
     assert folds.repeated_splits(rows, "id", "label", 3, 1).count() == 180
+
+
+def test_positions_in_pieces_equal_one_sort(spark):
+    values = [None, float("nan"), float("-inf"), float("inf"), 0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, *[x / 7 for x in range(-40, 40)], *[2.5] * 20]
+    data = [(k, x, i) for k in ("a", None) for i, x in enumerate(values)]
+    df = spark.createDataFrame(data, "k string, score double, id int").withColumn("v", F.col("id") % 3)
+    w = Window.partitionBy("k").orderBy("score", "id")
+    ties = Window.partitionBy("k", "score")
+    want = df.select(
+        "k", "id", F.row_number().over(w).alias("at"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.sum("v").over(Window.partitionBy("k")).alias("all"),
+        (F.rank().over(Window.partitionBy("k").orderBy("score")) + (F.count(F.lit(1)).over(ties) - 1) / 2).alias("mean"),
+    )
+    got = order.spread(df, ["k"], order.score_piece("score"), ["score", "id"], {"v": F.col("v")}, ties="score")
+    got = got.select("k", "id", F.col("__to_n").alias("at"), F.col("__to_v").alias("run"), F.col("__all_v").alias("all"), F.col("__mean").alias("mean"))
+    key = lambda r: (r["k"] or "", r["id"])
+    assert [tuple(r) for r in sorted(got.collect(), key=key)] == [tuple(r) for r in sorted(want.collect(), key=key)]
+
+
+def test_positions_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "k string, score double, id int")
+    assert order.spread(df, ["k"], order.score_piece("score"), ["score", "id"]).count() == 0
+
+
+def test_nested_bounds_leave_both_folds_out(spark):
+    df = spark.createDataFrame([(f, "r", float(f)) for f in range(4)], "fold int, k string, score double")
+    got = {(r.o, r.i): (r.lower, r.upper) for r in folds.nested_bounds(df, 4, ["k"]).collect()}
+    assert len(got) == 16 and got[0, 3] == (1.0, 2.0) and got[3, 3] == (0.0, 2.0)
