@@ -33,9 +33,10 @@ def nested_scores(v: Views) -> DataFrame:
     bounds = folds.nested_bounds(folded(v), 5, ["receptor_id"])
     rows = folds.nested_roles(folded(v), 5)
     scaled = normalize.apply_bounds(rows, bounds, ["o", "i", "receptor_id"]).withColumn("score", F.round("normalized", 9))
-    subsets = sub.k_subsets(v.spark, RECEPTORS, SIZES)
-    of = lambda how: sub.subset_scores(scaled, subsets, ["o", "i", "ligand_id", "label"], f"{how}_score").withColumn("how", F.lit(how))
-    return of("min").unionByName(of("mean")).withColumn("score", F.round("score", 9))
+    members = sub.k_subsets(v.spark, RECEPTORS, SIZES).select("mask", F.explode("subset").alias("receptor_id"))
+    keys = ["o", "i", "ligand_id", "label", "mask"]
+    both = scaled.join(F.broadcast(members), "receptor_id").groupBy(*keys).agg(F.min("score").alias("min"), F.avg("score").alias("mean"))
+    return both.unpivot(keys, ["min", "mean"], "how", "score").withColumn("score", F.round("score", 9))
 
 
 def nested_choice(found: DataFrame) -> DataFrame:
