@@ -74,7 +74,7 @@ def connected_groups(df: DataFrame, id_: str, links: Sequence[str], checkpoint=N
     that many rows share costs one aggregate, not pairs. ``checkpoint`` cuts the plan
     between rounds (by default Spark's reliable checkpoint where a folder is set).
     """
-    cut = checkpoint or _cut
+    cut = checkpoint or checkpointed
     edges = None
     for c in links:
         e = df.filter(F.col(c).isNotNull()).select(id_, F.concat_ws(":", F.lit(c), F.col(c).cast("string")).alias("__v"))
@@ -91,7 +91,7 @@ def connected_groups(df: DataFrame, id_: str, links: Sequence[str], checkpoint=N
             return labels
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """A checkpoint in the session's shared folder; only a session on one machine may lack that setting."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():

@@ -253,14 +253,6 @@ def q_qubo_sensitivity(v: Views) -> DataFrame:
     return _grid(v, SENSITIVITY)
 
 
-GRID = [(k, w) for k in (2, 3) for w in (0.1, 0.25, 1.0)]
-
-
-@query(_grid_sql(GRID))
-def q_qubo_grid(v: Views) -> DataFrame:
-    return _grid(v, GRID)
-
-
 @query(f"WITH {SUBSETS} SELECT r AS member, count(*) AS n FROM (SELECT unnest(subset) AS r FROM t) GROUP BY r HAVING count(*) * 1.0E0 / (SELECT count(*) FROM t) >= 0.5")
 def q_consensus_core(v: Views) -> DataFrame:
     return sub.consensus_core(sub.inclusion_frequency(chosen_subsets(v), "subset"), 0.5).select("member", "n")
