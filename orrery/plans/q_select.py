@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from orrery.operators import aggregate as agg
-from orrery.operators import audit, folds, gates, normalize, ranking, resample
+from orrery.operators import audit, folds, gates, normalize, ranking, weighted
 from orrery.operators import geometry as geo
 from orrery.operators import relational as rel
 from orrery.operators import subsets as sub
@@ -384,25 +384,30 @@ def q_rotating_cv(v: Views) -> DataFrame:
     return rounded(ranking.metrics(rows, ["rotation", "role", "receptor_id"]), *DOUBLES).select("rotation", "role", "receptor_id", "roc_auc", "bedroc")
 
 
+#: Valid draws of the bootstrap queries.
+DRAWS = 5000
+
+
 @query()
 def q_bootstrap_ci(v: Views) -> DataFrame:
-    return rounded(resample.bootstrap(v.scores, ["receptor_id"], "bedroc", 50, 13), "mean", "lower", "upper")
+    return rounded(weighted.bootstrap(v.scores, ["receptor_id"], "bedroc", DRAWS, 13), "mean", "lower", "upper")
 
 
 @query()
 def q_stratified_bootstrap(v: Views) -> DataFrame:
-    return rounded(resample.bootstrap(v.scores, ["receptor_id"], "roc_auc", 50, 14, strata=["label"]), "mean", "lower", "upper")
+    return rounded(weighted.bootstrap(v.scores, ["receptor_id"], "roc_auc", DRAWS, 14, strata=["label"]), "mean", "lower", "upper")
 
 
 @query()
 def q_block_bootstrap(v: Views) -> DataFrame:
     """Whole groups are drawn."""
-    return rounded(resample.bootstrap(v.scores, ["receptor_id"], "bedroc", 50, 15, unit="group_id"), "mean", "lower", "upper")
+    return rounded(weighted.bootstrap(v.scores, ["receptor_id"], "bedroc", DRAWS, 15, unit="group_id"), "mean", "lower", "upper")
 
 
 @query()
 def q_paired_bootstrap(v: Views) -> DataFrame:
-    return rounded(resample.paired_delta(v.scores, "receptor_id", 0, 1, "bedroc", 50, 16), "mean", "lower", "upper")
+    """Every pair of receptors on the same draws of whole groups."""
+    return rounded(weighted.paired_deltas(v.scores, "receptor_id", "bedroc", DRAWS, 16, unit="group_id"), "mean", "lower", "upper")
 
 
 @query()
