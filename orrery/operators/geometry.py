@@ -180,3 +180,80 @@ GAS_CONSTANT = 0.00831446261815324
 def temperature(kinetic_energy: Column, freedoms: Column) -> Column:
     """Kelvin, from the kinetic energy in kJ per mol and the degrees of freedom."""
     return 2 * kinetic_energy / (freedoms * GAS_CONSTANT)
+
+
+def least_assignment(cost: np.ndarray) -> np.ndarray:
+    """The column of each row in a matching of least total cost (square matrices), by shortest augmenting paths."""
+    n = len(cost)
+    row_of, u, v = np.full(n, -1), np.zeros(n), np.zeros(n)
+    for start in range(n):
+        far, came, open_, at, column = np.full(n, np.inf), np.full(n, -1), np.ones(n, bool), start, -1
+        reached = 0.0
+        while True:  # grow a tree of tight edges until it reaches a free column
+            new = reached + cost[at] - u[at] - v
+            closer = open_ & (new < far)
+            far[closer], came[closer] = new[closer], column
+            column = int(np.where(open_, far, np.inf).argmin())
+            reached = far[column]
+            open_[column] = False
+            if row_of[column] < 0:
+                break
+            at = row_of[column]
+        done = ~open_
+        done[column] = False
+        u[row_of[done]] += reached - far[done]
+        v[done] -= reached - far[done]
+        u[start] += reached
+        while column >= 0:
+            before = came[column]
+            row_of[column] = start if before < 0 else row_of[before]
+            column = before
+    out = np.empty(n, int)
+    out[row_of] = np.arange(n)
+    return out
+
+
+ASSIGNMENT = "rmsd double, farthest double, reason string"
+
+
+def assignment_rmsd(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``*keys, rmsd, farthest, reason`` of two sets of atoms (``element, x, y, z``) whose order differs.
+
+    Atoms of each element are matched such that their distances have the least sum. Where the
+    sets do not have the same elements equally often, or one is missing, the reason says so
+    and the figures are null. A key holds a molecule, so a group is small.
+    """
+    keys = list(keys)
+    fields = [*keys, "element", "x", "y", "z"]
+
+    def run(key, a, b):
+        import pyarrow as pa
+
+        sides = []
+        for t in (a, b):
+            names = np.array(t.column("element").to_pylist() if t.num_rows else [], object)
+            xyz = np.stack([t.column(c).to_numpy() for c in "xyz"], axis=1) if t.num_rows else np.zeros((0, 3))
+            sides.append({e: xyz[names == e] for e in sorted(set(names.tolist()))})
+        one, two = sides
+        rmsd_, far, reason = None, None, None
+        if not one or not two:
+            reason = "missing"
+        elif {e: len(p) for e, p in one.items()} != {e: len(p) for e, p in two.items()}:
+            reason = "elements_differ"
+        else:
+            found = []
+            for e, p in one.items():
+                cost = np.sqrt(((p[:, None, :] - two[e][None, :, :]) ** 2).sum(axis=2))
+                found.append(cost[np.arange(len(p)), least_assignment(cost)])
+            d = np.concatenate(found)
+            rmsd_, far = float(np.sqrt((d * d).mean())), float(d.max())
+        values = [*[k.as_py() for k in key], rmsd_, far, reason]
+        names = [*keys, "rmsd", "farthest", "reason"]
+        return pa.table({n: pa.array([x], t) for n, x, t in zip(names, values, types, strict=True)})
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    schema = StructType([*[first.schema[k] for k in keys], *StructType.fromDDL(ASSIGNMENT).fields])
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+    return first.select(fields).groupBy(*keys).cogroup(second.select(fields).groupBy(*keys)).applyInArrow(run, schema)

@@ -410,12 +410,3 @@ def q_chunk_signatures(v: Views) -> DataFrame:
     signed = chunks.agg(F.sha2(F.concat(F.lit("dock|"), listed), 256).alias("signature"))
     stored = signed.select("chunk", F.when(F.col("chunk") % 2 == 0, F.col("signature")).otherwise("stale").alias("stored"))
     return signed.join(stored, "chunk").select("chunk", "signature", (F.col("signature") != F.col("stored")).alias("pending"))
-
-
-@query("SELECT CAST(i AS INT) AS repeat, sha256('repeat=' || i || ';seed=' || (70 + i)) AS config_hash FROM range(0, 6) t(i) WHERE i NOT IN (0, 3)")
-def q_repeat_resume(v: Views) -> DataFrame:
-    """Repeats whose derived configuration has no finished run."""
-    config = F.concat(F.lit("repeat="), F.col("repeat"), F.lit(";seed="), F.col("repeat") + 70)
-    every = v.spark.range(6).select(F.col("id").cast("int").alias("repeat")).withColumn("config_hash", F.sha2(config, 256))
-    done = every.filter(F.col("repeat").isin(0, 3)).select("config_hash")
-    return every.join(done, "config_hash", "left_anti").select("repeat", "config_hash")
