@@ -182,6 +182,28 @@ def temperature(kinetic_energy: Column, freedoms: Column) -> Column:
     return 2 * kinetic_energy / (freedoms * GAS_CONSTANT)
 
 
+def diameters(points: DataFrame, group: str) -> DataFrame:
+    """The largest distance between two points of each group, exactly.
+
+    The extremes of thirteen directions give a lower bound. With the largest distance R from
+    the group's centre, a point nearer to it than the bound less R is in no larger pair; only
+    the others, near the hull, are paired.
+    """
+    centre = points.groupBy(group).agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"])
+    rows = points.join(centre, group).select(group, *"xyz", F.sqrt(sum(((F.col(c) - F.col(f"c{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("cx")) ** 2)).alias("away"))
+    ways = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
+    place, ends = F.struct(*"xyz"), []
+    for i, way in enumerate(ways):
+        along = sum((F.col(n) * w for n, w in zip("xyz", way, strict=True)), F.lit(0.0))
+        ends += [F.min_by(place, along).alias(f"lo{i}"), F.max_by(place, along).alias(f"hi{i}")]
+    extremes = rows.groupBy(group).agg(F.max("away").alias("reach"), *ends)
+    apart = [F.sqrt(sum(((F.col(f"hi{i}.{c}") - F.col(f"lo{i}.{c}")) ** 2 for c in "yz"), (F.col(f"hi{i}.x") - F.col(f"lo{i}.x")) ** 2)) for i in range(len(ways))]
+    bounds = extremes.select(group, "reach", F.greatest(*apart).alias("least"))
+    outer = rows.join(bounds, group).filter(F.col("away") >= F.col("least") - F.col("reach") - 1e-9)
+    side = lambda p: outer.select(group, *[F.col(c).alias(f"{p}{c}") for c in "xyz"])
+    return side("a_").join(side("b_"), group).groupBy(group).agg(F.sqrt(F.max(squared("a_", "b_"))).alias("diameter"))
+
+
 def least_assignment(cost: np.ndarray) -> np.ndarray:
     """The column of each row in a matching of least total cost (square matrices), by shortest augmenting paths."""
     n = len(cost)

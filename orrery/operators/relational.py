@@ -138,10 +138,10 @@ def ladder(*steps: tuple[Column, str], otherwise: str) -> Column:
     return out.otherwise(otherwise)
 
 
-def id_set_hash(df: DataFrame, key: str) -> DataFrame:
-    """SHA-256 of the sorted distinct ids, one a line."""
+def id_set_hash(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """SHA-256 of the sorted distinct ids, one a line, of each group. The digest needs a group's list of ids in one place."""
     ids = F.array_sort(F.collect_set(F.col(key).cast("string")))
-    return df.agg(F.upper(F.sha2(F.array_join(ids, "\n"), 256)).alias("id_hash"), F.count_distinct(key).alias("id_count"))
+    return df.groupBy(*by).agg(F.upper(F.sha2(F.array_join(ids, "\n"), 256)).alias("id_hash"), F.count_distinct(key).alias("id_count"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -168,3 +168,13 @@ def pivot_strict(long: DataFrame, keys: Sequence[str], column: str, values: Sequ
     out = pivot_scores(long, keys, column, values, score)
     failed = F.raise_error(F.lit("missing cell")).cast("double")
     return out.select(*keys, *[F.coalesce(F.col(f"`{x}`"), failed).alias(str(x)) for x in values])
+
+
+def matched_residues(first: DataFrame, second: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Every row of either side by key with both names and its ``state``: matched, name_differs, only_first or only_second."""
+    keys = list(keys)
+    a = first.select(*keys, F.col(name).alias(f"{name}_a"), F.lit(True).alias("__a"))
+    both = a.join(second.select(*keys, F.col(name).alias(f"{name}_b"), F.lit(True).alias("__b")), keys, "full")
+    state = F.when(F.col("__b").isNull(), "only_first").when(F.col("__a").isNull(), "only_second")
+    state = state.when(F.col(f"{name}_a").eqNullSafe(F.col(f"{name}_b")), "matched").otherwise("name_differs")
+    return both.select(*keys, f"{name}_a", f"{name}_b", state.alias("state"))

@@ -129,3 +129,11 @@ def parameter_grid(spark: SparkSession, values: dict[str, Sequence]) -> DataFram
     from itertools import product
 
     return spark.createDataFrame(list(product(*values.values())), list(values))
+
+
+def value_grid(*columns: DataFrame) -> DataFrame:
+    """Every combination of the distinct values of frames with one column each; meant for columns of few values."""
+    out = columns[0].distinct()
+    for c in columns[1:]:
+        out = out.crossJoin(c.distinct())
+    return out

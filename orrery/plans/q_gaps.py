@@ -17,6 +17,7 @@ from orrery.plans.q_core import METRICS, q_metric_bundle, q_metrics_by_split
 from orrery.plans.q_select import BASE, COEF, ENERGY, FOLDS, NAME, NEAR, base_coefficients, folded, near_points
 from orrery.plans.registry import query
 from orrery.plans.views import RECEPTORS, SEEDS, Views
+from orrery.streaming import resume
 
 # --- predicates and projections -----------------------------------------------------------
 
@@ -75,13 +76,15 @@ def q_bounded_guard(v: Views) -> DataFrame:
     return v.poses.select("ligand_id", "receptor_id", "seed", "pose_rank", bounded("docking_score", 5.0).alias("passed"))
 
 
-@query("SELECT cluster_id, round(count(*) / sum(abs(value)), 6) AS rate, round(count(*) / sum(abs(value)) / (SELECT count(*) / sum(abs(value)) FROM frames), 6) AS speed_up FROM frames GROUP BY cluster_id")
+@query("""WITH e AS (SELECT event_type AS cluster_id, count(*) AS n, max(epoch(ts)) - min(epoch(ts)) AS s FROM events GROUP BY event_type), w AS (SELECT count(*) * 1.0E0 / (max(epoch(ts)) - min(epoch(ts))) AS r FROM events)
+SELECT cluster_id, round(n * 1.0E0 / s, 9) AS rate, round(n * 1.0E0 / s / r, 6) AS speed_up FROM e, w""")
 def q_speed_up(v: Views) -> DataFrame:
-    """Rows per unit of cost, and how much faster that is than over everything."""
-    rate = F.count(F.lit(1)) / F.sum(F.abs("value"))
-    whole = v.frames.agg(rate.alias("reference"))
-    out = v.frames.groupBy("cluster_id").agg(rate.alias("rate")).crossJoin(whole)  # one row
-    return out.select("cluster_id", F.round("rate", 6).alias("rate"), F.round(F.col("rate") / F.col("reference"), 6).alias("speed_up"))
+    """Events a second of each kind, over its own span of time, against the rate of all."""
+    second = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("2000-01-01 00:00:00")), F.col("ts")) / 1e6
+    rate = F.count(F.lit(1)) / (F.max(second) - F.min(second))
+    events = v.table("events", "event_type", "ts")
+    out = events.groupBy(F.col("event_type").alias("cluster_id")).agg(rate.alias("rate")).crossJoin(F.broadcast(events.agg(rate.alias("reference"))))  # one row
+    return out.select("cluster_id", F.round("rate", 9).alias("rate"), F.round(F.col("rate") / F.col("reference"), 6).alias("speed_up"))
 
 
 # --- representatives, joins, pivots ---------------------------------------------------------
@@ -95,13 +98,14 @@ def q_representative_best_rank(v: Views) -> DataFrame:
     return rel.representative_strict(v.poses.filter("status = 'ok'"), ["ligand_id", "receptor_id"])
 
 
-@query("""SELECT a.point_id, a.cluster_id AS name_a, b.cluster_id AS name_b, a.cluster_id = b.cluster_id AS same FROM points a
-  JOIN (SELECT point_id - 1 AS point_id, cluster_id FROM points) b ON a.point_id = b.point_id""")
+@query("""SELECT coalesce(a.point_id, b.point_id) AS point_id, a.cluster_id AS name_a, b.name AS name_b, CASE WHEN b.point_id IS NULL THEN 'only_first' WHEN a.point_id IS NULL THEN 'only_second' WHEN a.cluster_id = b.name THEN 'matched' ELSE 'name_differs' END AS state
+  FROM (SELECT point_id, cluster_id FROM points WHERE x >= -0.05) a FULL JOIN (SELECT point_id, CASE WHEN point_id % 7 = 0 THEN (cluster_id + 1) % 10 ELSE cluster_id END AS name FROM points WHERE y >= -0.05) b ON a.point_id = b.point_id""")
 def q_residue_join(v: Views) -> DataFrame:
-    """Two structures by residue key; rows whose names differ are told, not dropped."""
-    other = v.points.select((F.col("point_id") - 1).alias("point_id"), F.col("cluster_id").alias("name_b"))
-    both = v.points.select("point_id", F.col("cluster_id").alias("name_a")).join(other, "point_id")
-    return both.withColumn("same", F.col("name_a") == F.col("name_b"))
+    """Two structures that each lack some residues, the second with some names changed: every residue of either, and how it matches."""
+    name = F.when(F.col("point_id") % 7 == 0, (F.col("cluster_id") + 1) % 10).otherwise(F.col("cluster_id"))
+    first = v.points.filter("x >= -0.05").select("point_id", F.col("cluster_id").alias("name"))
+    second = v.points.filter("y >= -0.05").select("point_id", name.alias("name"))
+    return rel.matched_residues(first, second, ["point_id"], "name")
 
 
 @query("SELECT l.label, l.split, s.receptor_id, count(*) AS rows FROM pair_scores s JOIN ligands l USING (ligand_id) GROUP BY ALL")
@@ -157,11 +161,11 @@ def one(name: str, sql: str) -> str:
     return f"SELECT '{name}' AS \"constraint\", CAST(n AS BIGINT) AS n_violations, n = 0 AS passed FROM ({sql})"
 
 
-ROWS = one("row_count", "SELECT abs(count(*) - (SELECT count(*) FROM part)) AS n FROM ligands")
+ROWS = one("row_count", "SELECT (SELECT count(*) FROM ligands) * (SELECT count(*) FROM region) - count(*) AS n FROM pair_scores")
 UNIQUE = one("unique_key", "SELECT count(*) AS n FROM (SELECT ligand_id FROM ligands GROUP BY ligand_id HAVING count(*) > 1)")
 HISTOGRAM = one(
     "label_histogram",
-    "SELECT count(*) AS n FROM (SELECT label, count(*) AS c FROM ligands GROUP BY label) a FULL JOIN (SELECT CASE WHEN p_size <= 10 THEN 'active' ELSE 'decoy' END AS label, count(*) AS c FROM part GROUP BY 1) b ON a.label = b.label WHERE a.c IS DISTINCT FROM b.c",
+    "SELECT count(*) AS n FROM (SELECT label, count(*) AS c FROM ligands GROUP BY label) a FULL JOIN (SELECT label, count(DISTINCT ligand_id) AS c FROM scores GROUP BY 1) b ON a.label = b.label WHERE a.c IS DISTINCT FROM b.c",
 )
 FORBIDDEN = one("forbidden_split", "SELECT count(*) AS n FROM scores WHERE split = 'test'")
 COMPLETE = one("receptors_per_ligand", "SELECT count(*) AS n FROM (SELECT ligand_id FROM pair_scores GROUP BY ligand_id HAVING count(DISTINCT receptor_id) <> 5)")
@@ -184,16 +188,12 @@ def group_size_audit(name: str, df: DataFrame, keys: list[str], member: str, siz
     return told(name, odd.agg(F.count(F.lit(1)).alias("n")))
 
 
-def _expected_labels(v: Views) -> DataFrame:
-    part = v.table("part", "p_size").select(F.when(F.col("p_size") <= 10, "active").otherwise("decoy").alias("label"))
-    return part.groupBy("label").agg(F.count(F.lit(1)).alias("expected"))
-
-
 @query(ROWS)
 def q_row_count_audit(v: Views) -> DataFrame:
-    expected = v.table("part", "p_partkey").count()
-    out = audit.count_is(v.ligands, expected)
-    return out.withColumn("n_violations", F.col("n_violations").cast("long"))
+    """Pair scores against the full grid of ligands and receptors."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    counts = n(v.ligands, "l").crossJoin(n(v.table("region"), "r")).crossJoin(n(v.pair_scores, "s"))  # one row each
+    return told("row_count", counts.select((F.col("l") * F.col("r") - F.col("s")).alias("n")))
 
 
 @query(UNIQUE)
@@ -203,7 +203,9 @@ def q_unique_key_audit(v: Views) -> DataFrame:
 
 @query(HISTOGRAM)
 def q_label_histogram_audit(v: Views) -> DataFrame:
-    return histogram_audit(v.ligands, _expected_labels(v), "label")
+    """Labels of all ligands against those of the ligands that have a score for every receptor."""
+    expected = v.scores.groupBy("label").agg(F.count_distinct("ligand_id").alias("expected"))
+    return histogram_audit(v.ligands, expected, "label")
 
 
 @query(FORBIDDEN)
@@ -238,9 +240,10 @@ def q_dataset_audit(v: Views) -> DataFrame:
 
 @query("SELECT ligand_id, label, split FROM ligands WHERE split <> 'test' AND (SELECT count(*) FROM (SELECT ligand_id FROM ligands GROUP BY ligand_id HAVING count(*) > 1)) = 0")
 def q_visible_splits(v: Views) -> DataFrame:
-    """The rows of the visible splits, once the audit of the table holds."""
-    audit.enforce(q_unique_key_audit(v).unionByName(q_row_count_audit(v)))
-    return v.ligands.filter("split <> 'test'").select("ligand_id", "label", "split")
+    """The rows of the visible splits; the tasks fail where the table's audit does not hold."""
+    holds = F.broadcast(q_unique_key_audit(v).select("passed"))  # one row
+    rows = v.ligands.filter("split <> 'test'").select("ligand_id", "label", "split").crossJoin(holds)
+    return audit.require(rows, F.col("passed"), "unique ids").drop("passed")
 
 
 @query("""SELECT ligand_id, s.label, l.label AS panel_label FROM (SELECT ligand_id, CASE WHEN heavy_atoms <= 11 THEN 'active' ELSE 'decoy' END AS label, split, group_id FROM ligands) s
@@ -254,19 +257,44 @@ def q_panel_match(v: Views) -> DataFrame:
     return prepared.join(panel, "ligand_id").filter(differs).select("ligand_id", "label", "panel_label")
 
 
-@query(f"WITH {METRICS.format(keys='receptor_id', rows='scores')} SELECT receptor_id, roc_auc, average_precision, TRUE AS auc_agrees, TRUE AS ap_agrees FROM mx")
+#: BEDROC from its robust initial enhancement, enrichment as hits over the hits expected.
+_SECOND = """sc AS (SELECT receptor_id, score, count(*) FILTER (label = 'active') AS a, count(*) FILTER (label <> 'active') AS d FROM scores GROUP BY ALL),
+sd AS (SELECT *, sum(a) OVER (PARTITION BY receptor_id ORDER BY score) AS up FROM sc), au AS (SELECT receptor_id, sum(d * (up - a / 2.0E0)) / sum(a) / sum(d) AS auc FROM sd GROUP BY receptor_id),
+rn AS (SELECT receptor_id, label, row_number() OVER (PARTITION BY receptor_id ORDER BY score, ligand_id) AS r, count(*) OVER (PARTITION BY receptor_id) AS n, count(*) FILTER (label = 'active') OVER (PARTITION BY receptor_id) AS m FROM scores),
+sn AS (SELECT receptor_id, max(n) AS n, max(m) AS m, sum(exp(-20.0E0 * r / n)) FILTER (label = 'active') / max(m) / ((1 - exp(-20.0E0)) / (exp(20.0E0 / max(n)) - 1) / max(n)) AS rie,
+  count(*) FILTER (label = 'active' AND r <= greatest(1, ceil(n * 0.1E0))) AS hits FROM rn GROUP BY receptor_id),
+sr AS (SELECT receptor_id, rie * (m * 1.0E0 / n) * ((exp(10) - exp(-10)) / 2) / ((exp(10) + exp(-10)) / 2 - (exp(10 - 20.0E0 * m / n) + exp(-10 + 20.0E0 * m / n)) / 2) + 1 / (1 - exp(20 * (1 - m * 1.0E0 / n))) AS bedroc2,
+  hits * n * 1.0E0 / (greatest(1, ceil(n * 0.1E0)) * m) AS ef2 FROM sn)"""
+
+
+@query(f"""WITH {METRICS.format(keys='receptor_id', rows='scores')}, {_SECOND} SELECT receptor_id, roc_auc, average_precision, bedroc, ef10, round(auc, 5) AS second_auc, round(bedroc2, 5) AS second_bedroc, round(ef2, 5) AS second_ef10,
+  abs(roc_auc - auc) < 1E-6 AND abs(bedroc - bedroc2) < 1E-6 AND abs(ef10 - ef2) < 1E-6 AS agrees FROM mx JOIN au USING (receptor_id) JOIN sr USING (receptor_id)""")
 def q_metrics_audit(v: Views) -> DataFrame:
-    """Metrics against a second formulation: the trapezoid over thresholds, and precision times the step in recall."""
+    """Metrics against a second formulation: the trapezoid over thresholds, precision times the step in recall, BEDROC by its enhancement, hits over expected hits."""
     at = v.scores.groupBy("receptor_id", "score").agg(F.count_if(F.col("label") == "active").alias("a"), F.count_if(F.col("label") != "active").alias("d"))
     at = spread(at, ["receptor_id"], score_piece("score"), ["score"], {"a": F.col("a"), "d": F.col("d")})
     area = F.sum(F.col("d") * (F.col("__to_a") - F.col("a") / 2.0)) / F.max("__all_a") / F.max("__all_d")
-    ranked = v.scores.withColumn("hit", (F.col("label") == "active").cast("int"))
-    ranked = spread(ranked, ["receptor_id"], score_piece("score"), ["score", "ligand_id"], {"hit": F.col("hit")})
-    precision = F.sum(F.col("hit") * F.col("__to_hit") / F.col("__to_n")) / F.sum("hit")
-    second = at.groupBy("receptor_id").agg(area.alias("auc")).join(ranked.groupBy("receptor_id").agg(precision.alias("ap")), "receptor_id")
-    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-6
+    rows = v.scores.withColumn("hit", (F.col("label") == "active").cast("int"))
+    rows = spread(rows, ["receptor_id"], score_piece("score"), ["score", "ligand_id"], {"hit": F.col("hit")})
+    r, n, hit = F.col("__to_n"), F.col("__all_n"), F.col("hit")
+    sums = rows.groupBy("receptor_id").agg(
+        F.max(n).alias("n"),
+        F.max("__all_hit").alias("m"),
+        (F.sum(hit * F.col("__to_hit") / r) / F.sum("hit")).alias("ap"),
+        F.sum(hit * F.exp(-20.0 * r / n)).alias("decay"),
+        F.sum(F.when(r <= ranking.top_count(n, 0.1), hit)).alias("hits"),
+    )
+    n, m = F.col("n"), F.col("m")
+    enhancement = F.col("decay") / m / ((1 - F.exp(F.lit(-20.0))) / (F.exp(20.0 / n) - 1) / n)
+    share = m / n
+    bedroc = enhancement * share * F.sinh(F.lit(10.0)) / (F.cosh(F.lit(10.0)) - F.cosh(10 - 20 * share)) + 1 / (1 - F.exp(20 * (1 - share)))
+    second = sums.select("receptor_id", "ap", bedroc.alias("b"), (F.col("hits") * n / (ranking.top_count(n, 0.1) * m)).alias("e"))
+    second = second.join(at.groupBy("receptor_id").agg(area.alias("auc")), "receptor_id")
     out = q_metric_bundle(v).join(second, "receptor_id")
-    return out.select("receptor_id", "roc_auc", "average_precision", near("roc_auc", "auc").alias("auc_agrees"), near("average_precision", "ap").alias("ap_agrees"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-6
+    agrees = near("roc_auc", "auc") & near("average_precision", "ap") & near("bedroc", "b") & near("ef10", "e")
+    told_ = [F.round(c, 5).alias(n) for c, n in (("auc", "second_auc"), ("b", "second_bedroc"), ("e", "second_ef10"))]
+    return out.select("receptor_id", "roc_auc", "average_precision", "bedroc", "ef10", *told_, agrees.alias("agrees"))
 
 
 # --- scaling and selection -----------------------------------------------------------------------
@@ -314,10 +342,15 @@ def q_qubo_required(v: Views) -> DataFrame:
     return best.select(sub.subset_name("subset").alias("subset"), F.round("energy", 8).alias("energy"))
 
 
-@query("SELECT a AS depth, b AS rate, c AS share FROM (VALUES (2), (3), (4)) x(a), (VALUES (0.05E0), (0.1E0)) y(b), (VALUES (0.8E0), (1.0E0)) z(c)")
+@query("""SELECT g.label, g.split, g.seed, g.receptor_id, count(s.score) AS scores, round(min(s.score), 6) AS best FROM (SELECT * FROM (SELECT DISTINCT label FROM ligands), (SELECT DISTINCT split FROM ligands), (SELECT DISTINCT seed FROM seed_scores), (SELECT r_regionkey AS receptor_id FROM region)) g
+  LEFT JOIN (SELECT l.label, l.split, q.seed, q.receptor_id, q.score FROM seed_scores q JOIN ligands l ON l.ligand_id = q.ligand_id WHERE q.score < -9) s ON s.label = g.label AND s.split = g.split AND s.seed = g.seed AND s.receptor_id = g.receptor_id GROUP BY ALL""")
 def q_parameter_grid(v: Views) -> DataFrame:
-    """Every combination of parameter values, one row each."""
-    return sub.parameter_grid(v.spark, {"depth": [2, 3, 4], "rate": [0.05, 0.1], "share": [0.8, 1.0]})
+    """Every combination of label, split, replicate and receptor that the tables know, with its good scores, be there none."""
+    grid = sub.value_grid(v.ligands.select("label"), v.ligands.select("split"), v.seed_scores.select("seed"), v.table("region").select(F.col("r_regionkey").alias("receptor_id")))
+    good = v.seed_scores.filter("score < -9").join(v.ligands.select("ligand_id", "label", "split"), "ligand_id").drop("ligand_id")
+    keys = ["label", "split", "seed", "receptor_id"]
+    found = good.groupBy(*keys).agg(F.count("score").alias("scores"), F.min("score").alias("best"))
+    return grid.join(found, keys, "left").select(*keys, F.coalesce("scores", F.lit(0)).alias("scores"), F.round("best", 6).alias("best"))
 
 
 # --- splits and samples ------------------------------------------------------------------------------
@@ -372,18 +405,17 @@ def q_clash_counts(v: Views) -> DataFrame:
     )
 
 
-@query("""SELECT cluster_id, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(avg(z), 6) AS mean_z, round(max(x) - min(x), 6) AS span_x, round(max(y) - min(y), 6) AS span_y,
-  round(max(z) - min(z), 6) AS span_z, 0.0E0 AS distance_error FROM points GROUP BY cluster_id""")
+@query("""WITH d AS (SELECT a.cluster_id, max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS diameter FROM points a JOIN points b ON a.cluster_id = b.cluster_id GROUP BY 1)
+SELECT cluster_id, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(avg(z), 6) AS mean_z, round(max(x) - min(x), 6) AS span_x, round(max(y) - min(y), 6) AS span_y, round(max(z) - min(z), 6) AS span_z,
+  round(any_value(diameter), 6) AS diameter, round(any_value(diameter), 6) AS moved_diameter FROM points JOIN d USING (cluster_id) GROUP BY cluster_id""")
 def q_geometry_invariants(v: Views) -> DataFrame:
-    """Centre and span, and how far a rigid motion changes the distances of neighbouring points."""
-    moved = geo.affine(v.points, ((0.0, -1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0)), (2.0, -1.0, 0.5)).select("point_id", *[F.col(c).alias(f"m_{c}") for c in "xyz"])
-    both = v.points.join(moved, "point_id")
-    w = Window.partitionBy("cluster_id").orderBy("point_id")
-    length = lambda p: F.sqrt(sum(((F.col(f"{p}{c}") - F.lag(f"{p}{c}").over(w)) ** 2 for c in "yz"), (F.col(f"{p}x") - F.lag(f"{p}x").over(w)) ** 2))
-    both = both.withColumn("e", F.abs(length("") - length("m_")))
+    """Centre, span and largest distance of each cluster, and the latter again after a rigid motion."""
+    moved = geo.affine(v.points, ((0.0, -1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0)), (2.0, -1.0, 0.5))
     span = lambda c: F.round(F.max(c) - F.min(c), 6).alias(f"span_{c}")
-    error = F.round(F.coalesce(F.max("e"), F.lit(0.0)), 6).alias("distance_error")
-    return both.groupBy("cluster_id").agg(*[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in "xyz"], *map(span, "xyz"), error)
+    out = v.points.groupBy("cluster_id").agg(*[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in "xyz"], *map(span, "xyz"))
+    for df, name in ((v.points, "diameter"), (moved, "moved_diameter")):
+        out = out.join(geo.diameters(df, "cluster_id").select("cluster_id", F.round("diameter", 6).alias(name)), "cluster_id")
+    return out
 
 
 @query("""SELECT cluster_id, round((max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)), 6) AS volume, round(2 * sum(x * x + y * y + z * z) / 2 / (3 * count(*) * 0.00831446261815324E0), 4) AS temperature
@@ -400,13 +432,14 @@ def q_volume_temperature(v: Views) -> DataFrame:
 # --- resumption ---------------------------------------------------------------------------------------------
 
 
-@query("""SELECT chunk, sha256('dock|' || string_agg(CAST(ligand_id AS VARCHAR), ',' ORDER BY ligand_id)) AS signature, chunk % 2 = 1 AS pending FROM
-  (SELECT ligand_id, CAST(floor((row_number() OVER (ORDER BY ligand_id) - 1) / 64) AS BIGINT) AS chunk FROM ligands) GROUP BY chunk""")
+@query("""WITH c AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY ligand_id) - 1) / 64) AS BIGINT) AS chunk FROM ligands),
+s AS (SELECT chunk, sha256('dock|' || string_agg(ligand_id || ':' || label, ',' ORDER BY ligand_id)) AS signature, sha256('dock|' || string_agg(ligand_id || ':' || CASE WHEN heavy_atoms <= 10 AND group_id <> 'Brand#13' THEN 'active' ELSE 'decoy' END, ',' ORDER BY ligand_id)) AS old,
+  min(ligand_id) AS lo FROM c GROUP BY chunk) SELECT chunk, signature, signature <> old OR chunk % 8 = 7 AS pending FROM s""")
 def q_chunk_signatures(v: Views) -> DataFrame:
-    """Chunks by what they were made of; those whose stored signature is another one run again."""
-    at = (F.row_number().over(Window.orderBy("ligand_id")) - 1).cast("long")
-    chunks = v.ligands.select("ligand_id", F.floor(at / 64).cast("long").alias("chunk")).groupBy("chunk")
-    listed = F.array_join(F.array_sort(F.collect_list("ligand_id")), ",")
-    signed = chunks.agg(F.sha2(F.concat(F.lit("dock|"), listed), 256).alias("signature"))
-    stored = signed.select("chunk", F.when(F.col("chunk") % 2 == 0, F.col("signature")).otherwise("stale").alias("stored"))
-    return signed.join(stored, "chunk").select("chunk", "signature", (F.col("signature") != F.col("stored")).alias("pending"))
+    """Chunks of 64 by what they were made of. An earlier run, under another label rule and without each eighth chunk, left its signatures in a file; chunks without their own signature there run again."""
+    older = v.ligands.withColumn("label", F.when((F.col("heavy_atoms") <= 10) & (F.col("group_id") != "Brand#13"), "active").otherwise("decoy"))
+    folder = resume.scratch(v.spark, "signatures")
+    resume.chunk_signatures(older, "ligand_id", "label", 64, "dock").filter("chunk % 8 <> 7").write.parquet(folder)
+    stored = v.spark.read.parquet(folder).select("chunk", F.col("signature").alias("stored"))
+    now = resume.chunk_signatures(v.ligands, "ligand_id", "label", 64, "dock").join(stored, "chunk", "left")
+    return now.select("chunk", "signature", (~F.col("signature").eqNullSafe(F.col("stored"))).alias("pending"))

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators import anneal, folds, gates, ranking
+from orrery.operators import anneal, folds, gates, pocket, ranking
 from orrery.operators import geometry as geo
 from orrery.operators import objective as obj
 from orrery.plans.q_core import DOUBLES, METRICS, rounded
 from orrery.plans.q_select import BASE, NAME, SENSITIVITY, _grid, pair_terms, unary_terms
 from orrery.plans.registry import query
 from orrery.plans.views import Views
-from orrery.streaming import repeats
+from orrery.streaming import repeats, resume
 
 K = 5
 SCHEMA = "repeat int, seed int"
@@ -59,12 +57,6 @@ mt AS (SELECT repeat, 'all_min' AS method, ligand_id, label, min(score) AS score
 cv AS (SELECT * FROM (WITH {METRICS.format(keys="repeat, method", rows="mt")} SELECT * FROM mx))"""
 
 
-def _folder(v: Views) -> str:
-    """A new folder in the shared checkpoint folder."""
-    folds.checkpointed(v.spark.range(1))  # sets a folder where there is none
-    return f"{v.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/runs-{uuid.uuid4().hex}"
-
-
 _KEPT = [c for c in SECOND if c in FIRST]
 
 
@@ -72,7 +64,7 @@ _KEPT = [c for c in SECOND if c in FIRST]
   FROM cv JOIN cg USING (repeat)""")
 def q_repeat_resume(v: Views) -> DataFrame:
     """Two calls on one folder: the second asks for four repeats, of which one is stored, two are new and one has another seed; only three are computed."""
-    folder = _folder(v)
+    folder = resume.scratch(v.spark, "runs")
     compute = lambda table: repeated_cv(v.scores, table)
     repeats.run_repeats(v.spark, folder, FIRST, SCHEMA, compute)
     out, done = repeats.run_repeats(v.spark, folder, SECOND, SCHEMA, compute)
@@ -144,3 +136,40 @@ def q_assignment_rmsd(v: Views) -> DataFrame:
     sides = atoms.select("vec_id", "i", *[F.col(c).alias(f"a_{c}") for c in "xyz"]).join(after.select("vec_id", "i", *[F.col(c).alias(f"b_{c}") for c in "xyz"]), ["vec_id", "i"])
     fixed = geo.rmsd(sides, ["vec_id"]).select("vec_id", F.round("rmsd", 6).alias("fixed_order"))
     return matched.select("vec_id", F.round("rmsd", 6).alias("rmsd"), F.round("farthest", 6).alias("farthest")).join(fixed, "vec_id")
+
+
+POCKET, ANCHORS, LEAST_SHARE = 10, [2, 5], 0.6
+_RESIDUES = f"""rs AS (SELECT vec_id AS structure_id, CAST(i AS INT) AS residue, CASE WHEN abs(CAST(floor(256 * CAST(embedding[4 * i + 1] AS DOUBLE)) AS BIGINT)) % 23 = 1 THEN 'GLY' ELSE 'ALA' END AS name,
+  CAST(embedding[3 * i + 1] AS DOUBLE) AS x, CAST(embedding[3 * i + 2] AS DOUBLE) AS y, CAST(embedding[3 * i + 3] AS DOUBLE) AS z FROM embeddings, range(0, {POCKET}) t(i)
+  WHERE vec_id > 0 AND abs(CAST(floor(256 * CAST(embedding[4 * i + 2] AS DOUBLE)) AS BIGINT)) % 7 <> 1),
+rf AS (SELECT CAST(i AS INT) AS residue, CAST(embedding[3 * i + 1] AS DOUBLE) AS x, CAST(embedding[3 * i + 2] AS DOUBLE) AS y, CAST(embedding[3 * i + 3] AS DOUBLE) AS z FROM embeddings, range(0, {POCKET}) t(i) WHERE vec_id = 0),
+mt AS (SELECT w.structure_id, rf.residue, CASE WHEN name IS NULL THEN 'missing' WHEN name <> 'ALA' THEN 'mismatched' ELSE 'present' END AS state, CASE WHEN name = 'ALA' THEN rs.x ELSE rf.x END AS x, CASE WHEN name = 'ALA' THEN rs.y ELSE rf.y END AS y,
+  CASE WHEN name = 'ALA' THEN rs.z ELSE rf.z END AS z FROM (SELECT DISTINCT structure_id FROM rs) w JOIN rf ON true LEFT JOIN rs ON rs.structure_id = w.structure_id AND rs.residue = rf.residue),
+el AS (SELECT structure_id, count(*) FILTER (state = 'present') AS present, round(count(*) FILTER (state = 'present') * 1.0E0 / count(*), 6) AS share, coalesce(string_agg(residue, ';' ORDER BY residue) FILTER (state = 'missing'), '') AS missing,
+  coalesce(string_agg(residue, ';' ORDER BY residue) FILTER (state = 'mismatched'), '') AS mismatched, coalesce(string_agg(residue, ';' ORDER BY residue) FILTER (state <> 'present' AND residue IN (2, 5)), '') AS missing_anchors, count(*) FILTER (state <> 'present') AS imputed FROM mt GROUP BY structure_id),
+rz AS (SELECT *, concat_ws(';', CASE WHEN share < {LEAST_SHARE} THEN 'pocket_share_below_limit' END, CASE WHEN mismatched <> '' THEN 'pocket_name_mismatch' END, CASE WHEN missing_anchors <> '' THEN 'missing_anchor' END) AS reasons FROM el)"""
+
+
+def _pocket(v: Views) -> DataFrame:
+    e = v.table("embeddings", "vec_id", "embedding")
+    step = lambda i, j, m: F.abs(F.floor(F.col("embedding")[4 * i + j].cast("double") * 256)) % m
+    one = [
+        F.struct(F.lit(i).alias("residue"), F.when(step(i, 0, 23) == 1, "GLY").otherwise("ALA").alias("name"), (step(i, 1, 7) != 1).alias("there"), *[F.col("embedding")[3 * i + j].cast("double").alias(c) for j, c in enumerate("xyz")])
+        for i in range(POCKET)
+    ]
+    rows = e.select(F.col("vec_id").alias("structure_id"), F.explode(F.array(*one)).alias("s")).select("structure_id", "s.*")
+    reference = rows.filter("structure_id = 0").select("residue", F.lit("ALA").alias("name"), *"xyz")
+    return pocket.against_reference(rows.filter("structure_id > 0 and there").drop("there"), reference)
+
+
+@query(f"WITH {_RESIDUES} SELECT *, reasons = '' AS eligible FROM rz")
+def q_pocket_eligibility(v: Views) -> DataFrame:
+    """Structures against the residues that the reference's pocket has: what is there, what is not, and why a structure is excluded."""
+    return rounded(pocket.eligibility(_pocket(v), ANCHORS, LEAST_SHARE), "share")
+
+
+@query(f"WITH {_RESIDUES} SELECT structure_id, a.residue AS a, b.residue AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6) AS distance, a.state <> 'present' OR b.state <> 'present' AS imputed FROM mt a JOIN mt b USING (structure_id) JOIN rz USING (structure_id) WHERE a.residue < b.residue AND reasons = ''")
+def q_pocket_features(v: Views) -> DataFrame:
+    """Pairwise distances of the pocket in eligible structures, missing residues being taken from the reference."""
+    matched = _pocket(v)
+    return rounded(pocket.features(matched, pocket.eligibility(matched, ANCHORS, LEAST_SHARE)), "distance")

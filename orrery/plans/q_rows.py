@@ -174,16 +174,17 @@ def q_array_exists(v: Views) -> DataFrame:
 # --- joins ---------------------------------------------------------------------------------
 
 
-@query("SELECT a.ligand_id, a.s0, b.lo FROM replicates a JOIN replicates b USING (ligand_id, receptor_id) WHERE a.receptor_id = 0")
+@query("SELECT ligand_id, receptor_id, a.s0, b.lo FROM replicates a JOIN replicates b USING (ligand_id, receptor_id)")
 def q_strict_join(v: Views) -> DataFrame:
-    one = v.replicates.filter("receptor_id = 0")
-    return rel.strict_join(one.select("ligand_id", "s0"), one.select("ligand_id", "lo"), ["ligand_id"])
+    keys = ["ligand_id", "receptor_id"]
+    return rel.strict_join(v.replicates.select(*keys, "s0"), v.replicates.select(*keys, "lo"), keys)
 
 
-@query("SELECT ligand_id, a.score AS score_a, b.score AS score_b, b.score - a.score AS delta FROM (SELECT * FROM pair_scores WHERE receptor_id = 0) a JOIN (SELECT * FROM pair_scores WHERE receptor_id = 1) b USING (ligand_id)")
+@query("SELECT a.receptor_id AS a, b.receptor_id AS b, a.ligand_id, a.score AS score_a, b.score AS score_b, b.score - a.score AS delta FROM pair_scores a JOIN pair_scores b ON a.ligand_id = b.ligand_id AND a.receptor_id < b.receptor_id")
 def q_shared_pair_join(v: Views) -> DataFrame:
-    of = lambda r, n: v.pair_scores.filter(F.col("receptor_id") == r).select("ligand_id", F.col("score").alias(n))
-    return of(0, "score_a").join(of(1, "score_b"), "ligand_id").withColumn("delta", F.col("score_b") - F.col("score_a"))
+    of = lambda r, n: v.pair_scores.select("ligand_id", F.col("receptor_id").alias(r), F.col("score").alias(n))
+    both = of("a", "score_a").join(of("b", "score_b"), "ligand_id").filter("a < b")
+    return both.withColumn("delta", F.col("score_b") - F.col("score_a"))
 
 
 @query("SELECT ligand_id, receptor_id, seed, a.score AS reference_score, b.docking_score AS other_score, abs(a.score - b.docking_score) AS abs_delta FROM seed_scores a JOIN (SELECT * FROM poses WHERE pose_rank = 2) b USING (ligand_id, receptor_id, seed)")
@@ -219,9 +220,9 @@ def q_parent_delta(v: Views) -> DataFrame:
     )
 
 
-@query("SELECT w.ligand_id, w.r0, w.r1, w.r2, x.heavy_atoms AS extra FROM wide w JOIN ligands x ON x.ligand_id = w.ligand_id")
+@query("SELECT w.ligand_id, w.r0, w.r1, w.r2, w.r3, w.r4, x.heavy_atoms AS extra FROM wide w JOIN ligands x ON x.ligand_id = w.ligand_id")
 def q_matrix_merge(v: Views) -> DataFrame:
-    return v.wide.select("ligand_id", "r0", "r1", "r2").join(v.ligands.select("ligand_id", F.col("heavy_atoms").alias("extra")), "ligand_id")
+    return v.wide.select("ligand_id", "r0", "r1", "r2", "r3", "r4").join(v.ligands.select("ligand_id", F.col("heavy_atoms").alias("extra")), "ligand_id")
 
 
 @query("SELECT w.ligand_id, w.r0, w.r1, s.score AS s2 FROM wide w LEFT JOIN (SELECT ligand_id, min(score) AS score FROM seed_scores WHERE seed = 2 GROUP BY ligand_id) s ON s.ligand_id = w.ligand_id")
@@ -281,16 +282,16 @@ def q_case_resolution(v: Views) -> DataFrame:
 # --- set operations ----------------------------------------------------------------------------
 
 
-@query("SELECT ligand_id, label FROM ligands WHERE split = 'train' UNION ALL SELECT ligand_id, label FROM ligands WHERE split = 'test'")
+@query("SELECT ligand_id, label FROM ligands WHERE split = 'train' UNION ALL SELECT ligand_id, label FROM ligands WHERE split = 'validation' UNION ALL SELECT ligand_id, label FROM ligands WHERE split = 'test'")
 def q_disjoint_union(v: Views) -> DataFrame:
     of = lambda s: v.ligands.filter(F.col("split") == s).select("ligand_id", "label")
-    return rel.disjoint_union([of("train"), of("test")], "ligand_id")
+    return rel.disjoint_union([of("train"), of("validation"), of("test")], "ligand_id")
 
 
-@query("SELECT receptor_id, ligand_id, 'seed0' AS origin FROM seed_scores WHERE seed = 0 UNION ALL SELECT receptor_id, ligand_id, 'seed1' FROM seed_scores WHERE seed = 1")
+@query("SELECT receptor_id, ligand_id, 'seed0' AS origin FROM seed_scores WHERE seed = 0 UNION ALL SELECT receptor_id, ligand_id, 'seed1' FROM seed_scores WHERE seed = 1 UNION ALL SELECT receptor_id, ligand_id, 'seed2' FROM seed_scores WHERE seed = 2")
 def q_tagged_union(v: Views) -> DataFrame:
     of = lambda s: v.seed_scores.filter(F.col("seed") == s).select("receptor_id", "ligand_id")
-    return rel.tagged_union({"seed0": of(0), "seed1": of(1)}, "origin")
+    return rel.tagged_union({"seed0": of(0), "seed1": of(1), "seed2": of(2)}, "origin")
 
 
 @query("""SELECT (SELECT count(*) FROM (SELECT ligand_id FROM ligands WHERE split = 'train' INTERSECT SELECT ligand_id FROM ligands WHERE split = 'test')) AS shared,
@@ -348,9 +349,9 @@ def q_pairwise_jaccard(v: Views) -> DataFrame:
     return set_pairs(top_active_sets(v)).select("a", "b", F.round(rel.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
-@query("SELECT upper(sha256(string_agg(x, chr(10) ORDER BY x))) AS id_hash, count(*) AS id_count FROM (SELECT DISTINCT CAST(ligand_id AS VARCHAR) AS x FROM ligands WHERE split = 'train')")
+@query("SELECT split, upper(sha256(string_agg(x, chr(10) ORDER BY x))) AS id_hash, count(*) AS id_count FROM (SELECT DISTINCT split, CAST(ligand_id AS VARCHAR) AS x FROM ligands) GROUP BY split")
 def q_id_set_hash(v: Views) -> DataFrame:
-    return rel.id_set_hash(v.ligands.filter("split = 'train'"), "ligand_id")
+    return rel.id_set_hash(v.ligands, "ligand_id", ["split"])
 
 
 # --- pivots ---------------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from orrery.plans.q_core import DOUBLES, METRICS, metric_sql, q_metric_bundle, r
 from orrery.plans.q_rows import PAIRS, TOP_ACTIVE, set_pairs, top_active_sets
 from orrery.plans.q_stats import SUBSETS, chosen_subsets
 from orrery.plans.registry import query
-from orrery.plans.views import RECEPTORS, Views
+from orrery.plans.views import RECEPTORS, SEEDS, Views
 
 # --- comparisons -------------------------------------------------------------------------
 
@@ -72,9 +72,15 @@ def subset_metrics(v: Views, sizes, how: str = "min_score", by_split: bool = Fal
     return rounded(ranking.metrics(scored, keys), *DOUBLES).join(F.broadcast(subsets), "mask")
 
 
-@query("SELECT mask, CAST(bit_count(mask) AS INT) AS size FROM range(1, 32) t(mask) WHERE bit_count(mask) IN (2, 3)")
+@query("""WITH h AS (SELECT ligand_id, CAST(sum(1 << receptor_id) AS BIGINT) AS have FROM pair_scores GROUP BY ligand_id)
+SELECT mask, CAST(bit_count(mask) AS INT) AS size, (SELECT count(*) FROM h WHERE have & mask = mask) AS complete FROM range(1, 32) t(mask) WHERE bit_count(mask) IN (2, 3)""")
 def q_k_subsets(v: Views) -> DataFrame:
-    return sub.k_subsets(v.spark, RECEPTORS, (2, 3)).select("mask", "size")
+    """Subsets of two and three receptors, and how many ligands have a score for every member."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("receptor_id").cast("int"))
+    have = v.pair_scores.groupBy("ligand_id").agg(F.sum(bit).alias("have")).groupBy("have").agg(F.count(F.lit(1)).alias("n"))
+    subsets = sub.k_subsets(v.spark, RECEPTORS, (2, 3)).select("mask", "size")
+    held = subsets.join(F.broadcast(have), F.col("have").bitwiseAND(F.col("mask")) == F.col("mask"), "left")  # have: at most one row a subset
+    return held.groupBy("mask", "size").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("complete"))
 
 
 @query(metric_sql("mask, split", "ss", "mask, split, roc_auc, average_precision, bedroc, ef10", SUB.format(sizes="1, 3, 5", how="min")))
@@ -525,12 +531,14 @@ def q_ward_clusters(v: Views) -> DataFrame:
 # --- resumption ---------------------------------------------------------------------------------------------
 
 
-@query("SELECT ligand_id FROM ligands WHERE ligand_id NOT IN (SELECT ligand_id FROM poses WHERE status = 'ok' AND seed = 0 AND receptor_id = 0)")
+@query("SELECT ligand_id, r_regionkey AS receptor_id, seed FROM ligands, region, range(0, 3) t(seed) EXCEPT SELECT ligand_id, receptor_id, seed FROM poses WHERE status = 'ok'")
 def q_resume_pending(v: Views) -> DataFrame:
+    """Cells of ligand, receptor and replicate without a successful pose."""
     from orrery.streaming.resume import pending
 
-    done = v.poses.filter("seed = 0 and receptor_id = 0")
-    return pending(v.ligands.select("ligand_id"), done, "ligand_id")
+    region = v.table("region").select(F.col("r_regionkey").alias("receptor_id"))
+    work = rel.expected_grid(v.ligands.select("ligand_id"), region).withColumn("seed", F.explode(F.lit(list(SEEDS))))
+    return pending(work, v.poses, ["ligand_id", "receptor_id", "seed"])
 
 
 @query("SELECT r_regionkey AS receptor_id, (SELECT count(DISTINCT ligand_id) FROM pair_scores WHERE receptor_id = r_regionkey) = (SELECT count(*) FROM ligands) AS complete FROM region")

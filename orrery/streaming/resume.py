@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def pending(work: DataFrame, results: DataFrame, key: str) -> DataFrame:
+def pending(work: DataFrame, results: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Keys of ``work`` without a successful result."""
-    return work.join(results.filter("status = 'ok'").select(key).distinct(), key, "left_anti")
+    keys = [key] if isinstance(key, str) else list(key)
+    return work.join(results.filter("status = 'ok'").select(*keys).distinct(), keys, "left_anti")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -47,3 +48,26 @@ def stream_results(stream: DataFrame, path: str, checkpoint: str, keys: Sequence
 def windowed_progress(stream: DataFrame, time: str, key: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Rows and mean value per key and time window, closed once the watermark has passed."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the session's shared checkpoint folder."""
+    import uuid
+
+    from orrery.operators.folds import checkpointed
+
+    checkpointed(spark.range(1))  # sets a folder where there is none
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def chunk_signatures(df: DataFrame, id_: str, content: str, size: int, command: str, width: int = 1 << 16) -> DataFrame:
+    """``chunk, signature``: chunks of ``size`` rows in the order of a whole-numbered id, signed by command, ids and content.
+
+    Rows are numbered in ranges of ids that many tasks share, so no task sees them all.
+    """
+    from orrery.operators.order import spread
+
+    at = spread(df.select(id_, content), [], F.floor(F.col(id_) / width), [id_]).withColumn("chunk", F.floor((F.col("__to_n") - 1) / size).cast("long"))
+    each = F.struct(F.col(id_).alias("i"), F.concat_ws(":", F.col(id_).cast("string"), content).alias("t"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["t"]), ",")
+    return at.groupBy("chunk").agg(F.sha2(F.concat(F.lit(f"{command}|"), listed), 256).alias("signature"))
