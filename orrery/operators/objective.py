@@ -44,13 +44,14 @@ def contexts(folds: int) -> list[tuple[int, int]]:
 
 
 def context_rows(scores: DataFrame, folds: int, keys: Sequence[str] = ()) -> DataFrame:
-    """``*keys, a, b, part, receptor_id, ligand_id, label, score`` of rows with a ``fold``, scaled by the context's training rows."""
+    """``*keys, a, b, part, receptor_id, ligand_id, label, score`` of rows with a ``fold``, scaled by the context's training rows to billionths."""
     every = F.broadcast(scores.sparkSession.createDataFrame(contexts(folds), "a int, b int"))
     inside = (F.col("fold") != F.col("a")) & (F.col("fold") != F.col("b"))
     per = scores.groupBy(*keys, "receptor_id", "fold").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     bounds = per.join(every, inside).groupBy(*keys, "a", "b", "receptor_id").agg(F.min("lo").alias("lower"), F.max("hi").alias("upper"))
     width = F.col("upper") - F.col("lower")
-    scaled = F.when(width == 0, 0.0).otherwise(F.round((F.col("score") - F.col("lower")) / width, 9))
+    # Whole billionths: sums over a subset stay exact, so equal ensembles tie however they are added up.
+    scaled = F.when(width == 0, 0).otherwise(F.round((F.col("score") - F.col("lower")) / width * 1e9).cast("long"))
     rows = scores.join(F.broadcast(bounds), [*keys, "receptor_id"])  # a row for each scorer and context
     part = F.when(inside, FULL).otherwise(F.col("fold")).alias("part")
     return rows.select(*keys, "a", "b", part, "receptor_id", "ligand_id", "label", scaled.alias("score"))

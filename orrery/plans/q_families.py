@@ -175,7 +175,7 @@ _TRIAL = f"""SELECT o, cid, any_value(cf.family) AS family, any_value(cf.target)
 FAMILY_SQL = f"""fo AS (SELECT *, CAST((row_number() OVER (PARTITION BY receptor_id, label ORDER BY sha256('3|' || ligand_id), ligand_id) - 1) % {K} AS INT) AS fold FROM scores),
 cx AS (SELECT * FROM (VALUES {", ".join(map(str, obj.contexts(K)))}) t(xa, xb)), ro AS (SELECT * FROM (VALUES {", ".join(map(str, ROLES))}) t(o, i, xa, xb)),
 cb AS (SELECT xa, xb, receptor_id, min(score) AS lo, max(score) AS hi FROM fo, cx WHERE fold <> xa AND fold <> xb GROUP BY ALL),
-cr AS (SELECT xa, xb, CASE WHEN fold = xa OR fold = xb THEN fold ELSE -1 END AS part, fo.receptor_id, ligand_id, label, CASE WHEN hi = lo THEN 0 ELSE round((score - lo) / (hi - lo), 9) END AS score FROM fo JOIN cb ON cb.receptor_id = fo.receptor_id),
+cr AS (SELECT xa, xb, CASE WHEN fold = xa OR fold = xb THEN fold ELSE -1 END AS part, fo.receptor_id, ligand_id, label, CASE WHEN hi = lo THEN 0 ELSE CAST(round((score - lo) / (hi - lo) * 1E9) AS BIGINT) END AS score FROM fo JOIN cb ON cb.receptor_id = fo.receptor_id),
 {ensembles_sql("xa, xb, part", "cr", "1, 2, 3, 5")}, tr AS (SELECT * FROM cr WHERE part = -1), mt AS (SELECT * FROM em WHERE part = -1), {terms_sql("xa, xb", "tr", "mt")},
 u2 AS (SELECT xa, xb, member, {scaled_sql("xa, xb", ["utility", "coverage", "exposure"])} FROM u1), b2 AS (SELECT xa, xb, x, y, {scaled_sql("xa, xb", PAIR_TERMS, SIGNED_TERMS)} FROM b1),
 st AS (SELECT o, member, round(avg(utility) - stddev_pop(utility), 9) AS stability FROM ro JOIN u2 USING (xa, xb) WHERE i <> o GROUP BY o, member), s2 AS (SELECT o, member, {scaled_sql("o", ["stability"])} FROM st),
