@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side is broadcast only if its rows, counted and weighed, hold no more bytes than this.
 BROADCAST_BYTES = 32 << 20
+#: Copies of a row that one task makes at a time.
+COPIES = 1 << 16
 #: Texts that a Python worker holds at a time.
 TEXTS_AT_ONCE = 1024
 
@@ -48,6 +50,20 @@ def join_small(large: DataFrame, small: DataFrame, on: list[str], how: str, size
     return large.join(F.broadcast(small) if size <= (BROADCAST_BYTES if bound is None else bound) else small, on, how)
 
 
+def numbered_copies(df: DataFrame, n: str, name: str, most: int | None, *keys: str) -> DataFrame:
+    """Each row as often as its column ``n`` (1 at least) says, numbered from 1 in ``name``.
+
+    Copies are made in pieces of ``COPIES``. Where a row has more of them than that (``most``
+    is the largest ``n``), its pieces are dealt to several tasks by ``keys`` and their number.
+    """
+    pieces = df.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / COPIES))))
+    if most is not None and most > COPIES:
+        # With a number, as adaptive execution would join such small pieces again.
+        pieces = pieces.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "__piece")
+    first = F.col("__piece") * COPIES + 1
+    return pieces.withColumn(name, F.explode(F.sequence(first, F.least(F.col(n).cast("long"), first + (COPIES - 1))))).drop("__piece")
+
+
 def per_text(docs: DataFrame, schema: str, make: Callable[[], Callable[[list], list[tuple]]], *beside: str) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id`` and the columns ``beside``, then what is found in its text.
 

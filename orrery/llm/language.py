@@ -248,11 +248,11 @@ def labelled_sample(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> dict[str,
     ``LANGS``, are then looked up where the texts are read.
     """
     usable = docs.filter((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    common = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).select("lang")
+    usable = usable.join(F.broadcast(common), "lang", "left_semi")  # at most LANGS rows
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).drop("n")
-    ids = chosen.limit(per_lang * LANGS + 1).collect()
-    if len(ids) > per_lang * LANGS:
-        raise ValueError(f"more than {LANGS} languages to learn")
+    ids = chosen.collect()  # at most ``per_lang`` times ``LANGS``
     if not ids:
         return {}
     known = docs.sparkSession.createDataFrame(ids, chosen.schema).distinct()
@@ -270,7 +270,9 @@ def predict_language(spark: SparkSession, docs: DataFrame, per_lang: int = DOCS_
     every text is parsed whole. ``und``: null, no letter, or nothing could be learned (as
     from an empty table). Ties go to the language that sorts first. Repeated rows are learned
     from once and predicted one by one. Rows with a null id are never learned from, count as
-    not held out, and are predicted like others. More than ``LANGS`` languages are refused.
+    not held out, and are predicted like others. Of more than ``LANGS``
+    languages the most frequent ones are learned (of equals those that sort first), so a dirty
+    column of labels costs no more than a clean one.
     """
     model = spark.sparkContext.broadcast(learn(labelled_sample(docs, per_lang)))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from orrery.llm.common import cut, n_words, row_hashes
+from orrery.llm.common import cut, n_words, numbered_copies, row_hashes
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -155,7 +155,7 @@ def mix_decisions(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int
     items = cut(items)
     made = mix_items(items.drop("doc_id"), source_targets(sized, weights, cap), cap, seed)
     made = made.join(items.select("a", "b", "doc_id"), ["a", "b"])
-    each = made.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    each = numbered_copies(made, "n", "__i", items.agg(F.max("n")).first()[0], "a", "b")
     copies = (F.floor(F.col("copies") / F.col("n")) + (F.col("__i") <= F.col("copies") % F.col("n")).cast("long")).cast("int")
     each = each.withColumn("copies", copies)
     return each.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
@@ -173,10 +173,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = SEED) ->
     held = docs.select(a.alias("a"), b.alias("b"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"), row.alias("row"))
     sized = held.select("a", "b", "source", "size")
     items = sized.groupBy("a", "b").agg(F.first("source").alias("source"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    made = mix_items(cut(items), source_targets(sized, weights, cap), cap, seed).filter("copies > 0").select("a", "b", "copies")
+    items = cut(items)
+    made = mix_items(items, source_targets(sized, weights, cap), cap, seed).filter("copies > 0").select("a", "b", "copies")
+    most = items.agg(F.max("n")).first()[0]  # a row has at most about ``cap`` times its size, so so many copies and a few
     # One of equal rows stands for all; they meet on the map side first.
     one = held.groupBy("a", "b").agg(F.first("row").alias("row"))
-    joined = one.join(made, ["a", "b"]).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    joined = numbered_copies(one.join(made, ["a", "b"]), "copies", "__copy", most and int(most * max(1, cap)), "a", "b")
     return joined.select(*[F.col("row")[c].alias(c) for c in fields])
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from orrery.llm.common import cut, n_bytes, row_hashes, without
+from orrery.llm.common import cut, n_bytes, numbered_copies, row_hashes, without
 
 BUCKET_BYTES = 8 << 20
 BUCKET_ROWS = 768
@@ -80,7 +80,8 @@ def external_shuffle(
     counts = cut(held.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")))
     if (counts.agg(F.max("__n")).first()[0] or 0) > CROWDED * bucket_rows:
         one = held.groupBy("__a", "__b").agg(F.first("__row").alias("__row"), F.count(F.lit(1)).alias("__many"))
-        held = one.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__many")))).drop("__many")
+        most = one.agg(F.max("__many")).first()[0]
+        held = numbered_copies(one, "__many", "__nth", most, "__a", "__b").drop("__many")
         held = held.withColumn("__bucket", scattered(F.col("__nth")))
         counts = cut(held.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")))
 

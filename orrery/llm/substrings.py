@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import n_bytes
+from orrery.llm.common import n_bytes, numbered_copies
 
 LENGTH, GRAM, SHALLOW = 50, 16, 24
 #: Anchors that one bucket sorts, and bytes of text that one deal holds, on average.
@@ -539,7 +539,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
         F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.col("doc_id").isNull().alias("none"), F.lit(1).cast("long").alias("many"),
         F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    if (keyed.groupBy("row").count().agg(F.max("count")).first()[0] or 0) > CROWD:
+    most = keyed.groupBy("row").count().agg(F.max("count")).first()[0] or 0
+    if most > CROWD:
         keyed = keyed.groupBy("row", "id", "none").agg(F.sum("many").alias("many"), F.first("text").alias("text"))
         keyed = keyed.select("id", "none", "many", "row", "text")
     dealt = keyed.mapInPandas(pack(deals), PACKED_SCHEMA).repartition("deal")
@@ -549,7 +550,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
     stretches = beside(tags).applyInPandas(find_stretches(buckets, length), STRETCH_SCHEMA)
     spans = stretches.groupBy("bucket").applyInPandas(judge(length, deals), SPAN_SCHEMA)
     out = beside(spans).applyInPandas(_finish(keep_text), RESULT_SCHEMA)
-    out = out.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many"))))
+    out = numbered_copies(out, "many", "__nth", most, "id")
     return out.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), *[c for c in out.columns if c not in ("id", "none", "many", "__nth")])
 
 

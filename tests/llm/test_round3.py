@@ -302,3 +302,43 @@ def test_whitening_without_variance_or_rows(spark):
     flat = [(i, [float(i), 2.0 * i, 0.0], 1) for i in range(9)]  # one direction only
     out = whitening.query(spark.createDataFrame(flat, VECTORS)).collect()
     assert {r["component"] for r in out} == {1} and len(out) == 9 and abs(out[0]["explained"] - 1) < 1e-12
+
+
+# copies and labels -------------------------------------------------------------------------
+
+
+def test_copies_are_made_in_pieces_by_several_tasks(spark, monkeypatch):
+    from orrery.llm import common
+
+    monkeypatch.setattr(common, "COPIES", 100)
+    df = spark.createDataFrame([("a", 1), ("b", 100), ("c", 101), ("d", 5000)], "k string, n long")
+    out = common.numbered_copies(df, "n", "i", 5000, "k").withColumn("task", F.spark_partition_id())
+    rows = out.groupBy("k").agg(F.count("i").alias("c"), F.count_distinct("i").alias("d"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.count_distinct("task").alias("tasks")).collect()
+    assert {(r["k"], r["c"], r["d"], r["lo"], r["hi"]) for r in rows} == {("a", 1, 1, 1, 1), ("b", 100, 100, 1, 100), ("c", 101, 101, 1, 101), ("d", 5000, 5000, 1, 5000)}
+    assert {r["k"]: r["tasks"] for r in rows}["d"] > 1
+
+
+def test_mix_and_shards_of_many_equal_rows_in_pieces(spark, monkeypatch):
+    from orrery.llm import common, mixing, sharding
+
+    schema = "doc_id long, text string, source string"
+    df = spark.range(20_000).selectExpr("cast(1 as long) doc_id", "'the same few words' text", "'a' source").unionByName(spark.createDataFrame([(2, "another one", "b"), (3, None, "c")], schema))
+    whole = sorted(map(tuple, mixing.query(df).collect()), key=repr)
+    shards = sharding.external_shuffle(df, 7, bucket_rows=500).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("hi")).collect()
+    monkeypatch.setattr(common, "COPIES", 64)
+    assert sorted(map(tuple, mixing.query(df).collect()), key=repr) == whole and len(whole) == 20_002
+    again = sharding.external_shuffle(df, 7, bucket_rows=500).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("hi")).collect()
+    assert sorted(again) == sorted(shards) and all(r["n"] == r["d"] == r["hi"] + 1 for r in again)
+    taken = sum(r[4] for r in whole)
+    assert abs(mixing.mix(df).select(common.n_words(F.col("text")).alias("w")).agg(F.sum("w")).first()[0] - taken) <= 4 * 3
+
+
+def test_dirty_labels_are_learned_by_frequency(spark, monkeypatch):
+    from orrery.llm import language
+
+    monkeypatch.setattr(language, "LANGS", 2)
+    rows = [(i, "the quick brown fox jumps over it", "en") for i in range(40)] + [(100 + i, "der schnelle braune fuchs springt", "de") for i in range(40)]
+    rows += [(1000 + i, "zzz", f"dirt{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language.labelled_sample(df)) == {"en", "de"}
+    assert {r["lang_pred"] for r in language.query(spark, df.filter("lang = 'en'")).collect()} == {"en"}
