@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.plans import q_core, q_delta_gate, q_families, q_gaps, q_nested, q_release, q_repeats, q_rows, q_select, q_stats  # noqa: F401  importing registers
+from orrery.plans import q_audit, q_core, q_delta_gate, q_families, q_gaps, q_nested, q_release, q_repeats, q_rows, q_select, q_stats  # noqa: F401  importing registers
 from orrery.plans.registry import ORACLES, QUERIES
 from orrery.plans.views import Views
 

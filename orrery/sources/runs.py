@@ -66,7 +66,7 @@ def package(path: str, root: str, required: Sequence[str], rows: Mapping[str, in
 
     ``rows`` gives the data rows that a CSV must have.
     """
-    from orrery.sources.tables import write_bundle
+    from orrery.sources.tables import bundle
 
     wrong = []
     for name in sorted(set(required)):
@@ -77,7 +77,7 @@ def package(path: str, root: str, required: Sequence[str], rows: Mapping[str, in
             wrong.append(f"{name}: {n} rows of {rows[name]}")
     if wrong:
         raise ValueError("; ".join(wrong))
-    write_bundle({name: Path(root, name).read_bytes() for name in required}, path)
+    bundle(path, {name: (Path(root, name).stat().st_size, lambda name=name: Path(root, name).open("rb")) for name in required})
     return sorted(set(required))
 
 
@@ -87,5 +87,8 @@ def markdown_report(title: str, facts: Mapping[str, object], table: DataFrame |
     if table is not None:
         cell = lambda x: "" if x is None else f"{x:.6g}" if isinstance(x, float) else str(x).replace("|", "\\|")
         lines += ["", "| " + " | ".join(table.columns) + " |", "|" + "---|" * len(table.columns)]
-        lines += ["| " + " | ".join(map(cell, r)) + " |" for r in table.limit(most).collect()]
+        rows = table.limit(most + 1).collect()
+        lines += ["| " + " | ".join(map(cell, r)) + " |" for r in rows[:most]]
+        if len(rows) > most:
+            lines += ["", f"Only the first {most} rows are shown."]
     return "\n".join(lines) + "\n"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,19 +99,28 @@ def file_manifest(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")).orderBy("path")
 
 
-def write_bundle(members: dict[str, bytes], path: str) -> str:
-    """A tar.gz that depends on its members alone (sorted names, no times or owners); its SHA-256."""
+def bundle(path: str, members: Mapping[str, tuple[int, Callable]]) -> str:
+    """A tar.gz that depends on its members alone (sorted names, no times or owners); its SHA-256.
+
+    ``members`` has the size of each and what opens it. They are read one after the other, so
+    that none has to fit in memory.
+    """
     import gzip
     import hashlib
-    import io
     import tarfile
 
-    raw = io.BytesIO()
-    with tarfile.open(fileobj=raw, mode="w", format=tarfile.USTAR_FORMAT) as tar:
+    with open(path, "wb") as out, gzip.GzipFile(filename="", fileobj=out, mode="wb", mtime=0) as packed, tarfile.open(fileobj=packed, mode="w", format=tarfile.USTAR_FORMAT) as tar:
         for name in sorted(members):
             info = tarfile.TarInfo(name)
-            info.size = len(members[name])
-            tar.addfile(info, io.BytesIO(members[name]))
-    data = gzip.compress(raw.getvalue(), mtime=0)
-    Path(path).write_bytes(data)
-    return hashlib.sha256(data).hexdigest()
+            info.size, opened = members[name]
+            with opened() as data:
+                tar.addfile(info, data)
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def write_bundle(members: dict[str, bytes], path: str) -> str:
+    """As ``bundle``, of members that are at hand."""
+    import io
+
+    return bundle(path, {name: (len(data), lambda data=data: io.BytesIO(data)) for name, data in members.items()})

@@ -71,3 +71,32 @@ def chunk_signatures(df: DataFrame, id_: str, content: str, size: int, command:
     each = F.struct(F.col(id_).alias("i"), F.concat_ws(":", F.col(id_).cast("string"), content).alias("t"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["t"]), ",")
     return at.groupBy("chunk").agg(F.sha2(F.concat(F.lit(f"{command}|"), listed), 256).alias("signature"))
+
+
+class Schedule:
+    """Steps of a run, and every how many it reports and saves; each must divide the next."""
+
+    def __init__(self, steps: int, report: int, checkpoint: int):
+        if min(steps, report, checkpoint) < 1:
+            raise ValueError("steps and intervals must be positive")
+        if checkpoint % report or steps % checkpoint:
+            raise ValueError("reports must divide checkpoints, and these the steps")
+        self.steps, self.report, self.checkpoint = steps, report, checkpoint
+
+
+def resume_points(progress: DataFrame, done: str, schedule: Schedule) -> DataFrame:
+    """``progress`` with ``state, resume_at, steps_left, reports``: runs go on from their last whole checkpoint.
+
+    A run that claims more steps than the schedule has is not to be resumed; null or negative
+    progress restarts.
+    """
+    at = F.greatest(F.coalesce(F.col(done), F.lit(0)), F.lit(0))
+    saved = (F.floor(at / schedule.checkpoint) * schedule.checkpoint).cast("int")
+    state = F.when(at > schedule.steps, "beyond_schedule").when(at == schedule.steps, "complete").when(saved == 0, "restart").otherwise("resume")
+    inside = at <= schedule.steps
+    return progress.withColumns({
+        "state": state,
+        "resume_at": F.when(inside, saved),
+        "steps_left": F.when(inside, F.lit(schedule.steps) - saved),
+        "reports": F.when(inside, F.floor(at / schedule.report).cast("int")),
+    })
