@@ -148,9 +148,12 @@ class Views:
     @cached_property
     def scores(self) -> DataFrame:
         """Scores of the ligands that have one for every receptor, with their labels."""
+        from orrery.operators.folds import checkpointed
+
         n = F.count(F.lit(1)).over(Window.partitionBy("ligand_id"))
         full = self.pair_scores.withColumn("n", n).filter(F.col("n") == len(RECEPTORS)).drop("n")
-        return full.join(self.ligands.select("ligand_id", "label", "split", "group_id"), "ligand_id")
+        # Written once: every branch of a query reads it, and few would be pruned to less.
+        return checkpointed(full.join(self.ligands.select("ligand_id", "label", "split", "group_id"), "ligand_id"))
 
     @cached_property
     def wide(self) -> DataFrame:
