@@ -21,7 +21,7 @@ from orrery.operators.order import score_piece
 from orrery.operators.resample import interval, numbered
 
 #: Attempts in a block; draws that a task makes at a time; rows of a piece.
-BLOCK, DRAWS, PIECE_ROWS = 250, 1 << 20, 2048
+BLOCK, DRAWS, PIECE_ROWS = 250, 1 << 16, 2048
 #: Totals by key and attempt go to all tasks; so many at a time.
 TOTALS = 1 << 20
 ALPHA = 20.0
@@ -39,9 +39,13 @@ def _drawn(seed: int):
             for stratum, n, piece, block in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 size, mark = min(DRAWS, n - piece * DRAWS), zlib.crc32(stratum.encode())
                 drawn = [np.random.default_rng([seed, mark, piece, block * BLOCK + j]).integers(0, n, size) for j in range(BLOCK)]
-                at, inverse = np.unique(np.concatenate(drawn), return_inverse=True)
-                counts = np.zeros((len(at), BLOCK), np.uint16)
-                np.add.at(counts, (inverse, np.repeat(np.arange(BLOCK), size)), 1)
+                at, inverse = np.unique(np.concatenate(drawn), return_inverse=True) if n > DRAWS else (np.arange(n), np.concatenate(drawn))
+                flat = inverse.reshape(BLOCK, size) * BLOCK + np.arange(BLOCK)[:, None]
+                counts = np.bincount(flat.ravel(), minlength=len(at) * BLOCK).reshape(-1, BLOCK)
+                if counts.max() > 255:
+                    raise OverflowError("a unit was drawn more often than a byte holds")
+                held = counts.any(axis=1)
+                at, counts = at[held], counts[held].astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([stratum] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(np.full(len(at), block), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())],
                     names=["stratum", "at", "block", "counts"],
@@ -62,7 +66,7 @@ def unit_counts(units: DataFrame, unit: str, blocks: Sequence[int], seed: int, s
 
 
 def _weights(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BLOCK).astype(np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BLOCK).astype(np.int64)
 
 
 def _sum_units(batches: Iterator) -> Iterator:

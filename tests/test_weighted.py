@@ -43,7 +43,7 @@ def test_weights_agree_with_copied_rows(spark, monkeypatch, unit, strata, piece)
     units = df.select(F.col(unit).alias("unit"), *strata).distinct()
     counts = defaultdict(lambda: np.zeros(weighted.BLOCK, int))
     for r in weighted.unit_counts(units, "unit", [0], 5, strata).collect():
-        counts[r["unit"]] = counts[r["unit"]] + np.frombuffer(bytes(r["counts"]), np.uint16)
+        counts[r["unit"]] = counts[r["unit"]] + np.frombuffer(bytes(r["counts"]), np.uint8)
     n_units = units.count()
     assert (sum(counts.values()) == n_units).all()  # every attempt draws as many as there are
     if strata:
@@ -59,6 +59,16 @@ def test_weights_agree_with_copied_rows(spark, monkeypatch, unit, strata, piece)
         assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_draws_in_several_parts_add_up(spark, monkeypatch):
+    monkeypatch.setattr(weighted, "DRAWS", 16)
+    df = spark.createDataFrame([(i,) for i in range(50)], "unit long")
+    total = np.zeros(weighted.BLOCK, int)
+    for r in weighted.unit_counts(df, "unit", [3], 9).collect():
+        assert r["block"] == 3 and 0 <= r["unit"] < 50
+        total += np.frombuffer(bytes(r["counts"]), np.uint8)
+    assert (total == 50).all()
+
+
 def test_draws_repeat_and_differ_by_seed(spark):
     df = spark.createDataFrame(scores(), SCHEMA)
     one = weighted.bootstrap(df, ["k"], "bedroc", 300, 7).orderBy("k").collect()
