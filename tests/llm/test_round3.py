@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from orrery.llm import negatives, queries, simhash, whitening
+from orrery.llm import common, neardup, negatives, queries, simhash, whitening
 
 FOLDER = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -342,3 +342,42 @@ def test_dirty_labels_are_learned_by_frequency(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert set(language.labelled_sample(df)) == {"en", "de"}
     assert {r["lang_pred"] for r in language.query(spark, df.filter("lang = 'en'")).collect()} == {"en"}
+
+
+# --- near-duplicates: groups of near copies, and lists that outgrow a broadcast ------------------------------
+
+
+def near_copies(n=300):
+    base = [f"w{i}" for i in range(60)]
+    return [(i, " ".join([*base[: i % 50], f"x{i}", *base[i % 50 + 1 :]])) for i in range(n)]
+
+
+def test_near_copies_are_chained_with_few_links(spark, monkeypatch):
+    """A class meets the hub of its buckets once, not once a bucket."""
+    seen, plain = [], neardup.components
+
+    def counted(edges):
+        edges = edges.distinct()
+        seen.append(edges.count())
+        return plain(edges)
+
+    monkeypatch.setattr(neardup, "components", counted)
+    rows = near_copies()
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in found} == {0}
+    assert seen[0] <= 3 * len(rows)
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_long_lists_of_keys_are_not_broadcast(spark, how):
+    rows = spark.range(5000).select(F.when(F.col("id") % 100 != 3, F.col("id")).alias("k"), F.lit("x").alias("t"))
+    listed = spark.range(0, 5000, 7).select(F.col("id").alias("k"))
+    one, two = (common.join_listed(rows, listed, "k", how, 1 << 10, bound) for bound in (None, 0))
+    assert sorted(one.collect(), key=str) == sorted(two.collect(), key=str)
+    held = neardup.drop_near_duplicates(spark.createDataFrame(near_copies(40), "doc_id long, text string"))
+    common_bytes, common.LISTED_BYTES = common.LISTED_BYTES, 0
+    try:
+        again = neardup.drop_near_duplicates(spark.createDataFrame(near_copies(40), "doc_id long, text string"))
+        assert held.collect() == again.collect()
+    finally:
+        common.LISTED_BYTES = common_bytes
