@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import anneal, gates, geometry, pocket, relational
+from orrery.operators import anneal, gates, geometry, pocket, ranking, relational
 from orrery.operators import objective as obj
 from orrery.operators import subsets as sub
 from orrery.streaming import repeats, resume
@@ -239,3 +239,20 @@ def test_the_fallback_is_selected_where_nothing_passes(spark):
     one = lambda rows: {r["selected"] for r in gates.with_fallback(spark.createDataFrame(rows, schema), "m", "ok", "merit", "base").collect()}
     assert one([("a", False, 9.0), ("b", False, 1.0)]) == {"base"}
     assert one([("a", False, 9.0), ("b", True, 1.0), ("c", True, 2.0), ("d", True, 2.0), ("e", None, 7.0)]) == {"c"}
+
+
+def test_subsets_are_made_where_a_ligand_is(spark, capsys):
+    """No row of a subset is shuffled, and packed keys give what plain ones give."""
+    rows = [(a, b, part, r, i, "active" if i % 3 == 0 else "decoy", (i * 37 + r * 11 + a) % 50) for a, b, part in ((-1, -1, -1), (0, 1, 1), (0, 1, -1)) for r in range(3) for i in range(20) if (r, i) != (2, 7)]
+    df = spark.createDataFrame(rows, "a int, b int, part int, receptor_id int, ligand_id long, label string, score long")
+    made = obj.ensemble_scores(df, sub.k_subsets(spark, (0, 1, 2)), ["a", "b", "part"])
+    made.explain()
+    assert "hashpartitioning" in (plan := capsys.readouterr().out) and not any("mask" in x for x in plan.split("\n") if "Exchange" in x)
+    plain = {(a, b, p, i, 1 << r): s for a, b, p, r, i, _, s in rows}
+    for x in made.collect():
+        held = [s for r in range(3) if x.mask >> r & 1 and (s := plain.get((x.a, x.b, x.part, x.ligand_id, 1 << r))) is not None]
+        assert x.score == (min(held) if x.how == "min" else round(sum(held) / len(held), 9))
+    keys = ["a", "b", "part", "how", "mask"]
+    one, two = ranking.metrics(made, keys), obj.ensemble_metrics(made, keys)
+    assert one.schema.names == two.schema.names and one.dtypes == two.dtypes
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
