@@ -20,15 +20,19 @@ from pyspark.sql import Window
 from orrery.operators.order import score_piece
 from orrery.operators.resample import interval, numbered
 
-#: Attempts in a block; draws that a task makes at a time; rows of a piece.
+#: Attempts in a block; units whose draws a task makes at a time; rows of a piece.
 BLOCK, DRAWS, PIECE_ROWS = 250, 1 << 16, 2048
 #: Totals by key and attempt go to all tasks; so many at a time.
 TOTALS = 1 << 20
 ALPHA = 20.0
 
 
-def _drawn(seed: int):
-    """Counts of one piece of the draws, by position: for each attempt a generator of its own."""
+def _drawn(seed: int, most: int):
+    """Counts of a piece of the units, by position: for each attempt a generator of its own.
+
+    Where units are more than a piece, an attempt's draws are first shared out among the pieces
+    by a multinomial law, alike in every task; so each unit is in one piece only.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import zlib
@@ -37,15 +41,18 @@ def _drawn(seed: int):
 
         for batch in batches:
             for stratum, n, piece, block in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                size, mark = min(DRAWS, n - piece * DRAWS), zlib.crc32(stratum.encode())
-                drawn = [np.random.default_rng([seed, mark, piece, block * BLOCK + j]).integers(0, n, size) for j in range(BLOCK)]
-                at, inverse = np.unique(np.concatenate(drawn), return_inverse=True) if n > DRAWS else (np.arange(n), np.concatenate(drawn))
-                flat = inverse.reshape(BLOCK, size) * BLOCK + np.arange(BLOCK)[:, None]
-                counts = np.bincount(flat.ravel(), minlength=len(at) * BLOCK).reshape(-1, BLOCK)
-                if counts.max() > 255:
-                    raise OverflowError("a unit was drawn more often than a byte holds")
-                held = counts.any(axis=1)
-                at, counts = at[held], counts[held].astype(np.uint8)
+                first, mark = piece * most, zlib.crc32(stratum.encode())
+                size, sizes = min(most, n - first), np.minimum(most, n - np.arange(0, n, most))
+                counts = np.empty((BLOCK, size), np.uint8)
+                for j in range(BLOCK):
+                    attempt = block * BLOCK + j
+                    share = n if n <= most else np.random.default_rng([seed, mark, len(sizes), attempt]).multinomial(n, sizes / n)[piece]
+                    times = np.bincount(np.random.default_rng([seed, mark, piece, attempt]).integers(0, size, share), minlength=size)
+                    if times.max() > 255:
+                        raise OverflowError("a unit was drawn more often than a byte holds")
+                    counts[j] = times
+                held = counts.any(axis=0)
+                at, counts = first + np.flatnonzero(held), np.ascontiguousarray(counts.T[held])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([stratum] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(np.full(len(at), block), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())],
                     names=["stratum", "at", "block", "counts"],
@@ -61,38 +68,67 @@ def unit_counts(units: DataFrame, unit: str, blocks: Sequence[int], seed: int, s
     sizes = every.groupBy("stratum").agg(F.max("__n").alias("n"))
     pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / DRAWS)))
     asked = sizes.withColumn("piece", pieces).select("stratum", "n", "piece", F.explode(F.lit(list(blocks))).alias("block"))
-    counts = asked.repartition("stratum", "piece", "block").mapInArrow(_drawn(seed), "stratum string, at long, block int, counts binary")
+    counts = asked.repartition("stratum", "piece", "block").mapInArrow(_drawn(seed, DRAWS), "stratum string, at long, block int, counts binary")
     return counts.join(every.drop("__n"), ["stratum", "at"]).select(unit, "block", "counts")
 
 
-def _weights(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BLOCK).astype(np.int64)
+def _counts(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BLOCK)
+
+
+def _add_sorted(out: np.ndarray, to: np.ndarray, w: np.ndarray) -> None:
+    """Adds each row of ``w`` to the row ``to`` (never falling) of ``out``."""
+    if len(to):
+        first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+        out[to[first]] = np.add.reduceat(w, first, axis=0, dtype=out.dtype)
+
+
+def _whole(w: np.ndarray) -> type:
+    """What sums of bytes along ``w`` fit in."""
+    return np.int32 if len(w) < 1 << 23 else np.int64
+
+
+def _stretches(w: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each place ``at`` (rising) the sum of the rows of ``w`` before it."""
+    kind = _whole(w)
+    if not len(at):
+        return np.zeros((0, BLOCK), kind)
+    out = np.zeros((len(at), BLOCK), kind)
+    if at[0]:
+        out[0] = w[: at[0]].sum(axis=0, dtype=kind)
+    if len(at) > 1:
+        out[1:] = np.add.reduceat(w[: at[-1]], at[:-1], axis=0, dtype=kind)
+    return np.cumsum(out, axis=0, dtype=kind)
 
 
 def _sum_units(batches: Iterator) -> Iterator:
-    """Totals by key and attempt of batches (key, n, m, block, counts)."""
+    """Totals by key and attempt of batches (key, n, block, counts)."""
     import pyarrow as pa
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, block = batch.column(0).to_pylist(), batch.column(3).to_pylist()
-        w, n, m = _weights(batch.column(4)), batch.column(1).to_numpy(), batch.column(2).to_numpy()
         places: dict = {}
-        where = np.array([places.setdefault(k, len(places)) for k in zip(key, block, strict=True)])
-        sums = np.zeros((2, len(places), BLOCK), np.int64)
-        np.add.at(sums[0], where, w * n[:, None])
-        np.add.at(sums[1], where, w * m[:, None])
+        where = np.array([places.setdefault(k, len(places)) for k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)])
+        order = np.argsort(where, kind="stable")
+        w, n = _counts(batch.column(3))[order], batch.column(1).to_numpy()[order]
+        sums = np.zeros((len(places), BLOCK), np.int64)
+        _add_sorted(sums, where[order], w if (n == 1).all() else w * n[:, None])
         attempts = np.concatenate([b * BLOCK + np.arange(BLOCK) for _, b in places])
         keys = [k for k, _ in places for _ in range(BLOCK)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(attempts, pa.int64()), pa.array(sums[0].ravel()), pa.array(sums[1].ravel())], names=["key", "attempt", "n", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(attempts, pa.int64()), pa.array(sums.ravel())], names=["key", "attempt", "n"])
 
 
 PIECE_SCHEMA = "key string, block int, piece long, w binary, a binary, s binary, l binary"
 
 
-def _local(totals: dict):
-    """What a piece adds, for the attempts of a block: weight, actives, decays of actives from the piece's start, wins inside."""
+#: Sums that each metric is made of; the others are not computed.
+SUMS = {"roc_auc": "l", "bedroc": "s"}
+
+
+def _local(totals: dict, asked: Sequence[str] = tuple(SUMS)):
+    """What a piece adds, for the attempts of a block: weight, actives, decays of actives from the piece's start, wins inside (the last two where asked for)."""
+    sums = {SUMS[m] for m in asked}
 
     def run(key, table):
         import pyarrow as pa
@@ -100,16 +136,28 @@ def _local(totals: dict):
         name, block, piece = (k.as_py() for k in key)
         table = table.sort_by([("score", "ascending"), ("id", "ascending")])
         # A unit's draws may come in several parts; repeats of a row stand together either way.
-        w, active = _weights(table.column("counts")), table.column("active").to_numpy().astype(bool)
+        w, active = _counts(table.column("counts")), table.column("active").to_numpy().astype(bool)
         score, n = table.column("score").to_numpy(), totals[name, block]
-        before = np.cumsum(w, axis=0) - w
-        q = np.exp(-ALPHA / np.maximum(n, 1))
-        decay = (np.exp(-ALPHA * before[active] / np.maximum(n, 1)) * q * (1 - q ** w[active]) / (1 - q)).sum(axis=0)
-        starts = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
-        decoys, actives = (np.add.reduceat(np.where(x[:, None], w, 0), starts, axis=0) for x in (~active, active))
-        after = decoys.sum(axis=0) - np.cumsum(decoys, axis=0)
-        wins = (actives * (after + 0.5 * decoys)).sum(axis=0)
-        row = [name, block, piece, *[x.tobytes() for x in (w.sum(axis=0).astype(float), actives.sum(axis=0).astype(float), decay, wins)]]
+        drawn, mine = w.sum(axis=0, dtype=np.int64), w[active].sum(axis=0, dtype=np.int64)
+        decay = wins = np.zeros(BLOCK)
+        if "s" in sums:
+            at = np.flatnonzero(active)
+            # Weights before each active: sums of the stretches between actives, then along these.
+            before = _stretches(w, at)
+            one = np.maximum(n, 1)
+            q = np.exp(-ALPHA / one)
+            most = int(w[at].max(initial=0)) + 1
+            gained = q * (1 - q ** np.arange(most)[:, None]) / (1 - q)  # by how often a row was drawn
+            decay = (np.exp(before * (-ALPHA / one)) * np.take_along_axis(gained, w[at].astype(np.intp), axis=0)).sum(axis=0)
+        if "l" in sums:
+            starts = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+            group = np.cumsum(np.concatenate([[True], score[1:] != score[:-1]])) - 1
+            decoys = np.zeros((len(starts), BLOCK), _whole(w))
+            _add_sorted(decoys, group[~active], w[~active])
+            upto = np.cumsum(decoys, axis=0, dtype=decoys.dtype)
+            to = group[active]
+            wins = (w[active] * (upto[-1] - upto[to] + 0.5 * decoys[to])).sum(axis=0)
+        row = [name, block, piece, *[x.tobytes() for x in (drawn.astype(float), mine.astype(float), decay, wins)]]
         fields = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
         return pa.table([pa.array([x], t) for x, t in zip(row, fields, strict=True)], names=[f.split()[0] for f in PIECE_SCHEMA.split(", ")])
 
@@ -139,8 +187,8 @@ def _along(key, table):
     return pa.table({"key": [name] * BLOCK, "attempt": attempt, "roc_auc": auc, "bedroc": bedroc})
 
 
-def weighted_metrics(scores: DataFrame, keys: Sequence[str], attempts: range, seed: int, unit: str = "ligand_id", strata: Sequence[str] = (), id_: str = "ligand_id", active: Column | None = None) -> DataFrame:
-    """``*keys, attempt, roc_auc, bedroc`` of the drawn units; NaN where an attempt lacks one of the labels.
+def weighted_metrics(scores: DataFrame, keys: Sequence[str], attempts: range, seed: int, unit: str = "ligand_id", strata: Sequence[str] = (), id_: str = "ligand_id", active: Column | None = None, metrics: Sequence[str] = tuple(SUMS)) -> DataFrame:
+    """``*keys, attempt`` and the ``metrics`` (roc_auc, bedroc) of the drawn units; NaN where an attempt lacks one of the labels.
 
     Lower scores are better, ties go to the smaller id and a row's repeats stand together.
     ``attempts`` starts and ends at multiples of a block. Rows whose score or unit is null are left out.
@@ -163,21 +211,21 @@ def weighted_metrics(scores: DataFrame, keys: Sequence[str], attempts: range, se
     fine = fine.select("key", "fine", F.floor(F.coalesce(F.sum("c").over(upto), F.lit(0)) / PIECE_ROWS).alias("piece"))
     placed = rows.join(fine, ["key", "fine"]).select("key", "piece", "score", "id", "unit", "active")
     units = rows.select("unit", *strata).distinct()
-    per_unit = rows.groupBy("key", "unit").agg(F.count(F.lit(1)).alias("n"), F.sum("active").cast("long").alias("m"))
+    per_unit = rows.groupBy("key", "unit").agg(F.count(F.lit(1)).alias("n"))
     blocks = range(attempts.start // BLOCK, attempts.stop // BLOCK)
     step = max(1, TOTALS // max(1, many * BLOCK))
     out = None
     for at in range(0, len(blocks), step):
         drawn = checkpointed(unit_counts(units, "unit", blocks[at : at + step], seed, strata))
-        sums = per_unit.join(drawn, "unit").select("key", "n", "m", "block", "counts").mapInArrow(_sum_units, "key string, attempt long, n long, m long")
+        sums = per_unit.join(drawn, "unit").select("key", "n", "block", "counts").mapInArrow(_sum_units, "key string, attempt long, n long")
         sums = sums.groupBy("key", "attempt").agg(F.sum("n").alias("n")).collect()  # one number for each key and attempt of these blocks
         totals: dict = {}
         for r in sums:
             totals.setdefault((r["key"], r["attempt"] // BLOCK), np.zeros(BLOCK))[r["attempt"] % BLOCK] = r["n"]
-        parts = placed.join(drawn, "unit").groupBy("key", "block", "piece").applyInArrow(_local(totals), PIECE_SCHEMA)
+        parts = placed.join(drawn, "unit").groupBy("key", "block", "piece").applyInArrow(_local(totals, metrics), PIECE_SCHEMA)
         found = parts.groupBy("key", "block").applyInArrow(_along, "key string, attempt long, roc_auc double, bedroc double")
         out = found if out is None else out.unionByName(found)
-    return out.join(names, "key").select(*keys, "attempt", "roc_auc", "bedroc")
+    return out.join(names, "key").select(*keys, "attempt", *metrics)
 
 
 def valid_draws(scores: DataFrame, keys: Sequence[str], metric: str, iterations: int, seed: int, **how) -> DataFrame:
@@ -192,7 +240,7 @@ def valid_draws(scores: DataFrame, keys: Sequence[str], metric: str, iterations:
     order = Window.partitionBy(*keys).orderBy("attempt")
 
     def made(attempts: range) -> DataFrame:
-        found = weighted_metrics(scores, keys, attempts, seed, **how)
+        found = weighted_metrics(scores, keys, attempts, seed, metrics=[metric], **how)
         return checkpointed(found.select(*keys, "attempt", F.col(metric).alias("value")).filter(~F.isnan("value")))
 
     def short(values: DataFrame) -> int:

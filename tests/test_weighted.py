@@ -100,3 +100,30 @@ def test_every_pair_on_the_same_draws(spark):
     assert set(out) == {("x", "y"), ("x", "z"), ("y", "z")}
     assert out["x", "z"]["mean"] == out["x", "z"]["lower"] == out["x", "z"]["upper"] == 0
     assert out["x", "y"]["mean"] == pytest.approx(-out["y", "z"]["mean"])
+
+
+def test_each_unit_is_in_one_piece_of_the_draws():
+    """Rows of counts are as many as units, however many pieces there are, and an attempt draws as many units as there are."""
+    import pyarrow as pa
+
+    n, most = 1000, 64
+    batch = pa.RecordBatch.from_arrays([pa.array([""] * 16), pa.array([n] * 16), pa.array(range(16)), pa.array([3] * 16)], names=["stratum", "n", "piece", "block"])
+    found = pa.Table.from_batches(weighted._drawn(5, most)(iter([batch])))
+    at = found.column("at").to_pylist()
+    assert len(at) == len(set(at)) and set(at) == set(range(n))
+    counts = np.frombuffer(b"".join(found.column("counts").to_pylist()), np.uint8).reshape(-1, weighted.BLOCK)
+    assert (counts.sum(axis=0, dtype=int) == n).all()
+    assert abs(counts.var() - 1) < 0.05 and abs((counts == 0).mean() - np.exp(-1)) < 0.01
+
+
+def test_a_piece_computes_only_what_its_metric_needs():
+    import pyarrow as pa
+
+    n = 50
+    rng = np.random.default_rng(2)
+    w = rng.integers(0, 4, (n, weighted.BLOCK)).astype(np.uint8)
+    columns = {"score": rng.integers(0, 9, n) / 2, "id": range(n), "active": rng.integers(0, 2, n), "counts": pa.array([c.tobytes() for c in w])}
+    key, totals = (pa.scalar("k"), pa.scalar(0, pa.int32()), pa.scalar(0)), {("k", 0): w.sum(axis=0).astype(float)}
+    both, auc, bedroc = (weighted._local(totals, m)(key, pa.table(columns)) for m in (["roc_auc", "bedroc"], ["roc_auc"], ["bedroc"]))
+    assert auc.column("l") == both.column("l") and bedroc.column("s") == both.column("s")
+    assert not any(auc.column("s")[0].as_py()) and not any(bedroc.column("l")[0].as_py())
