@@ -70,25 +70,28 @@ def nested_bounds(df: DataFrame, folds: int, keys: Sequence[str], score: str = "
 def connected_groups(df: DataFrame, id_: str, links: Sequence[str], checkpoint=None) -> DataFrame:
     """``id, group``: rows that share a value in any of ``links``, directly or through others; the smallest id names a group.
 
-    Values and rows pass the smallest id to each other until nothing changes; a value
-    that many rows share costs one aggregate, not pairs. ``checkpoint`` cuts the plan
-    between rounds (by default Spark's reliable checkpoint where a folder is set).
+    Values that meet in a row pass the smallest id to each other until nothing changes; rows
+    take part only before and after, so a round costs as much as there are values. ``checkpoint``
+    cuts the plan between rounds (by default Spark's reliable checkpoint where a folder is set).
     """
     cut = checkpoint or checkpointed
-    edges = None
-    for c in links:
-        e = df.filter(F.col(c).isNotNull()).select(id_, F.concat_ws(":", F.lit(c), F.col(c).cast("string")).alias("__v"))
-        edges = e if edges is None else edges.unionByName(e)
-    edges = cut(edges)
-    labels = cut(df.select(id_, F.col(id_).alias("group")).distinct())
+    value = lambda c: F.when(F.col(c).isNotNull() & F.col(id_).isNotNull(), F.concat_ws(":", F.lit(c), F.col(c).cast("string")))
+    rows = df.select(id_, F.array_compact(F.array(*[value(c) for c in links])).alias("__vs"))
+    rows = rows.groupBy(id_).agg(F.array_distinct(F.flatten(F.collect_list("__vs"))).alias("__vs"))
+    rows = cut(rows.withColumn("__hub", F.array_min("__vs")))
+    met = rows.select(id_, "__hub", F.explode("__vs").alias("__v"))
+    labels = cut(met.groupBy("__v").agg(F.min(id_).alias("group")))
+    pairs = met.select(F.col("__v").alias("__a"), F.col("__hub").alias("__b")).filter("__a <> __b").distinct()
+    pairs = cut(pairs.union(pairs.select("__b", "__a")))
     while True:
-        by_value = edges.join(labels, id_).groupBy("__v").agg(F.min("group").alias("__g"))
-        seen = edges.join(by_value, "__v").groupBy(id_).agg(F.min("__g").alias("__g"))
-        fresh = labels.join(seen, id_, "left").select(id_, F.col("group").alias("__old"), F.least("group", F.coalesce("__g", "group")).alias("group"))
+        seen = pairs.join(labels, F.col("__b") == F.col("__v")).groupBy("__a").agg(F.min("group").alias("__g"))
+        fresh = labels.join(seen, F.col("__v") == F.col("__a"), "left").select("__v", F.col("group").alias("__old"), F.least("group", "__g").alias("group"))
         fresh = cut(fresh)
-        labels = fresh.select(id_, "group")
+        labels = fresh.select("__v", "group")
         if fresh.filter("group <> __old").isEmpty():
-            return labels
+            break
+    out = rows.join(labels, F.col("__hub") == F.col("__v"), "left")
+    return out.select(id_, F.coalesce("group", id_).alias("group"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

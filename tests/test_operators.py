@@ -279,3 +279,20 @@ def test_nested_bounds_leave_both_folds_out(spark):
     df = spark.createDataFrame([(f, "r", float(f)) for f in range(4)], "fold int, k string, score double")
     got = {(r.o, r.i): (r.lower, r.upper) for r in folds.nested_bounds(df, 4, ["k"]).collect()}
     assert len(got) == 16 and got[0, 3] == (1.0, 2.0) and got[3, 3] == (0.0, 2.0)
+
+
+def test_rounds_of_connected_groups_hold_values_not_rows(spark):
+    from orrery.operators import folds
+
+    sizes = []
+
+    def counted(df):
+        df = df.localCheckpoint()
+        sizes.append(df.count())
+        return df
+
+    rows = [(i, f"s{i % 7}", f"t{i % 7 // 2}") for i in range(400)] + [(400, None, None), (3, "s9", None), (500, "s9", None), (None, "s0", "t1")]
+    df = spark.createDataFrame(rows, "id long, s string, t string")
+    found = {r["id"]: r["group"] for r in folds.connected_groups(df, "id", ["s", "t"], counted).collect()}
+    assert found == {**{i: i % 7 // 2 * 2 for i in range(400)}, 400: 400, 500: 2, None: None}
+    assert max(sizes[1:]) <= 30
