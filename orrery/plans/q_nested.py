@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from orrery.operators import folds, normalize, ranking
+from orrery.operators import objective as obj
 from orrery.operators import subsets as sub
+from orrery.operators.ranksums import billionths, subset_metrics
 from orrery.plans.q_core import DOUBLES, METRICS, rounded
 from orrery.plans.q_select import FOLDS, NAME, folded
 from orrery.plans.registry import query
@@ -24,19 +26,20 @@ fa AS (SELECT *, row_number() OVER (PARTITION BY o, how, bit_count(mask) ORDER B
 ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY inner_mean DESC NULLS LAST, bit_count(mask), how) AS best FROM fa WHERE nth = 1) WHERE best = 1)"""
 
 
-def nested_scores(v: Views) -> DataFrame:
+def nested_rows(v: Views) -> DataFrame:
     """Each row once per outer fold, ``o``, its own fold being ``i``; scaled by the bounds of all folds but these two.
 
-    Where ``i`` is ``o`` the row is the outer fold's test, else it validates inside. One score
-    per subset and aggregation, ``how``.
+    Where ``i`` is ``o`` the row is the outer fold's test, else it validates inside.
     """
-    bounds = folds.nested_bounds(folded(v), 5, ["receptor_id"])
-    rows = folds.nested_roles(folded(v), 5)
-    scaled = normalize.apply_bounds(rows, bounds, ["o", "i", "receptor_id"]).withColumn("score", F.round("normalized", 9))
-    members = sub.k_subsets(v.spark, RECEPTORS, SIZES).select("mask", F.explode("subset").alias("receptor_id"))
-    keys = ["o", "i", "ligand_id", "label", "mask"]
-    both = scaled.join(F.broadcast(members), "receptor_id").groupBy(*keys).agg(F.min("score").alias("min"), F.avg("score").alias("mean"))
-    return both.unpivot(keys, ["min", "mean"], "how", "score").withColumn("score", F.round("score", 9))
+    placed = folds.checkpointed(folded(v))
+    bounds = F.broadcast(folds.nested_bounds(placed, 5, ["receptor_id"]))  # a row for each scorer and two folds
+    scaled = normalize.apply_bounds(folds.nested_roles(placed, 5), bounds, ["o", "i", "receptor_id"])
+    return folds.checkpointed(scaled.select("o", "i", "receptor_id", "ligand_id", "label", F.round("normalized", 9).alias("score")))
+
+
+def nested_metrics(v: Views, rows: DataFrame) -> DataFrame:
+    found = subset_metrics(rows.withColumn("score", billionths("score")), sub.k_subsets(v.spark, RECEPTORS, SIZES), RECEPTORS, ["o", "i"], whole=True)
+    return folds.checkpointed(rounded(found, *DOUBLES))
 
 
 def nested_choice(found: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def nested_choice(found: DataFrame) -> DataFrame:
 @query(f"WITH {NESTED} SELECT CAST(o AS INT) AS outer_fold, how, {NAME} AS subset, inner_mean, inner_spread, outer_bedroc FROM ch")
 def q_nested_cv(v: Views) -> DataFrame:
     """What each outer fold chose on its inner folds alone, and how that did on the fold held out."""
-    found = rounded(ranking.metrics(nested_scores(v), ["o", "i", "how", "mask"]), *DOUBLES)
+    found = nested_metrics(v, nested_rows(v))
     out = nested_choice(found).join(F.broadcast(sub.k_subsets(v.spark, RECEPTORS, SIZES)), "mask")  # a row per subset
     return out.select(F.col("o").alias("outer_fold"), "how", sub.subset_name("subset").alias("subset"), "inner_mean", "inner_spread", "outer_bedroc")
 
@@ -66,8 +69,10 @@ def q_nested_cv(v: Views) -> DataFrame:
   pooled AS (SELECT * FROM (WITH {METRICS.format(keys="pool", rows="oof")} SELECT * FROM mx)) SELECT ligand_count, active_count, roc_auc, average_precision, bedroc FROM pooled""")
 def q_nested_oof(v: Views) -> DataFrame:
     """Held-out scores of what each outer fold chose, pooled and ranked together."""
-    scores = nested_scores(v)
-    chosen = nested_choice(rounded(ranking.metrics(scores, ["o", "i", "how", "mask"]), *DOUBLES)).select("o", "how", "mask")
-    held_out = scores.filter("i = o").join(F.broadcast(chosen), ["o", "how", "mask"]).withColumn("pool", F.lit(0))  # a row per outer fold
+    rows = nested_rows(v)
+    chosen = folds.checkpointed(nested_choice(nested_metrics(v, rows)).select("o", "how", "mask"))
+    kept = sub.k_subsets(v.spark, RECEPTORS, SIZES).join(F.broadcast(chosen.select("mask").distinct()), "mask", "left_semi")
+    scores = obj.ensemble_scores(rows.filter("i = o"), kept, ["o"])
+    held_out = scores.join(F.broadcast(chosen), ["o", "how", "mask"]).withColumn("pool", F.lit(0))  # a row per outer fold
     out = rounded(ranking.metrics(held_out, ["pool"]), *DOUBLES)
     return out.select("ligand_count", "active_count", "roc_auc", "average_precision", "bedroc")
