@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators import anneal, folds, gates, pocket, ranking
+from orrery.operators import anneal, folds, gates, pocket
 from orrery.operators import geometry as geo
 from orrery.operators import objective as obj
+from orrery.operators import subsets as sub
+from orrery.operators.ranksums import billionths, subset_metrics
 from orrery.plans.q_core import DOUBLES, METRICS, rounded
 from orrery.plans.q_select import BASE, NAME, SENSITIVITY, _grid, pair_terms, unary_terms
 from orrery.plans.registry import query
-from orrery.plans.views import Views
+from orrery.plans.views import RECEPTORS, Views
 from orrery.streaming import repeats, resume
 
 K = 5
@@ -36,13 +38,17 @@ def repeated_cv(scores: DataFrame, configs: DataFrame) -> DataFrame:
     rows = scores.join(placed, "ligand_id")
     train = rows.withColumn("held", F.explode(F.lit(list(range(K))))).filter("held <> fold")
     keys = ["config_hash", "repeat"]
-    found = rounded(ranking.metrics(train, [*keys, "held", "receptor_id"], top=0), "bedroc")
+    single = sub.k_subsets(scores.sparkSession, RECEPTORS, (1,))
+    found = subset_metrics(train.withColumn("score", billionths("score")), single, RECEPTORS, [*keys, "held"])
+    found = rounded(found.join(F.broadcast(single.select("mask", F.col("subset")[0].alias("receptor_id"))), "mask"), "bedroc")
     best = obj.pick(found, [*keys, "held"], F.desc("bedroc"), "receptor_id").select(*keys, F.col("held").alias("fold"), "receptor_id", F.lit(True).alias("best"))
     marked = rows.join(F.broadcast(best), [*keys, "fold", "receptor_id"], "left")  # best: a row for each fold
     methods = {"single_best": F.max(F.when(F.col("best"), F.col("score"))), "all_min": F.min("score"), "all_mean": F.round(F.avg("score"), 9)}
     wide = marked.groupBy(*keys, "ligand_id", "label").agg(*[c.alias(m) for m, c in methods.items()])
-    long = wide.unpivot([*keys, "ligand_id", "label"], list(methods), "method", "score")
-    return rounded(ranking.metrics(long, [*keys, "method"], top=0), *DOUBLES).select(*keys, "method", "roc_auc", "average_precision", "bedroc")
+    names = sub.k_subsets(scores.sparkSession, list(methods), (1,))
+    long = wide.unpivot([*keys, "ligand_id", "label"], list(methods), "receptor_id", "score").withColumn("score", billionths("score"))
+    out = subset_metrics(folds.checkpointed(long), names, list(methods), keys).join(F.broadcast(names.select("mask", F.col("subset")[0].alias("method"))), "mask")
+    return rounded(out, *DOUBLES).select(*keys, "method", "roc_auc", "average_precision", "bedroc")
 
 
 def _cv_sql(configs: list[dict]) -> str:
