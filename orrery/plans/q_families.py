@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orrery.operators import folds, ranking
 from orrery.operators import objective as obj
 from orrery.operators import subsets as sub
+from orrery.operators.ranksums import billionths, subset_metrics
 from orrery.plans.q_core import DOUBLES, METRICS, rounded
 from orrery.plans.q_select import NAME
 from orrery.plans.registry import query
@@ -95,8 +96,9 @@ tq AS (SELECT so.*, em.roc_auc, em.bedroc, row_number() OVER (PARTITION BY targe
 def split_ensembles(v: Views) -> tuple[DataFrame, DataFrame]:
     """Scores, once, and the metrics of all subsets of one, two, three and all receptors by split."""
     scores = folds.checkpointed(v.scores)
-    made = obj.ensemble_scores(scores, sub.k_subsets(v.spark, RECEPTORS, (1, 2, 3, 5)), ["split"])
-    return scores, folds.checkpointed(rounded(obj.ensemble_metrics(made, ["split", "how", "mask"]), *DOUBLES))
+    rows = scores.withColumn("score", billionths("score"))
+    found = subset_metrics(rows, sub.k_subsets(v.spark, RECEPTORS, (1, 2, 3, 5)), RECEPTORS, ["split"], whole=True)
+    return scores, folds.checkpointed(rounded(found, *DOUBLES))
 
 
 def tuned_trials(v: Views, scores: DataFrame, found: DataFrame) -> DataFrame:
@@ -211,9 +213,8 @@ class Nested:
         self.v = v
         ligands = folds.label_folds(v.scores.select("ligand_id", "label").distinct(), "ligand_id", "label", K, 3)
         rows = folds.checkpointed(obj.context_rows(v.scores.join(ligands.select("ligand_id", "fold"), "ligand_id"), K))
-        self.scored = obj.ensemble_scores(rows, sub.k_subsets(v.spark, RECEPTORS, (1, 2, 3, 5)), [*obj.CONTEXT, "part"])
-        keys = [*obj.CONTEXT, "part", "how", "mask"]
-        self.found = folds.checkpointed(rounded(obj.ensemble_metrics(self.scored, keys), *DOUBLES))
+        self.rows, self.subsets = rows, sub.k_subsets(v.spark, RECEPTORS, (1, 2, 3, 5))
+        self.found = folds.checkpointed(rounded(subset_metrics(rows, self.subsets, RECEPTORS, [*obj.CONTEXT, "part"]), *DOUBLES))
         self.roles = F.broadcast(v.spark.createDataFrame(ROLES, "o int, i int, a int, b int"))
         self.table = obj.candidate_table(v.spark, FAMILIES)
         measured = self.found.filter(F.col("part") == obj.FULL)
@@ -288,8 +289,11 @@ class Nested:
 
     def pooled(self) -> DataFrame:
         """Held-out scores of every family's choices, pooled over the outer folds and ranked together; the best objective is ``selected``."""
-        asked = F.broadcast(self.chosen().filter("o >= 0").select("family", "a", "b", F.col("o").alias("part"), "how", "mask"))  # a row per family and fold
-        out = rounded(ranking.metrics(self.scored.join(asked, [*obj.CONTEXT, "part", "how", "mask"]), ["family"]), *DOUBLES)
+        asked = folds.checkpointed(self.chosen().filter("o >= 0").select("family", "a", "b", F.col("o").alias("part"), "how", "mask"))
+        kept = self.subsets.join(F.broadcast(asked.select("mask").distinct()), "mask", "left_semi")
+        scored = obj.ensemble_scores(self.rows.filter("a = b and part = a and a >= 0"), kept, [*obj.CONTEXT, "part"])
+        out = scored.join(F.broadcast(asked), [*obj.CONTEXT, "part", "how", "mask"])  # a row per family and fold
+        out = rounded(ranking.metrics(out, ["family"]), *DOUBLES)
         place = F.array_position(F.lit(OBJECTIVES), F.col("family"))
         order = obj.Window.partitionBy(place > 0).orderBy(F.desc("bedroc"), F.desc("average_precision"), F.desc("roc_auc"), place)
         return out.withColumn("selected", (place > 0) & (F.row_number().over(order) == 1))
