@@ -14,7 +14,7 @@ from orrery.operators import relational as rel
 from orrery.operators import subsets as sub
 from orrery.operators.order import score_piece, spread
 from orrery.plans.q_core import METRICS, q_metric_bundle, q_metrics_by_split
-from orrery.plans.q_select import BASE, COEF, ENERGY, FOLDS, NAME, NEAR, base_coefficients, folded, near_points
+from orrery.plans.q_select import BASE, COEF, CUTOFF, ENERGY, FOLDS, NAME, NEAR, base_coefficients, folded, near_points, near_sides
 from orrery.plans.registry import query
 from orrery.plans.views import RECEPTORS, SEEDS, Views
 from orrery.streaming import resume
@@ -399,10 +399,7 @@ def q_repeated_splits(v: Views) -> DataFrame:
 @query(f"SELECT a, count(*) AS contacts, count(*) FILTER (d <= 0.12) AS clashes, arg_min(b, round(d, 9) * 1000000 + b * 0.0000001) AS closest FROM {NEAR} WHERE d <= 0.25 GROUP BY a")
 def q_clash_counts(v: Views) -> DataFrame:
     """Contacts, clashes and the closest partner of each point."""
-    near = near_points(v).groupBy("a")
-    return near.agg(
-        F.count(F.lit(1)).alias("contacts"), F.count_if(F.col("distance") <= 0.12).alias("clashes"), F.min_by("b", F.struct(F.round("distance", 9), "b")).alias("closest")
-    )
+    return geo.nearest(*near_sides(v, "a", "b"), CUTOFF, clash=0.12).drop("least")
 
 
 @query("""WITH d AS (SELECT a.cluster_id, max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS diameter FROM points a JOIN points b ON a.cluster_id = b.cluster_id GROUP BY 1)
