@@ -312,31 +312,67 @@ def align(pairs: DataFrame, key: str) -> DataFrame:
 def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
     """Ward's agglomeration to ``k`` clusters, labelled in the order of their first member.
 
-    Distances are updated by the Lance-Williams rule; of equal merges the first pair wins.
+    Clusters are kept as centres and sizes, in the order of their first members, each with the
+    nearest of those after it; so memory grows with the points, and a merge looks at those
+    alone whose nearest it was. Of equal merges the first pair wins.
     """
     n = len(x)
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-    np.fill_diagonal(d, np.inf)
-    size, owner, live = np.ones(n), np.arange(n), np.ones(n, bool)
-    for _ in range(n - min(k, n)):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
-        others = live.copy()
-        others[[i, j]] = False
-        s = size[others]
-        d[i, others] = ((size[i] + s) * d[i, others] + (size[j] + s) * d[j, others] - s * d[i, j]) / (size[i] + size[j] + s)
-        d[others, i] = d[i, others]
-        d[j, :] = d[:, j] = np.inf
-        live[j] = False
-        size[i] += size[j]
-        owner[owner == j] = i
-    _, first = np.unique(owner, return_index=True)
-    order = {owner[f]: r for r, f in enumerate(sorted(first))}
-    return np.array([order[o] for o in owner])
+    centre, size, owner = np.array(x, float).T.copy(), np.ones(n), np.arange(n)
+    first, dead = np.arange(n), np.zeros(n, bool)
+    into = np.arange(n)  # of first members: the cluster that took them in
+
+    def from_(i: int, lo: int) -> np.ndarray:
+        out = np.zeros(len(size) - lo)
+        for c in centre:
+            d = c[lo:] - c[i]
+            out += d * d
+        out *= 2 * size[i] * size[lo:] / (size[i] + size[lo:])
+        out[dead[lo:]] = np.inf
+        return out
+
+    near, far = np.full(n, -1), np.full(n, np.inf)
+
+    def look(i: int) -> None:
+        near[i], far[i] = -1, np.inf
+        if i + 1 < len(size):
+            d = from_(i, i + 1)
+            j = int(d.argmin())
+            if d[j] < np.inf:
+                near[i], far[i] = i + 1 + j, d[j]
+
+    for i in range(n):
+        look(i)
+    live = n
+    while live > max(1, min(k, n)):
+        i = int(far.argmin())
+        j = int(near[i])
+        total = size[i] + size[j]
+        centre[:, i] = (centre[:, i] * size[i] + centre[:, j] * size[j]) / total
+        size[i], into[first[j]] = total, first[i]
+        dead[j], far[j] = True, np.inf
+        live -= 1
+        d = from_(i, 0)
+        stale = np.flatnonzero(((near == i) | (near == j)) & ~dead)
+        look(i)
+        for h in stale.tolist():
+            if h != i:
+                look(h)
+        fresh = np.flatnonzero(((d[:i] < far[:i]) | ((d[:i] == far[:i]) & (near[:i] > i))) & ~dead[:i])
+        near[fresh], far[fresh] = i, d[fresh]
+        if live < len(size) // 2 and len(size) > 64:  # leave out what was merged; the order stays
+            kept = np.flatnonzero(~dead)
+            place = np.full(len(size), -1)
+            place[kept] = np.arange(len(kept))
+            near = np.where(near[kept] >= 0, place[near[kept]], -1)
+            centre, size, first, far, dead = np.ascontiguousarray(centre[:, kept]), size[kept], first[kept], far[kept], dead[kept]
+    for i in range(n):  # a cluster's first member comes before the others
+        owner[i] = owner[into[i]] if into[i] != i else i
+    _, labels = np.unique(owner, return_inverse=True)
+    return labels
 
 
 def ward(points: DataFrame, key: str, id_: str, columns: Sequence[str], k: int) -> DataFrame:
-    """Clusters of each key's points. A key's points must fit one worker, as Ward's method is quadratic."""
+    """Clusters of each key's points. A key is one task, whose memory grows with its points and whose time with their square."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(id_)
@@ -344,7 +380,10 @@ def ward(points: DataFrame, key: str, id_: str, columns: Sequence[str], k: int)
         return pd.DataFrame({key: group[key].to_numpy(), id_: group[id_].to_numpy(), "cluster": labels})
 
     kinds = {c: points.schema[c].dataType.simpleString() for c in (key, id_)}
-    return points.select(key, id_, *columns).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {id_} {kinds[id_]}, cluster long")
+    spark = points.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = points.select(key, id_, *columns).repartition(tasks, key)  # keys are few and slow, so their small rows are not put together
+    return dealt.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {id_} {kinds[id_]}, cluster long")
 
 
 def maxmin_order(ids: Sequence, distance: dict, start, size: int) -> list:
