@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from orrery.llm.common import per_text
+from orrery.llm.common import per_text, slices
 
 SCHEMA = "lang_pred string, score double, phrases long, letters long"
 #: Labelled documents per language and characters learned of them, and languages, at most.
@@ -293,8 +293,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, per_lang: int = DOCS_P
 
         parser = Parser(model.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for part in slices(batch, text):
                 rows = parser.predict(part.column(text).to_pylist())
                 yield part.filter(pa.array([r[0] != "und" for r in rows]))
 
