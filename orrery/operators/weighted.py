@@ -6,6 +6,8 @@ in pieces of the order that many tasks share, and each piece gives for all attem
 block its weight, its weight of actives, their decays and their wins inside the piece.
 These add up along the pieces, as decays only take the factor of the weight before them and
 wins only the decoys after them. So 5,000 draws cost one pass over rows times blocks.
+Where units are few (whole groups are drawn), their counts go to all tasks and rows bear
+no counts: they are shuffled once, whatever the number of attempts.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from orrery.operators.resample import interval, numbered
 BLOCK, DRAWS, PIECE_ROWS = 250, 1 << 16, 2048
 #: Totals by key and attempt go to all tasks; so many at a time.
 TOTALS = 1 << 20
+#: Units, at most, whose counts go to all tasks (1,024 units, 5,000 attempts: 10 MB); those up to which weights are products of matrices; rows at a time.
+FEW, DENSE, PART = 1024, 64, 2048
 ALPHA = 20.0
 
 
@@ -84,8 +88,8 @@ def _add_sorted(out: np.ndarray, to: np.ndarray, w: np.ndarray) -> None:
 
 
 def _whole(w: np.ndarray) -> type:
-    """What sums of bytes along ``w`` fit in."""
-    return np.int32 if len(w) < 1 << 23 else np.int64
+    """What sums of counts along ``w`` fit in."""
+    return np.int32 if len(w) * np.iinfo(w.dtype).max < 1 << 31 else np.int64
 
 
 def _stretches(w: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -150,16 +154,68 @@ def _local(totals: dict, asked: Sequence[str] = tuple(SUMS)):
             gained = q * (1 - q ** np.arange(most)[:, None]) / (1 - q)  # by how often a row was drawn
             decay = (np.exp(before * (-ALPHA / one)) * np.take_along_axis(gained, w[at].astype(np.intp), axis=0)).sum(axis=0)
         if "l" in sums:
-            starts = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
-            group = np.cumsum(np.concatenate([[True], score[1:] != score[:-1]])) - 1
-            decoys = np.zeros((len(starts), BLOCK), _whole(w))
-            _add_sorted(decoys, group[~active], w[~active])
-            upto = np.cumsum(decoys, axis=0, dtype=decoys.dtype)
-            to = group[active]
-            wins = (w[active] * (upto[-1] - upto[to] + 0.5 * decoys[to])).sum(axis=0)
-        row = [name, block, piece, *[x.tobytes() for x in (drawn.astype(float), mine.astype(float), decay, wins)]]
-        fields = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
-        return pa.table([pa.array([x], t) for x, t in zip(row, fields, strict=True)], names=[f.split()[0] for f in PIECE_SCHEMA.split(", ")])
+            wins = _wins(w, active, score)
+        return _piece_rows([(name, block, piece, drawn, mine, decay, wins)])
+
+    return run
+
+
+def _wins(w: np.ndarray, active: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Pairs of an active and a later decoy, by their counts; ties are halves."""
+    changes = np.concatenate([[True], score[1:] != score[:-1]])
+    group = np.cumsum(changes) - 1
+    decoys = np.zeros((int(changes.sum()), BLOCK), _whole(w))
+    _add_sorted(decoys, group[~active], w[~active])
+    upto = np.cumsum(decoys, axis=0, dtype=decoys.dtype)
+    to = group[active]
+    return (w[active] * (upto[-1] - upto[to] + 0.5 * decoys[to])).sum(axis=0)
+
+
+def _piece_rows(rows: list[tuple]):
+    """A table as in PIECE_SCHEMA."""
+    import pyarrow as pa
+
+    columns = [*zip(*[(*r[:3], *(x.astype(float).tobytes() for x in r[3:])) for r in rows], strict=True)] or [()] * 7
+    fields = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    return pa.table([pa.array(x, t) for x, t in zip(columns, fields, strict=True)], names=[f.split()[0] for f in PIECE_SCHEMA.split(", ")])
+
+
+def _local_few(shared, asked: Sequence[str]):
+    """What a piece adds, for the attempts of all blocks; ``shared`` holds the units, their counts by block, and the totals."""
+    sums = {SUMS[m] for m in asked}
+
+    def run(key, table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        name, piece = (k.as_py() for k in key)
+        units, counts, totals = shared.value
+        table = table.sort_by([("score", "ascending"), ("id", "ascending")])
+        unit = pc.index_in(table.column("unit"), value_set=pa.array(units, table.schema.field("unit").type)).fill_null(-1).to_numpy()
+        held = unit >= 0  # others are drawn in no attempt
+        unit, active, score = unit[held], table.column("active").to_numpy().astype(bool)[held], table.column("score").to_numpy()[held]
+        if not len(unit):
+            return _piece_rows([])
+        number = lambda x: np.bincount(x, minlength=len(units)).astype(float)
+        every, actives = number(unit), number(unit[active])
+        rate = {b: -ALPHA / np.maximum(totals[name, b], 1) for b in counts}
+        decay = {b: np.zeros(BLOCK) for b in counts}
+        if "s" in sums and active.any():
+            steps = {b: w * rate[b] for b, w in counts.items()}  # by how much a row's unit moves those behind it
+            gained = {b: np.exp(rate[b]) * np.expm1(steps[b]) / np.expm1(rate[b]) for b in counts}
+            seen = np.zeros(len(units))
+            for at in range(0, len(unit), PART):
+                here, places = unit[at : at + PART], np.flatnonzero(active[at : at + PART])
+                if len(units) <= DENSE:
+                    ahead = np.zeros((len(here) + 1, len(units)))
+                    ahead[0], ahead[np.arange(len(here)) + 1, here] = seen, 1
+                    ahead = np.cumsum(ahead, axis=0)[places]
+                for b in counts if len(places) else ():
+                    moved = ahead @ steps[b] if len(units) <= DENSE else (seen @ counts[b] + _stretches(counts[b][here], places)) * rate[b]
+                    decay[b] += np.einsum("ab,ab->b", np.exp(moved, out=moved), gained[b][here[places]])
+                seen += number(here)
+        none = np.zeros(BLOCK)
+        return _piece_rows([(name, b, piece, every @ w, actives @ w, decay[b], _wins(w[unit], active, score) if "l" in sums else none) for b, w in counts.items()])
 
     return run
 
@@ -187,23 +243,34 @@ def _along(key, table):
     return pa.table({"key": [name] * BLOCK, "attempt": attempt, "roc_auc": auc, "bedroc": bedroc})
 
 
+def _prepared(scores: DataFrame, keys: Sequence[str], unit: str = "ligand_id", strata: Sequence[str] = (), id_: str = "ligand_id", active: Column | None = None) -> DataFrame:
+    """The columns that attempts are made of, written once."""
+    from orrery.operators.folds import checkpointed
+
+    key = F.to_json(F.struct(*keys)) if keys else F.lit("{}")
+    active = F.col("label") == "active" if active is None else active
+    return checkpointed(
+        scores.select(
+            *keys, key.alias("key"), F.col("score").cast("double").alias("score"), F.col(id_).alias("id"), F.col(unit).alias("unit"), active.cast("int").alias("active"), score_piece("score").alias("fine"), *[c for c in strata if c not in keys]
+        )
+    )
+
+
 def weighted_metrics(scores: DataFrame, keys: Sequence[str], attempts: range, seed: int, unit: str = "ligand_id", strata: Sequence[str] = (), id_: str = "ligand_id", active: Column | None = None, metrics: Sequence[str] = tuple(SUMS)) -> DataFrame:
     """``*keys, attempt`` and the ``metrics`` (roc_auc, bedroc) of the drawn units; NaN where an attempt lacks one of the labels.
 
     Lower scores are better, ties go to the smaller id and a row's repeats stand together.
     ``attempts`` starts and ends at multiples of a block. Rows whose score or unit is null are left out.
     """
+    return _attempted(_prepared(scores, list(keys), unit, strata, id_, active), list(keys), attempts, seed, strata, metrics)
+
+
+def _attempted(rows: DataFrame, keys: list[str], attempts: range, seed: int, strata: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     from orrery.operators.folds import checkpointed
 
     if attempts.start % BLOCK or attempts.stop % BLOCK:
         raise ValueError(f"attempts come in blocks of {BLOCK}")
-    keys = list(keys)
-    key = F.to_json(F.struct(*keys)) if keys else F.lit("{}")
-    active = F.col("label") == "active" if active is None else active
-    rows = scores.filter(F.col("score").isNotNull() & F.col(unit).isNotNull()).select(
-        *keys, key.alias("key"), F.col("score").cast("double").alias("score"), F.col(id_).alias("id"), F.col(unit).alias("unit"), active.cast("int").alias("active"), score_piece("score").alias("fine"), *[c for c in strata if c not in keys]
-    )
-    rows = checkpointed(rows)
+    rows = rows.filter(F.col("score").isNotNull() & F.col("unit").isNotNull())
     names = checkpointed(rows.select("key", *keys).distinct())
     many = names.count()
     fine = rows.groupBy("key", "fine").agg(F.count(F.lit(1)).alias("c"))
@@ -211,6 +278,7 @@ def weighted_metrics(scores: DataFrame, keys: Sequence[str], attempts: range, se
     fine = fine.select("key", "fine", F.floor(F.coalesce(F.sum("c").over(upto), F.lit(0)) / PIECE_ROWS).alias("piece"))
     placed = rows.join(fine, ["key", "fine"]).select("key", "piece", "score", "id", "unit", "active")
     units = rows.select("unit", *strata).distinct()
+    few = units.count() <= FEW
     per_unit = rows.groupBy("key", "unit").agg(F.count(F.lit(1)).alias("n"))
     blocks = range(attempts.start // BLOCK, attempts.stop // BLOCK)
     step = max(1, TOTALS // max(1, many * BLOCK))
@@ -222,12 +290,27 @@ def weighted_metrics(scores: DataFrame, keys: Sequence[str], attempts: range, se
         totals: dict = {}
         for r in sums:
             totals.setdefault((r["key"], r["attempt"] // BLOCK), np.zeros(BLOCK))[r["attempt"] % BLOCK] = r["n"]
-        parts = placed.join(drawn, "unit").groupBy("key", "block", "piece").applyInArrow(_local(totals, metrics), PIECE_SCHEMA)
+        if few:
+            shared = rows.sparkSession.sparkContext.broadcast((*_unit_table(drawn), totals))
+            parts = placed.groupBy("key", "piece").applyInArrow(_local_few(shared, metrics), PIECE_SCHEMA)
+        else:
+            parts = placed.join(drawn, "unit").groupBy("key", "block", "piece").applyInArrow(_local(totals, metrics), PIECE_SCHEMA)
         found = parts.groupBy("key", "block").applyInArrow(_along, "key string, attempt long, roc_auc double, bedroc double")
         out = found if out is None else out.unionByName(found)
     return out.join(names, "key").select(*keys, "attempt", *metrics)
 
 
+def _unit_table(drawn: DataFrame) -> tuple[list, dict[int, np.ndarray]]:
+    """Units, of which there are few, and for each block their counts; draws of a unit in several strata add up."""
+    rows = drawn.collect()  # at most FEW units and strata for each block
+    units = list(dict.fromkeys(r["unit"] for r in rows))
+    place = {u: i for i, u in enumerate(units)}
+    counts = {b: np.zeros((len(units), BLOCK), np.uint16) for b in sorted({r["block"] for r in rows})}
+    for r in rows:
+        counts[r["block"]][place[r["unit"]]] += np.frombuffer(bytes(r["counts"]), np.uint8)
+    return units, counts
+
+
 def valid_draws(scores: DataFrame, keys: Sequence[str], metric: str, iterations: int, seed: int, **how) -> DataFrame:
     """``*keys, attempt, value, nth``: the first ``iterations`` attempts of each key whose metric is defined, at most twice as many being made.
 
@@ -238,16 +321,17 @@ def valid_draws(scores: DataFrame, keys: Sequence[str], metric: str, iterations:
     keys = list(keys)
     whole = -(-iterations // BLOCK) * BLOCK
     order = Window.partitionBy(*keys).orderBy("attempt")
+    rows, strata = _prepared(scores, keys, **how), how.get("strata", ())
 
     def made(attempts: range) -> DataFrame:
-        found = weighted_metrics(scores, keys, attempts, seed, metrics=[metric], **how)
+        found = _attempted(rows, keys, attempts, seed, strata, [metric])
         return checkpointed(found.select(*keys, "attempt", F.col(metric).alias("value")).filter(~F.isnan("value")))
 
     def short(values: DataFrame) -> int:
         # By key, so the rows are as many as keys.
         return values.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") < iterations).count()
 
-    n_keys = scores.select(*keys).distinct().count()
+    n_keys = rows.select(*keys).distinct().count()
     values = made(range(0, whole)).filter(F.col("attempt") < 2 * iterations)
     if short(values) or values.select(*keys).distinct().count() < n_keys:
         more = made(range(whole, 2 * whole)).filter(F.col("attempt") < 2 * iterations)
