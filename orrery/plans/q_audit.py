@@ -39,8 +39,7 @@ def q_cv_gate_audit(v: Views) -> DataFrame:
     """The held-out scores of the nested families as stored in files: ids, labels, groups that cross folds, and metrics by a second formulation."""
     n = Nested(v)
     folder = resume.scratch(v.spark, "oof")
-    asked = F.broadcast(n.chosen().filter("o >= 0").select("family", "a", "b", F.col("o").alias("part"), "how", "mask"))  # a row per family and fold
-    n.scored.join(asked, ["a", "b", "part", "how", "mask"]).select("family", "ligand_id", "label", F.col("score").cast("double").alias("score"), "part").write.parquet(folder)
+    n.held_out().select("family", "ligand_id", "label", F.col("score").cast("double").alias("score"), "part").write.parquet(folder)
     stored = v.spark.read.parquet(folder)
     reported = n.pooled().select("family", "roc_auc", "average_precision")
     want = v.ligands.select("ligand_id", F.col("label").alias("__label"), "group_id")

@@ -287,12 +287,17 @@ class Nested:
         fitted = self.fits.filter("i = o").select("o", "cid", "a", "b", "mask")
         return self._first(self._trials(self.fits)).join(fitted, ["o", "cid"])
 
-    def pooled(self) -> DataFrame:
-        """Held-out scores of every family's choices, pooled over the outer folds and ranked together; the best objective is ``selected``."""
+    def held_out(self) -> DataFrame:
+        """``family, part, ligand_id, label, score``: what every family's choice of an outer fold gives the rows of that fold."""
         asked = folds.checkpointed(self.chosen().filter("o >= 0").select("family", "a", "b", F.col("o").alias("part"), "how", "mask"))
         kept = self.subsets.join(F.broadcast(asked.select("mask").distinct()), "mask", "left_semi")
         scored = obj.ensemble_scores(self.rows.filter("a = b and part = a and a >= 0"), kept, [*obj.CONTEXT, "part"])
         out = scored.join(F.broadcast(asked), [*obj.CONTEXT, "part", "how", "mask"])  # a row per family and fold
+        return out.select("family", "part", "ligand_id", "label", "score")
+
+    def pooled(self) -> DataFrame:
+        """Held-out scores of every family's choices, pooled over the outer folds and ranked together; the best objective is ``selected``."""
+        out = self.held_out()
         out = rounded(ranking.metrics(out, ["family"]), *DOUBLES)
         place = F.array_position(F.lit(OBJECTIVES), F.col("family"))
         order = obj.Window.partitionBy(place > 0).orderBy(F.desc("bedroc"), F.desc("average_precision"), F.desc("roc_auc"), place)
