@@ -7,7 +7,9 @@ block its weight, its weight of actives, their decays and their wins inside the
 These add up along the pieces, as decays only take the factor of the weight before them and
 wins only the decoys after them. So 5,000 draws cost one pass over rows times blocks.
 Where units are few (whole groups are drawn), their counts go to all tasks and rows bear
-no counts: they are shuffled once, whatever the number of attempts.
+no counts: they are shuffled once, whatever the number of attempts. Where each unit is one
+row of a key and keys need not share their draws, a piece makes its own: an attempt's draws
+are first dealt to the pieces by a multinomial law, and inside a piece to its rows.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ def unit_counts(units: DataFrame, unit: str, blocks: Sequence[int], seed: int, s
     pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / DRAWS)))
     asked = sizes.withColumn("piece", pieces).select("stratum", "n", "piece", F.explode(F.lit(list(blocks))).alias("block"))
     counts = asked.repartition("stratum", "piece", "block").mapInArrow(_drawn(seed, DRAWS), "stratum string, at long, block int, counts binary")
-    return counts.join(every.drop("__n"), ["stratum", "at"]).select(unit, "block", "counts")
+    return counts.hint("merge").join(every.drop("__n"), ["stratum", "at"]).select(unit, "block", "counts")
 
 
 def _counts(column) -> np.ndarray:
@@ -135,31 +137,33 @@ def _local(totals: dict, asked: Sequence[str] = tuple(SUMS)):
     sums = {SUMS[m] for m in asked}
 
     def run(key, table):
-        import pyarrow as pa
-
         name, block, piece = (k.as_py() for k in key)
         table = table.sort_by([("score", "ascending"), ("id", "ascending")])
         # A unit's draws may come in several parts; repeats of a row stand together either way.
         w, active = _counts(table.column("counts")), table.column("active").to_numpy().astype(bool)
-        score, n = table.column("score").to_numpy(), totals[name, block]
-        drawn, mine = w.sum(axis=0, dtype=np.int64), w[active].sum(axis=0, dtype=np.int64)
-        decay = wins = np.zeros(BLOCK)
-        if "s" in sums:
-            at = np.flatnonzero(active)
-            # Weights before each active: sums of the stretches between actives, then along these.
-            before = _stretches(w, at)
-            one = np.maximum(n, 1)
-            q = np.exp(-ALPHA / one)
-            most = int(w[at].max(initial=0)) + 1
-            gained = q * (1 - q ** np.arange(most)[:, None]) / (1 - q)  # by how often a row was drawn
-            decay = (np.exp(before * (-ALPHA / one)) * np.take_along_axis(gained, w[at].astype(np.intp), axis=0)).sum(axis=0)
-        if "l" in sums:
-            wins = _wins(w, active, score)
-        return _piece_rows([(name, block, piece, drawn, mine, decay, wins)])
+        return _piece_rows([(name, block, piece, *_sums_of(w, active, table.column("score").to_numpy(), totals[name, block], sums))])
 
     return run
 
 
+def _sums_of(w: np.ndarray, active: np.ndarray, score: np.ndarray, n: np.ndarray, sums: set) -> tuple:
+    """Weight, actives, decays and wins of sorted rows by their counts ``w``; ``n`` is the weight of the whole key."""
+    drawn, mine = w.sum(axis=0, dtype=np.int64), w[active].sum(axis=0, dtype=np.int64)
+    decay = wins = np.zeros(BLOCK)
+    if "s" in sums:
+        at = np.flatnonzero(active)
+        # Weights before each active: sums of the stretches between actives, then along these.
+        before = _stretches(w, at)
+        one = np.maximum(n, 1)
+        q = np.exp(-ALPHA / one)
+        most = int(w[at].max(initial=0)) + 1
+        gained = q * (1 - q ** np.arange(most)[:, None]) / (1 - q)  # by how often a row was drawn
+        decay = (np.exp(before * (-ALPHA / one)) * np.take_along_axis(gained, w[at].astype(np.intp), axis=0)).sum(axis=0)
+    if "l" in sums:
+        wins = _wins(w, active, score)
+    return drawn, mine, decay, wins
+
+
 def _wins(w: np.ndarray, active: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Pairs of an active and a later decoy, by their counts; ties are halves."""
     changes = np.concatenate([[True], score[1:] != score[:-1]])
@@ -220,6 +224,89 @@ def _local_few(shared, asked: Sequence[str]):
     return run
 
 
+SHARE_SCHEMA = "key string, block int, piece long, stratum string, share binary, total binary"
+
+
+def _shares(seed: int):
+    """How many draws of each attempt of a block fall to each piece of a key, by stratum, and to the key as a whole.
+
+    ``n`` units are drawn in a stratum; those that the key has no row of take their part, too.
+    """
+
+    def run(key, table):
+        import zlib
+
+        import pyarrow as pa
+
+        name, block = (k.as_py() for k in key)
+        table = table.sort_by([("stratum", "ascending"), ("piece", "ascending")])
+        strata, size, n = np.array(table.column("stratum").to_pylist(), object), table.column("size").to_numpy(), table.column("n").to_numpy()
+        share = np.zeros((len(size), BLOCK), np.int64)
+        for stratum in dict.fromkeys(strata.tolist()):
+            at = np.flatnonzero(strata == stratum)
+            all_ = int(n[at[0]])
+            p = np.append(size[at], all_ - size[at].sum()) / all_
+            rng = np.random.default_rng([seed, zlib.crc32(name.encode()), zlib.crc32(stratum.encode()), block])
+            share[at] = rng.multinomial(all_, p, BLOCK)[:, :-1].T
+        columns = [[name] * len(size), [block] * len(size), table.column("piece").to_pylist(), strata.tolist(), [x.tobytes() for x in share], [share.sum(axis=0).tobytes()] * len(size)]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in SHARE_SCHEMA.split(", ")])
+
+    return run
+
+
+def _dealt(rng: np.random.Generator, size: int, share: np.ndarray) -> np.ndarray:
+    """Counts of ``size`` rows in the attempts of a block, each of which draws ``share`` of them with replacement."""
+    counts = np.empty((size, BLOCK), np.uint8)
+    step = max(1, (1 << 22) // max(1, int(share.max()), size))  # attempts at a time
+    for a in range(0, BLOCK, step):
+        of = share[a : a + step]
+        at = rng.integers(0, size, int(of.sum())) * len(of) + np.repeat(np.arange(len(of)), of)
+        times = np.bincount(at, minlength=size * len(of)).reshape(size, len(of))
+        if times.max() > 255:
+            raise OverflowError("a unit was drawn more often than a byte holds")
+        counts[:, a : a + step] = times
+    return counts
+
+
+def _local_own(seed: int, asked: Sequence[str]):
+    """What a piece (its rows, its shares by block and stratum) adds, from draws that it makes itself."""
+    sums = {SUMS[m] for m in asked}
+
+    def run(key, table, shares):
+        import zlib
+
+        name, piece = (k.as_py() for k in key)
+        table = table.sort_by([("score", "ascending"), ("id", "ascending")])
+        active, score = table.column("active").to_numpy().astype(bool), table.column("score").to_numpy()
+        strata = np.array(table.column("stratum").to_pylist(), object)
+        places = {x: np.flatnonzero(strata == x) for x in dict.fromkeys(strata.tolist())}
+        blocks: dict = {}
+        for block, stratum, share, total in zip(*(shares.column(c).to_pylist() for c in ("block", "stratum", "share", "total")), strict=True):
+            blocks.setdefault(block, []).append((stratum, np.frombuffer(share, np.int64), np.frombuffer(total, np.int64)))
+        out = []
+        for block in sorted(blocks):
+            w = np.zeros((len(active), BLOCK), np.uint8)
+            for stratum, share, total in blocks[block]:
+                rng = np.random.default_rng([seed, zlib.crc32(name.encode()), zlib.crc32(stratum.encode()), block, piece])
+                w[places[stratum]] = _dealt(rng, len(places[stratum]), share)
+            out.append((name, block, piece, *_sums_of(w, active, score, total, sums)))
+        return _piece_rows(out)
+
+    return run
+
+
+def _own_parts(rows: DataFrame, fine: DataFrame, units: DataFrame, blocks: Sequence[int], seed: int, metrics: Sequence[str]) -> DataFrame:
+    """Sums of pieces whose rows are units, with draws of each key's own; rows and shares are shuffled, counts are not."""
+    spark = rows.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # rows are small and slow, so their groups are not put together
+    sizes = rows.groupBy("key", "fine", "stratum").agg(F.count(F.lit(1)).alias("c")).join(fine, ["key", "fine"]).groupBy("key", "piece", "stratum").agg(F.sum("c").alias("size"))
+    sizes = sizes.join(units.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")), "stratum").withColumn("block", F.explode(F.lit(list(blocks))))
+    shares = sizes.groupBy("key", "block").applyInArrow(_shares(seed), SHARE_SCHEMA)
+    placed = rows.join(fine, ["key", "fine"]).select("key", "piece", "score", "id", "stratum", "active").repartition(tasks, "key", "piece")
+    return placed.groupBy("key", "piece").cogroup(shares.repartition(tasks, "key", "piece").groupBy("key", "piece")).applyInArrow(_local_own(seed, metrics), PIECE_SCHEMA)
+
+
 def _along(key, table):
     """Metrics of the attempts of a block from its pieces in order."""
     import pyarrow as pa
@@ -265,27 +352,33 @@ def weighted_metrics(scores: DataFrame, keys: Sequence[str], attempts: range, se
     return _attempted(_prepared(scores, list(keys), unit, strata, id_, active), list(keys), attempts, seed, strata, metrics)
 
 
-def _attempted(rows: DataFrame, keys: list[str], attempts: range, seed: int, strata: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+def _attempted(rows: DataFrame, keys: list[str], attempts: range, seed: int, strata: Sequence[str], metrics: Sequence[str], joint: bool = True) -> DataFrame:
+    """Metrics of attempts; all keys share the draws if they are ``joint``, which costs rows times attempts where units are many."""
     from orrery.operators.folds import checkpointed
 
     if attempts.start % BLOCK or attempts.stop % BLOCK:
         raise ValueError(f"attempts come in blocks of {BLOCK}")
-    rows = rows.filter(F.col("score").isNotNull() & F.col("unit").isNotNull())
+    rows = rows.filter(F.col("score").isNotNull() & F.col("unit").isNotNull()).withColumn("stratum", F.to_json(F.struct(*strata)) if strata else F.lit(""))
     names = checkpointed(rows.select("key", *keys).distinct())
     many = names.count()
     fine = rows.groupBy("key", "fine").agg(F.count(F.lit(1)).alias("c"))
     upto = Window.partitionBy("key").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
     fine = fine.select("key", "fine", F.floor(F.coalesce(F.sum("c").over(upto), F.lit(0)) / PIECE_ROWS).alias("piece"))
     placed = rows.join(fine, ["key", "fine"]).select("key", "piece", "score", "id", "unit", "active")
-    units = rows.select("unit", *strata).distinct()
+    units = rows.select("unit", "stratum", *strata).distinct()
     few = units.count() <= FEW
     per_unit = rows.groupBy("key", "unit").agg(F.count(F.lit(1)).alias("n"))
     blocks = range(attempts.start // BLOCK, attempts.stop // BLOCK)
+    if not few and not joint and per_unit.filter("n > 1").isEmpty() and units.groupBy("unit").count().filter("count > 1").isEmpty():
+        parts = _own_parts(rows, fine, units, blocks, seed, metrics)
+        found = parts.groupBy("key", "block").applyInArrow(_along, "key string, attempt long, roc_auc double, bedroc double")
+        return found.join(names, "key").select(*keys, "attempt", *metrics)
     step = max(1, TOTALS // max(1, many * BLOCK))
     out = None
     for at in range(0, len(blocks), step):
         drawn = checkpointed(unit_counts(units, "unit", blocks[at : at + step], seed, strata))
-        sums = per_unit.join(drawn, "unit").select("key", "n", "block", "counts").mapInArrow(_sum_units, "key string, attempt long, n long")
+        # Counts are many bytes a row, which the planner cannot know: their side is never broadcast.
+        sums = per_unit.join(drawn.hint("merge"), "unit").select("key", "n", "block", "counts").mapInArrow(_sum_units, "key string, attempt long, n long")
         sums = sums.groupBy("key", "attempt").agg(F.sum("n").alias("n")).collect()  # one number for each key and attempt of these blocks
         totals: dict = {}
         for r in sums:
@@ -294,7 +387,7 @@ def _attempted(rows: DataFrame, keys: list[str], attempts: range, seed: int, str
             shared = rows.sparkSession.sparkContext.broadcast((*_unit_table(drawn), totals))
             parts = placed.groupBy("key", "piece").applyInArrow(_local_few(shared, metrics), PIECE_SCHEMA)
         else:
-            parts = placed.join(drawn, "unit").groupBy("key", "block", "piece").applyInArrow(_local(totals, metrics), PIECE_SCHEMA)
+            parts = placed.join(drawn.hint("merge"), "unit").groupBy("key", "block", "piece").applyInArrow(_local(totals, metrics), PIECE_SCHEMA)
         found = parts.groupBy("key", "block").applyInArrow(_along, "key string, attempt long, roc_auc double, bedroc double")
         out = found if out is None else out.unionByName(found)
     return out.join(names, "key").select(*keys, "attempt", *metrics)
@@ -311,10 +404,11 @@ def _unit_table(drawn: DataFrame) -> tuple[list, dict[int, np.ndarray]]:
     return units, counts
 
 
-def valid_draws(scores: DataFrame, keys: Sequence[str], metric: str, iterations: int, seed: int, **how) -> DataFrame:
+def valid_draws(scores: DataFrame, keys: Sequence[str], metric: str, iterations: int, seed: int, joint: bool = True, **how) -> DataFrame:
     """``*keys, attempt, value, nth``: the first ``iterations`` attempts of each key whose metric is defined, at most twice as many being made.
 
-    A key that has fewer by then is an error, as its units hardly ever hold both labels.
+    A key that has fewer by then is an error, as its units hardly ever hold both labels. Unless draws
+    are ``joint``, keys with many units that are one row each draw for themselves.
     """
     from orrery.operators.folds import checkpointed
 
@@ -324,7 +418,7 @@ def valid_draws(scores: DataFrame, keys: Sequence[str], metric: str, iterations:
     rows, strata = _prepared(scores, keys, **how), how.get("strata", ())
 
     def made(attempts: range) -> DataFrame:
-        found = _attempted(rows, keys, attempts, seed, strata, [metric])
+        found = _attempted(rows, keys, attempts, seed, strata, [metric], joint)
         return checkpointed(found.select(*keys, "attempt", F.col(metric).alias("value")).filter(~F.isnan("value")))
 
     def short(values: DataFrame) -> int:
@@ -343,7 +437,7 @@ def valid_draws(scores: DataFrame, keys: Sequence[str], metric: str, iterations:
 
 def bootstrap(scores: DataFrame, keys: Sequence[str], metric: str, iterations: int, seed: int, unit: str = "ligand_id", strata: Sequence[str] = ()) -> DataFrame:
     """Interval of one metric per key over ``iterations`` valid draws; with a group column as ``unit`` whole groups are drawn."""
-    values = valid_draws(scores, keys, metric, iterations, seed, unit=unit, strata=strata)
+    values = valid_draws(scores, keys, metric, iterations, seed, joint=False, unit=unit, strata=strata)
     return _described(values, list(keys))
 
 
